@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, secrets
 
-MODULES = [mixing]
+MODULES = [secrets, mixing]
 
 
 def queries() -> dict:
