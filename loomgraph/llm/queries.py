@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import mixing, secrets, tokenshards
 
-MODULES = [secrets, mixing]
+MODULES = [tokenshards, secrets, mixing]
 
 
 def queries() -> dict:
