@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, tokenshards
+from . import bpe, mixing, secrets, tokenshards
 
-MODULES = [tokenshards, secrets, mixing]
+MODULES = [tokenshards, secrets, bpe, mixing]
 
 
 def queries() -> dict:
