@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, secrets, tokenshards
+from . import bpe, langid, mixing, secrets, tokenshards
 
-MODULES = [tokenshards, secrets, bpe, mixing]
+MODULES = [tokenshards, langid, secrets, bpe, mixing]
 
 
 def queries() -> dict:
