@@ -70,3 +70,27 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int
         lo, hi = offsets[at], offsets[end]
         yield at, end, raw[lo:hi], offsets[at : end + 1] - lo
         at = end
+
+
+def stratified(rows: DataFrame, by: str, most: int, on: str = "doc_id", seed: int = 0) -> DataFrame:
+    """About `most` rows, shared out evenly among the values of `by` and chosen by a hash of `on`; never over twice as many.
+
+    For fitting on a bounded sample; the values of `by` are few (labels).
+    """
+    n = {r[0]: r[1] for r in rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*")).collect()}
+    each = most / max(1, len(n))
+    u = F.pmod(F.xxhash64(F.lit(seed), on), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    share = F.lit(0.0)
+    for value, count in n.items():
+        share = F.when(F.col(by) == value, min(1.0, each / count)).otherwise(share)
+    return rows.filter(u < share).limit(2 * most)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """doc_id, text, label of about `most` labelled documents, written. labels: doc_id, label; rows without a label are not used.
+
+    The sample is drawn from the labels alone, so that the broadcast side has 2 * most rows at the very most and no text is
+    shuffled.
+    """
+    some = stratified(labels.select("doc_id", F.col("label").cast("int").alias("label")).filter("label in (0, 1)"), "label", most)
+    return written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "sample")

@@ -5,7 +5,7 @@ language has several centroids, found by spherical k-means among its labelled te
 centroid of greatest cosine. A text whose cosine stays below the radius that its language's own texts keep is rejected.
 
 Counts of the whole text are used. The model is fitted on a sample: of the labelled rows at most about MAX_ROWS, shared out
-evenly among the languages and chosen by a hash of their text. Defined cases: null text or text without a letter is `und`, score 0,
+evenly among the languages and chosen by a hash of doc_id. Defined cases: null text or text without a letter is `und`, score 0,
 rejected; without any labelled row every text is `und`; repeated rows are predicted each; extra columns pass through.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, table, with_schema
+from .common import bucket, stratified, table, with_schema
 from .wordhash import U, mix
 
 #: Hashed features, n-gram lengths in characters, labelled rows that fitting may use, centroids of a language.
@@ -91,17 +91,10 @@ def _k_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS) -> Model:
-    """labelled: text, lang. Languages without a text that has letters are not learned."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}"))).select("text", "lang")
-    by_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = max_rows // max(1, len(by_lang))
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    share = F.lit(0.0)
-    for lang, n in by_lang.items():
-        share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
-    kept = rows.filter(u < share).limit(2 * max_rows)
-    sample = kept.mapInArrow(_sampled, "lang string, counts binary").toPandas() if by_lang else None
-    if sample is None or sample.empty:
+    """labelled: doc_id, text, lang. Languages without a text that has letters are not learned."""
+    rows = labelled.filter(F.col("lang").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}"))).select("doc_id", "text", "lang")
+    sample = stratified(rows, "lang", max_rows).mapInArrow(_sampled, "lang string, counts binary").toPandas()
+    if sample.empty:
         return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.ones(DIMS, np.float32), np.zeros(0))
     sample = sample.sort_values(["lang", "counts"])
     v = np.stack([np.frombuffer(c, np.float16) for c in sample["counts"]]).astype(np.float32)
@@ -123,8 +116,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, len(b), 256):
             part = b.slice(at, 256)
-            v = np.log1p(counts(part.column(0).to_pylist())).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "counts"])
+            v = np.log1p(counts(part.column(1).to_pylist())).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([part.column(2), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "counts"])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -165,6 +158,6 @@ def learning(folds: int = 5, out: int = 0) -> Column:
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.filter(learning()).select("text", "lang"))
+    model = fit(docs.filter(learning()).select("doc_id", "text", "lang"))
     p = predict(docs.select("doc_id", "text"), model)
     return p.select("doc_id", (~learning()).alias("held_out"), "lang_pred", "score", "cosine", "rejected")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, secrets, tokenshards
+from . import bpe, langid, mixing, quality, secrets, tokenshards
 
-MODULES = [tokenshards, langid, secrets, bpe, mixing]
+MODULES = [tokenshards, langid, secrets, bpe, quality, mixing]
 
 
 def queries() -> dict:
