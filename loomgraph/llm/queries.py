@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, quality, secrets, tokenshards
+from . import bpe, langid, mixing, quality, secrets, tokenshards, toxicity
 
-MODULES = [tokenshards, langid, secrets, bpe, quality, mixing]
+MODULES = [toxicity, tokenshards, langid, secrets, bpe, quality, mixing]
 
 
 def queries() -> dict:
