@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table, text_chunks, written
+from .pretokens import USUAL, splitter
 
 MAGIC, VERSION = b"LOOMSST1", 1
 FOOTER = struct.Struct("<8sIIQQQQQQQII")
@@ -185,7 +186,7 @@ class Shard:
 
 
 #: Distinct pre-tokens whose ids a worker keeps; at the bound it starts anew.
-MEMO = 400_000
+MEMO = 700_000
 
 
 class Encoder:
@@ -195,7 +196,6 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -207,9 +207,7 @@ class Encoder:
         pre = conf.get("pre_tokenizer") or {}
         self.split = None
         if not conf.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
-            from public_tokenizers import PATTERN
-
-            self.split = regex.compile(PATTERN).findall
+            self.split = splitter(USUAL)
         self.memo: dict[str, np.ndarray] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
@@ -220,7 +218,16 @@ class Encoder:
             self.memo = {}
         memo = self.memo
         new = list({p for ps in pieces for p in ps if p not in memo})
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+        # letters after a space stay a piece of their own wherever they stand, so those are encoded as one long text
+        spaced = [p for p in new if p[0] == " " and p[1:].isalpha() and p.isascii()]
+        e = self.tok.encode("".join(spaced), add_special_tokens=False)
+        ids, ends = np.array(e.ids, np.uint32), np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), append=-1)) + 1
+        begin = 0
+        for p, end in zip(spaced, ends.tolist(), strict=True):
+            memo[p] = ids[begin:end].tobytes()
+            begin = end
+        other = [p for p in new if p not in memo]
+        for p, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False)):
             memo[p] = np.array(e.ids, np.uint32).tobytes()
         return [np.frombuffer(b"".join([memo[p] for p in ps]), np.uint32) for ps in pieces]
 
