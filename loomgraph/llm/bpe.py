@@ -9,7 +9,7 @@ and emits what all pairs now have in common: a token comes out as soon as no pai
 later. States and transitions are made when first met, and dropped all together at a bound.
 
 Defined cases: null text is empty and has no ids; repeated rows are encoded each; columns of the input pass through, those named
-as a result are replaced. A token that its own merges do not give (none in proper files) is only used for a whole piece.
+as a result are replaced. Every token is taken to be what the merges make of its own bytes, as in any file of trained ranks.
 """
 
 from __future__ import annotations
@@ -24,25 +24,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_chunks, with_schema
+from .pretokens import splitter
 
 #: Transitions, and pieces with their ids, that a worker keeps.
-MAX_TRANSITIONS, MAX_PIECES = 400_000, 300_000
+MAX_TRANSITIONS, MAX_PIECES = 250_000, 250_000
 
 
 class Merges:
-    """The plain procedure: join the neighbours of lowest rank, leftmost first. The transducer asks it about short byte strings only."""
+    """The plain procedure: join the neighbours of lowest rank, leftmost first. The transducer asks it how a token came about."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
 
-    def __call__(self, data: bytes) -> list[int]:
+    def parts(self, data: bytes, least: int = 1) -> list[bytes]:
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > least:
             best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 40))
             if parts[best] + parts[best + 1] not in self.ranks:
                 break
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
 
 
 class Transducer:
@@ -51,18 +52,20 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.trie: list[dict[int, int]] = [{}]
+        # trie places are numbers; (place, byte) leads on, and a place that leads nowhere has no entry in `inner`
+        self.trie: dict[int, int] = {}
+        self.inner: set[int] = set()
         self.token_at: dict[int, int] = {}
+        places = 1
         for token, rank in ranks.items():
             node = 0
             for b in token:
-                if b not in self.trie[node]:
-                    self.trie[node][b] = len(self.trie)
-                    self.trie.append({})
-                node = self.trie[node][b]
+                self.inner.add(node)
+                to = self.trie.setdefault(node << 8 | b, places)
+                places += to == places
+                node = to
             self.token_at[node] = rank
-        self.suits: dict[tuple[int, int], bool] = {}
-        self.single: dict[int, bool] = {}
+        self.half: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
@@ -71,27 +74,46 @@ class Transducer:
         self.number = {self.states[0]: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge completes this one; None for a single byte."""
+        if token not in self.half:
+            parts = self.merges.parts(self.bytes_of[token], 2)
+            self.half[token] = (self.merges.ranks[parts[0]], self.merges.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.half[token]
+
     def _suit(self, a: int, b: int) -> bool:
+        """Whether a and b stay apart when their joint bytes are merged.
+
+        Undone from the end, the later of the two last merges first, what meets at the boundary changes by one half each time;
+        had the two that then meet been a merge of lower rank than the one undone, it would have come first.
+        """
         if a < 0:
-            if b not in self.single:
-                self.single[b] = self.merges(self.bytes_of[b]) == [b]
-            return self.single[b]
-        if (a, b) not in self.suits:
-            if len(self.suits) > MAX_TRANSITIONS:
-                self.suits.clear()
-            self.suits[a, b] = self.merges(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return self.suits[a, b]
+            return True
+        ranks, text = self.merges.ranks, self.bytes_of
+        if text[a] + text[b] in ranks:
+            return False
+        while True:
+            left, right = self._halves(a), self._halves(b)
+            if left and (right is None or a > b):
+                limit, a = a, left[1]
+            elif right:  # an equal merge to the right comes after one at the boundary
+                limit, b = b + 1, right[0]
+            else:
+                return True
+            if ranks.get(text[a] + text[b], limit) < limit:
+                return False
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         live, boundary = [], None
+        trie, inner, token_at = self.trie, self.inner, self.token_at
         for node, last, pending in self.states[state]:
-            to = self.trie[node].get(byte)
+            to = trie.get(node << 8 | byte)
             if to is None:
                 continue
-            token = self.token_at.get(to)
+            token = token_at.get(to)
             if token is not None and boundary is None and self._suit(last, token):
                 boundary = (0, token, (*pending, token))
-            if self.trie[to]:
+            if to in inner:
                 live.append((to, last, pending))
         if boundary is None:
             raise ValueError("the ranks lack a single byte")
@@ -123,23 +145,19 @@ class Transducer:
         return out
 
 
-class Codec:
-    """Encodes texts piece by piece of the pattern, and decodes ids to bytes and text."""
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
 
-    def __init__(self, path: str, pattern: str):
-        import regex
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
-        self.split = regex.compile(pattern).findall
+class Encoder:
+    """Encodes texts, each piece of the pattern by itself."""
+
+    def __init__(self, path: str, pattern: str):
+        self.ranks = read_ranks(path)
+        self.split = splitter(pattern)
         self.fst = Transducer(self.ranks)
         self.pieces: dict[str, bytes] = {}
-        size = max(self.ranks.values()) + 1
-        self.token_bytes = [b""] * size
-        for t, r in self.ranks.items():
-            self.token_bytes[r] = t
-        # tokens that are whole UTF-8 by themselves leave the decoder's state as it was
-        self.whole = np.array([_is_utf8(t) for t in self.token_bytes])
 
     def encode(self, text: str) -> np.ndarray:
         known, pieces = self.pieces, self.split(text)
@@ -156,7 +174,19 @@ class Codec:
                 known[p] = np.array(self.fst.encode(raw) if rank is None else [rank], np.int32).tobytes()
         return np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
 
-    def decode(self, ids: np.ndarray) -> tuple[bytes, bool]:
+
+class Decoder:
+    """Turns ids into bytes and text."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        self.token_bytes = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            self.token_bytes[r] = t
+        # tokens that are whole UTF-8 by themselves leave the decoder's state as it was
+        self.whole = np.array([_is_utf8(t) for t in self.token_bytes])
+
+    def __call__(self, ids: np.ndarray) -> tuple[bytes, bool]:
         """The bytes of the ids, and whether they are UTF-8 throughout; only tokens with parts of characters are walked through."""
         parts = [self.token_bytes[i] for i in ids.tolist()]
         state, at = 0, -1
@@ -235,23 +265,23 @@ class Utf8:
 
 
 @lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+def encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(path, pattern)
 
 
-def _default_pattern(pattern: str | None) -> str:
-    if pattern is None:
-        from public_tokenizers import PATTERN as pattern
-    return pattern
+@lru_cache(2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str | None = None, name: str = "ids") -> DataFrame:
     """docs with the ids of text, array<int>. ranks: a file of base64 tokens and ranks that every node has."""
-    pattern = _default_pattern(pattern)
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern
     columns = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks, pattern)
+        c = encoder(ranks, pattern)
         for b in batches:
             text = b.column(b.schema.get_field_index("text"))
             for first, end, _, _ in text_chunks(text):
@@ -261,17 +291,16 @@ def encode(docs: DataFrame, ranks: str, pattern: str | None = None, name: str =
     return docs.mapInArrow(run, with_schema(docs, f"`{name}` array<int>", name))
 
 
-def decode(encoded: DataFrame, ranks: str, pattern: str | None = None, name: str = "ids", to: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, ranks: str, name: str = "ids", to: str = "decoded") -> DataFrame:
     """encoded with the bytes that its ids stand for, and valid_utf8."""
-    pattern = _default_pattern(pattern)
     columns = [c for c in encoded.columns if c not in (to, "valid_utf8")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(ranks, pattern)
+        to_bytes = decoder(ranks)
         for b in batches:
             ids = b.column(b.schema.get_field_index(name))
             off, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-            out = [c.decode(flat[off[i] : off[i + 1]]) for i in range(len(ids))]
+            out = [to_bytes(flat[off[i] : off[i + 1]]) for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index(x)) for x in columns] + [pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.bool_())],
                 [*columns, to, "valid_utf8"],
