@@ -27,7 +27,7 @@ from .common import table, text_chunks, with_schema
 from .pretokens import splitter
 
 #: Transitions, and pieces with their ids, that a worker keeps.
-MAX_TRANSITIONS, MAX_PIECES = 250_000, 250_000
+MAX_TRANSITIONS, MAX_PIECES = 400_000, 150_000
 
 
 class Merges:
@@ -72,7 +72,7 @@ class Transducer:
         # a pair: (trie place, last token or -1, pending tokens); the last pair of a state is the boundary itself
         self.states = [((0, -1, ()),)]
         self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge completes this one; None for a single byte."""
@@ -103,7 +103,8 @@ class Transducer:
             if ranks.get(text[a] + text[b], limit) < limit:
                 return False
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
+        """The next state, with the tokens that have become certain if there are some."""
         live, boundary = [], None
         trie, inner, token_at = self.trie, self.inner, self.token_at
         for node, last, pending in self.states[state]:
@@ -117,17 +118,16 @@ class Transducer:
                 live.append((to, last, pending))
         if boundary is None:
             raise ValueError("the ranks lack a single byte")
-        pairs = [*live, boundary]
-        common = 0
-        shortest = min(len(p) for *_, p in pairs)
-        while common < shortest and len({p[common] for *_, p in pairs}) == 1:
+        live.append(boundary)
+        first, common = live[0][2], 0
+        while common < len(first) and all(len(p) > common and p[common] == first[common] for _, _, p in live):
             common += 1
-        out = pairs[0][2][:common]
-        key = tuple((n, t, p[common:]) for n, t, p in pairs)
+        out = first[:common]
+        key = tuple([(n, t, p[common:]) for n, t, p in live] if common else live)
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-        return self.number[key], out
+        return (self.number[key], out) if out else self.number[key]
 
     def encode(self, piece: bytes) -> list[int]:
         if len(self.moves) > MAX_TRANSITIONS:
@@ -138,8 +138,10 @@ class Transducer:
             move = moves.get(state << 8 | byte)
             if move is None:
                 move = moves[state << 8 | byte] = self._move(state, byte)
-            state, made = move
-            if made:
+            if type(move) is int:
+                state = move
+            else:
+                state, made = move
                 out += made
         out += self.states[state][-1][2]
         return out
