@@ -217,9 +217,11 @@ class Encoder:
         if len(self.memo) > MEMO:
             self.memo = {}
         memo = self.memo
-        new = list({p for ps in pieces for p in ps if p not in memo})
+        rows = [list(map(memo.get, ps)) for ps in pieces]
+        gaps = [(r, [i for i, x in enumerate(row) if x is None]) for r, row in enumerate(rows) if None in row]
+        new = list(dict.fromkeys(pieces[r][i] for r, at in gaps for i in at))
         # letters after a space stay a piece of their own wherever they stand, so those are encoded as one long text
-        spaced = [p for p in new if p[0] == " " and p[1:].isalpha() and p.isascii()]
+        spaced = [p for p in new if p[0] == " " and p[1:].isalpha()]
         e = self.tok.encode("".join(spaced), add_special_tokens=False)
         ids, ends = np.array(e.ids, np.uint32), np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), append=-1)) + 1
         begin = 0
@@ -229,7 +231,11 @@ class Encoder:
         other = [p for p in new if p not in memo]
         for p, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False)):
             memo[p] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join([memo[p] for p in ps]), np.uint32) for ps in pieces]
+        for r, at in gaps:
+            row, ps = rows[r], pieces[r]
+            for i in at:
+                row[i] = memo[ps[i]]
+        return [np.frombuffer(b"".join(row), np.uint32) for row in rows]
 
 
 @lru_cache(2)
