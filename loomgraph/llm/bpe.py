@@ -27,7 +27,7 @@ from .common import table, text_chunks, with_schema
 from .pretokens import splitter
 
 #: Transitions, and pieces with their ids, that a worker keeps.
-MAX_TRANSITIONS, MAX_PIECES = 400_000, 150_000
+MAX_TRANSITIONS, MAX_PIECES = 400_000, 320_000
 
 
 class Merges:
@@ -163,18 +163,18 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         known, pieces = self.pieces, self.split(text)
-        try:
-            return np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
-        except KeyError:
-            pass
-        if len(known) > MAX_PIECES:
-            known.clear()
-        for p in pieces:
-            if p not in known:
-                raw = p.encode()
-                rank = self.ranks.get(raw)
-                known[p] = np.array(self.fst.encode(raw) if rank is None else [rank], np.int32).tobytes()
-        return np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
+        row = list(map(known.get, pieces))
+        if None in row:
+            if len(known) > MAX_PIECES:
+                known.clear()
+            for i, p in enumerate(pieces):
+                if row[i] is None:
+                    if p not in known:
+                        raw = p.encode()
+                        rank = self.ranks.get(raw)
+                        known[p] = np.array(self.fst.encode(raw) if rank is None else [rank], np.int32).tobytes()
+                    row[i] = known[p]
+        return np.frombuffer(b"".join(row), np.int32)
 
 
 class Decoder:
