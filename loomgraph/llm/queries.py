@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, mixing, quality, secrets, tokenshards, toxicity
+from . import bpe, fingerprint, langid, minhash, mixing, quality, secrets, tokenshards, toxicity
 
-MODULES = [toxicity, tokenshards, langid, secrets, bpe, fingerprint, quality, mixing]
+MODULES = [toxicity, minhash, tokenshards, langid, secrets, bpe, fingerprint, quality, mixing]
 
 
 def queries() -> dict:
