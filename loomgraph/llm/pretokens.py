@@ -22,3 +22,24 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     if pattern != USUAL:
         return full
     return lambda text: full(text) if _unsafe(text) else _quick(text)
+
+
+class Recent(dict):
+    """A mapping that keeps what was met in the last one or two times `bound` new entries, in two generations."""
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.old = bound, {}
+
+    def recall(self, key: str) -> bytes | None:
+        """An entry of the older generation, which counts as new again."""
+        value = self.old.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+    def renew(self) -> None:
+        """Between texts: with the younger generation full, the older one is given up."""
+        if len(self) > self.bound:
+            self.old = dict(self)
+            self.clear()

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table, text_chunks, written
-from .pretokens import USUAL, splitter
+from .pretokens import USUAL, Recent, splitter
 
 MAGIC, VERSION = b"LOOMSST1", 1
 FOOTER = struct.Struct("<8sIIQQQQQQQII")
@@ -185,8 +185,8 @@ class Shard:
         return found
 
 
-#: Distinct pre-tokens whose ids a worker keeps; at the bound it starts anew.
-MEMO = 700_000
+#: Distinct pre-tokens of a generation; a worker keeps the ids of two.
+MEMO = 180_000
 
 
 class Encoder:
@@ -203,23 +203,22 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.vocab = self.tok.get_vocab_size()
         with open(path, encoding="utf-8") as f:
-            conf = json.load(f)
+            conf = {k: v for k, v in json.load(f).items() if k != "model"}
         pre = conf.get("pre_tokenizer") or {}
         self.split = None
         if not conf.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
             self.split = splitter(USUAL)
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo = Recent(MEMO)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.split is None:
             return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         pieces = [self.split(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
         memo = self.memo
+        memo.renew()
         rows = [list(map(memo.get, ps)) for ps in pieces]
         gaps = [(r, [i for i, x in enumerate(row) if x is None]) for r, row in enumerate(rows) if None in row]
-        new = list(dict.fromkeys(pieces[r][i] for r, at in gaps for i in at))
+        new = [p for p in dict.fromkeys(pieces[r][i] for r, at in gaps for i in at) if memo.recall(p) is None]
         # letters after a space stay a piece of their own wherever they stand, so those are encoded as one long text
         spaced = [p for p in new if p[0] == " " and p[1:].isalpha()]
         e = self.tok.encode("".join(spaced), add_special_tokens=False)
