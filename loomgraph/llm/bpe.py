@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_chunks, with_schema
-from .pretokens import splitter
+from .common import table, text_chunks, with_schema, written
+from .pretokens import Recent, splitter
 
-#: Transitions, and pieces with their ids, that a worker keeps.
-MAX_TRANSITIONS, MAX_PIECES = 400_000, 320_000
+#: Transitions, and pieces of one of two generations with their ids, that a worker keeps.
+MAX_TRANSITIONS, MAX_PIECES = 300_000, 120_000
 
 
 class Merges:
@@ -159,17 +159,16 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.split = splitter(pattern)
         self.fst = Transducer(self.ranks)
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Recent(MAX_PIECES)
 
     def encode(self, text: str) -> np.ndarray:
         known, pieces = self.pieces, self.split(text)
         row = list(map(known.get, pieces))
         if None in row:
-            if len(known) > MAX_PIECES:
-                known.clear()
+            known.renew()
             for i, p in enumerate(pieces):
                 if row[i] is None:
-                    if p not in known:
+                    if p not in known and known.recall(p) is None:
                         raw = p.encode()
                         rank = self.ranks.get(raw)
                         known[p] = np.array(self.fst.encode(raw) if rank is None else [rank], np.int32).tobytes()
@@ -325,6 +324,8 @@ def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    e = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    # ids are stored first: an encoder and a decoder need not be in memory at the same time
+    ids = written(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), "ids")
+    e = decode(ids, path)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
