@@ -94,3 +94,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """
     some = stratified(labels.select("doc_id", F.col("label").cast("int").alias("label")).filter("label in (0, 1)"), "label", most)
     return written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "sample")
+
+
+def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
+    """A bit for each remainder of the ids, of which there are FILTER_BITS at most: every id passes, and what else passes does no harm.
+
+    Its size is fixed, so it may be sent to all tasks; a pass over a table can then leave most rows out before any shuffle.
+    """
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    words = ids.select(at.alias("at")).select(F.shiftright("at", 5).alias("word"), F.expr("shiftleft(1L, cast(at % 32 as int))").alias("bit"))
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 32 + 1, np.uint32)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def passes(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at = np.mod(ids, FILTER_BITS)
+    return (words[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+#: A prime, so that regular ids do not fall together; one megabyte of bits.
+FILTER_BITS = 8_388_593
