@@ -186,7 +186,7 @@ class Shard:
 
 
 #: Distinct pre-tokens of a generation; a worker keeps the ids of two.
-MEMO = 180_000
+MEMO = 300_000
 
 
 class Encoder:
@@ -208,6 +208,8 @@ class Encoder:
         self.split = None
         if not conf.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
             self.split = splitter(USUAL)
+            self.opens = np.zeros(self.vocab, bool)
+            self.opens[[i for t, i in self.tok.get_vocab().items() if t[0] == "Ġ"]] = True
         self.memo = Recent(MEMO)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
@@ -219,14 +221,17 @@ class Encoder:
         rows = [list(map(memo.get, ps)) for ps in pieces]
         gaps = [(r, [i for i, x in enumerate(row) if x is None]) for r, row in enumerate(rows) if None in row]
         new = [p for p in dict.fromkeys(pieces[r][i] for r, at in gaps for i in at) if memo.recall(p) is None]
-        # letters after a space stay a piece of their own wherever they stand, so those are encoded as one long text
+        # letters after a space stay a piece of their own wherever they stand, so many of those are encoded as one text, in
+        # which a token that begins with the space begins a piece
         spaced = [p for p in new if p[0] == " " and p[1:].isalpha()]
-        e = self.tok.encode("".join(spaced), add_special_tokens=False)
-        ids, ends = np.array(e.ids, np.uint32), np.flatnonzero(np.diff(np.array(e.word_ids, np.int64), append=-1)) + 1
-        begin = 0
-        for p, end in zip(spaced, ends.tolist(), strict=True):
-            memo[p] = ids[begin:end].tobytes()
-            begin = end
+        for at in range(0, len(spaced), 500):
+            some = spaced[at : at + 500]
+            ids = np.array(self.tok.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = [*np.flatnonzero(self.opens[ids]).tolist()[1:], len(ids)]
+            raw, begin = ids.tobytes(), 0
+            for p, end in zip(some, ends, strict=True):
+                memo[p] = raw[4 * begin : 4 * end]
+                begin = end
         other = [p for p in new if p not in memo]
         for p, e in zip(other, self.tok.encode_batch_fast(other, add_special_tokens=False)):
             memo[p] = np.array(e.ids, np.uint32).tobytes()
