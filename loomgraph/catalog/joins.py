@@ -159,11 +159,11 @@ def flow_edges(t):
     return _flows(t)
 
 
-@query("data_flow_both", f"""{_MATCHED}, s AS (SELECT sym_id AS fn FROM {{symbols}} WHERE kind = 'function' AND file_id = 3)
+@query("data_flow_both", f"""{_MATCHED}, s AS (SELECT sym_id AS fn FROM {{symbols}} WHERE kind = 'function' AND start_line <= 20)
     SELECT * FROM (SELECT 'down' AS direction, source_fn AS fn, sink_fn AS other, query_id FROM e WHERE source_fn IN (SELECT fn FROM s) ORDER BY fn, other, query_id LIMIT 25)
     UNION ALL SELECT * FROM (SELECT 'up', sink_fn AS fn, source_fn AS other, query_id FROM e WHERE sink_fn IN (SELECT fn FROM s) ORDER BY fn, other, query_id LIMIT 25)""")
 def data_flow_both(t):
-    return flows.trace(_flows(t), t.symbols.filter("kind = 'function' and file_id = 3").select(F.col("sym_id").alias("fn")))
+    return flows.trace(_flows(t), t.symbols.filter("kind = 'function' and start_line <= 20").select(F.col("sym_id").alias("fn")))
 
 
 @query("findings_list", "SELECT finding_id, query_id, severity FROM {findings} ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, query_id, finding_id LIMIT 50")
