@@ -6,10 +6,14 @@ candidates. At ROWS = 5 and BANDS = 28, two texts of similarity 0.8 share no ban
 5 in 10**8.
 
 Texts with equal shingle sets are one class, and only a class's least document goes on. Members of a band's bucket are compared
-with the bucket's least document first, and links are confirmed on the full sets. Where that leaves a bucket in several
-components, members of small buckets are compared across components; large ones are divided by the keys of later bands, which
-linked texts share as often as any, and the procedure is repeated on the parts. Before full sets are fetched, four bits of each
-signature value are compared: a pair goes on unless it has more differences than a similar pair has by six standard deviations. So no bucket is cut off, and none is expanded into all of its pairs.
+with the bucket's least document first. Where that leaves a bucket in several components, all of its members are compared across
+components, however many they are: a bucket is dealt into blocks by a hash of the id, and every two blocks are compared by numpy on
+sketches of fixed size. First the pairs that would tie a block together go on, then, with what these tied together, all others. Links
+are confirmed on full sets. So every two similar texts that share a band end in one component, and no bucket is cut off or expanded into rows.
+
+Two sketches rule pairs out before full sets are fetched: four bits of each signature value, of which a similar pair differs in more
+than allowed by six standard deviations or never, and the parities of CELLS cells that the shingles fall into. Parities differ in no more
+places than the sets do, so that this bound is exact.
 
 Defined cases: a text of fewer words than a shingle is one shingle; null, empty and blank texts have no shingles and link with
 nothing; repeated rows of a doc_id are copies of each other or link like other texts, and all rows of a doc_id get one component;
@@ -31,10 +35,10 @@ from .components import components
 from .wordhash import U, Words, mix, shingle_sets
 
 ROWS, BANDS = 5, 28
-#: Up to so many members a bucket's components are compared member by member; beyond it the bucket is divided.
-SMALL = 128
-#: Divisions after which a bucket's members agree in so many bands that the rest is compared with the least member only.
-DIVISIONS = 3
+#: Members of a bucket that are compared at once, on average, with so many others; larger buckets have more such blocks.
+BLOCK = 256
+#: Parities of a set, a multiple of 64.
+CELLS = 1024
 
 
 @lru_cache(4)
@@ -73,24 +77,45 @@ def nibbles(signature: np.ndarray) -> np.ndarray:
     wide = -(-signature.shape[1] // 16) * 16
     low = np.zeros((len(signature), wide), U)
     low[:, : signature.shape[1]] = mix(signature) & U(15)
-    return np.bitwise_or.reduce(low.reshape(len(low), -1, 16) << (U(4) * np.arange(16, dtype=U)), axis=2).view(np.int64)
+    return np.bitwise_or.reduce(low.reshape(len(low), wide // 16, 16) << (U(4) * np.arange(16, dtype=U)), axis=2).view(np.int64)
+
+
+def parities(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each of CELLS cells holds an odd number of shingles, of the non-empty sets, as 64-bit numbers."""
+    size = np.diff(offsets)
+    begin, size = offsets[:-1][size > 0], size[size > 0]
+    out = np.zeros((len(size), CELLS // 64), np.int64)
+    for at in range(0, len(size), 2048):
+        n = size[at : at + 2048]
+        cell = (mix(sets[begin[at] : begin[at] + n.sum()] + U(2)) & U(CELLS - 1)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(n)), n) * CELLS + cell, minlength=len(n) * CELLS) & 1
+        out[at : at + len(n)] = np.packbits(odd.astype(np.uint8).reshape(len(n), CELLS), axis=1).view(np.int64)
+    return out
 
 
-def _may_be_similar(a: str, b: str, values: int, percent: int):
-    """Whether the nibbles a and b differ in no more places than those of texts of that similarity."""
+def _most_different(values: int, percent: int) -> float:
+    """Nibbles in which texts of that similarity differ, with six standard deviations."""
     share = (1 - percent / 100) * 15 / 16
-    most = values * share + 6 * (values * share * (1 - share)) ** 0.5
-    total = F.lit(0)
-    for i in range(-(-values // 16)):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for shift in (2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total <= most
+    return values * share + 6 * (values * share * (1 - share)) ** 0.5
+
+
+def _may_be_similar(a: str, b: str, values: int, percent: int):
+    """Whether the sketches _a and _b, of sets of na and nb shingles, do not rule that similarity out."""
+    wide = -(-values // 16)
+    nibbled, odd = F.lit(0), F.lit(0)
+    for i in range(wide + CELLS // 64):
+        x = F.col(f"_{a}")[i].bitwiseXOR(F.col(f"_{b}")[i])
+        if i < wide:
+            for shift in (2, 1):
+                x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+            nibbled = nibbled + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+        else:
+            odd = odd + F.bit_count(x)
+    return (nibbled <= _most_different(values, percent)) & ((100 + percent) * odd <= (100 - percent) * (F.col(f"n{a}") + F.col(f"n{b}")))
 
 
 def _sketches(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (digest of the set), keys (of the bands) and bits (nibbles); both empty if the set is."""
+    """doc_id, n (set size), s1, s2 (digest of the set), keys (of the bands) and bits (nibbles, then parities); both empty if the set is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,7 +128,7 @@ def _sketches(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                     digests[0, full] = np.add.reduceat(mix(sets), at[:-1][full])
                     digests[1, full] = np.bitwise_xor.reduceat(mix(sets + U(1)), at[:-1][full])
                 signature = signatures(sets, at, rows * bands)
-                keys, bits = band_keys(signature, rows), nibbles(signature)
+                keys, bits = band_keys(signature, rows), np.c_[nibbles(signature), parities(sets, at)]
                 lists = []
                 for values in (keys, bits):
                     ends = np.zeros(len(n) + 1, np.int32)
@@ -131,15 +156,15 @@ def _full_sets(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
 
 
 def _promising(pairs: DataFrame, bits: DataFrame, values: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that their nibbles (doc_id, bits) do not rule out."""
-    left, right = (bits.select(F.col("doc_id").alias(x), F.col("bits").alias(f"_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").filter(_may_be_similar("_a", "_b", values, percent)).select("a", "b")
+    """The pairs (a, b) that their sketches (doc_id, n, bits) do not rule out."""
+    left, right = (bits.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(_may_be_similar("a", "b", values, percent)).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    some = sets.join(ids, "doc_id", "left_semi")
+    some = written(_full_sets(docs, k, id_filter(ids)).join(ids, "doc_id", "left_semi"), "sets")
     left = some.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
     right = some.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
     j = pairs.join(left, "a").join(right, "b")
@@ -160,13 +185,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     digest = ["n", "s1", "s2"]
     least = written(real.groupBy(*digest).agg(F.min(F.struct("doc_id", "keys", "bits")).alias("r")).select(*digest, F.col("r.doc_id").alias("rep"), "r.keys", "r.bits"), "classes")
     classes = written(real.select("doc_id", *digest).join(least.select(*digest, "rep"), digest).select("doc_id", "rep"), "members")
-    member = least.select(F.posexplode("keys").alias("band", "key"), F.col("rep").alias("doc_id"), "n")
+    member = least.select(F.explode("keys").alias("key"), F.col("rep").alias("doc_id"), "n")
     shared = written(member.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("c")).filter("c > 1"), "buckets")
     bucket = written(member.join(shared.select("key"), "key", "left_semi"), "shared")
     near = written(bucket.select("doc_id").distinct(), "near")
-    sets = written(_full_sets(docs, k, id_filter(near)).join(near, "doc_id", "left_semi"), "sets")
-    bits = written(least.select(F.col("rep").alias("doc_id"), "bits").join(near, "doc_id", "left_semi"), "bits")
-    links = _closed(bucket, sets, bits, rows * bands, percent)
+    bits = written(least.select(F.col("rep").alias("doc_id"), "n", "bits").join(near, "doc_id", "left_semi"), "bits")
+    links = _closed(bucket, docs, bits, k, rows * bands, percent)
     own = classes.join(links, classes["rep"] == links["id"], "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     # several rows of one doc_id tie what they belong to together
     tied = own.groupBy("doc_id").agg(F.min("c").alias("c"), F.max("c").alias("most"))
@@ -177,41 +201,98 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     return out.select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce(F.coalesce("c", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _closed(bucket: DataFrame, sets: DataFrame, bits: DataFrame, values: int, percent: int) -> DataFrame:
-    """id and component of the linked among the members (band, key, doc_id, n) of buckets."""
-    links, tried, all_keys, part = None, None, bucket, bucket
-    for division in range(DIVISIONS + 1):
-        # each member against the least of its bucket
-        low = part.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("l")).select("key", F.col("l.doc_id").alias("a"), F.col("l.n").alias("na"))
-        star = part.join(written(low, "low"), "key").filter((F.col("a") < F.col("doc_id")) & _alike_in_size("na", "n", percent))
-        star = star.select("a", F.col("doc_id").alias("b")).distinct()
-        star = written(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = written(_confirmed(written(_promising(star, bits, values, percent), "promising"), sets, percent), "links")
-        tried = star if tried is None else tried.unionByName(star)
-        links = new if links is None else links.unionByName(new)
-        found = written(components(links), "components")
+def _closed(bucket: DataFrame, docs: DataFrame, bits: DataFrame, k: int, values: int, percent: int) -> DataFrame:
+    """id and component of the linked among the members (key, doc_id, n) of buckets."""
+    # each member against the least of its bucket
+    low = written(bucket.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("l")).select("key", F.col("l.doc_id").alias("a"), F.col("l.n").alias("na")), "low")
+    star = bucket.join(low, "key").filter((F.col("a") < F.col("doc_id")) & _alike_in_size("na", "n", percent))
+    tried = written(_promising(star.select("a", F.col("doc_id").alias("b")).distinct(), bits, values, percent), "pairs")
+    links = written(_confirmed(tried, docs, k, percent), "links")
+    found = written(components(links), "components")
+    for forest in (True, False):
         # buckets in which several components are left
-        part = part.join(found, part["doc_id"] == found["id"], "left").select("band", "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+        part = bucket.join(found, bucket["doc_id"] == found["id"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
         part = written(part, "placed")
         sizes = part.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).filter("c0 <> c1")
-        part = written(part.join(written(sizes.select("key", "size"), "open"), "key"), "unsettled")
-        small = written(part.filter(F.col("size") <= SMALL).join(bits, "doc_id"), "small")
-        x, y = (small.select("key", F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}"), F.col("bits").alias(f"_{i}")) for i in "ab")
-        other = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike_in_size("na", "nb", percent)
-        across = x.join(y, "key").filter(other & _may_be_similar("_a", "_b", values, percent)).select("a", "b").distinct()
-        across = written(across.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(across)
-        links = written(links.unionByName(_confirmed(across, sets, percent)), "links")
-        large = part.filter(F.col("size") > SMALL).select(F.col("key").alias("k0"), F.col("band").alias("b0"), "doc_id", "n")
-        if division == DIVISIONS or large.isEmpty():
-            break
-        # linked texts of a large bucket share many of their other bands: buckets of two keys at once are smaller. Later bands are
-        # enough: the first band that two texts share holds them in a small bucket, or in a large one that a later band divides
-        other = large.join(all_keys.select("band", "key", "doc_id"), "doc_id").filter("band > b0")
-        both = written(other.select("band", F.xxhash64("k0", "key").alias("key"), "doc_id", "n"), "divided")
-        several = written(both.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "buckets")
-        part = written(both.join(several, "key", "left_semi"), "divided")
-    return written(components(links), "components")
+        blocks = written(sizes.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "open")
+        pairs = _across(part, blocks, bits, values, percent, forest)
+        pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        new = written(_confirmed(pairs, docs, k, percent), "links")
+        tried = tried.unionByName(pairs)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = written(components(links), "components")
+    return found
+
+
+MEMBERS = "array<struct<doc_id:bigint,n:bigint,c:bigint,bits:array<bigint>>>"
+
+
+def _across(part: DataFrame, blocks: DataFrame, bits: DataFrame, values: int, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different components that sketches do not rule out; of each two blocks, if forest,
+    only those that tie them together. part: key, doc_id, c; blocks: key, blocks."""
+    member = part.join(blocks, "key").join(bits, "doc_id").select("key", "blocks", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("i"), F.struct("doc_id", "n", "c", "bits").alias("m"))
+    block = written(member.groupBy("key", "blocks", "i").agg(F.collect_list("m").alias("x")), "blocks")
+    within = block.filter(F.size("x") > 1).select("x", F.array().cast(MEMBERS).alias("y"))
+    first = block.filter("i < blocks - 1").select("key", F.explode(F.sequence(F.col("i") + 1, F.col("blocks") - 1)).alias("i"), "x")
+    second = block.filter("i > 0").select("key", "i", F.col("x").alias("y"))
+    both = within.unionByName(first.join(second, ["key", "i"]).select("x", "y"))
+    wide, most = -(-values // 16), _most_different(values, percent)
+
+    def columns(lists: pa.Array) -> tuple[np.ndarray, ...]:
+        m = lists.values
+        ids, n, c = (m.field(i).to_numpy() for i in range(3))
+        return lists.offsets.to_numpy(), ids, n, c, m.field(3).values.to_numpy().view(U).reshape(len(ids), wide + CELLS // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            (x_at, *x), (y_at, *y) = columns(batch.column(0)), columns(batch.column(1))
+            out = [np.zeros((0, 2), np.int64)]
+            for r in range(len(batch)):
+                ids, n, c, sketch = (v[x_at[r] : x_at[r + 1]] for v in x)
+                same = y_at[r] == y_at[r + 1]
+                ids2, n2, c2, sketch2 = (ids, n, c, sketch) if same else (v[y_at[r] : y_at[r + 1]] for v in y)
+                i, j = np.nonzero((c[:, None] != c2) & (100 * n[:, None] >= percent * n2) & (100 * n2 >= percent * n[:, None]))
+                if same:
+                    i, j = i[i < j], j[i < j]
+                z = sketch[i, :wide] ^ sketch2[j, :wide]
+                z |= z >> U(2)
+                z |= z >> U(1)
+                few = np.bitwise_count(z & U(0x1111111111111111)).sum(1, dtype=np.int64) <= most
+                i, j = i[few], j[few]
+                odd = np.bitwise_count(sketch[i, wide:] ^ sketch2[j, wide:]).sum(1, dtype=np.int64)
+                near = np.flatnonzero((100 + percent) * odd <= (100 - percent) * (n[i] + n2[j]))
+                if forest:
+                    near = near[np.argsort(odd[near] / (n[i] + n2[j])[near], kind="stable")]
+                    near = near[_tying(c[i[near]].tolist(), c2[j[near]].tolist())]
+                a, b = ids[i[near]], ids2[j[near]]
+                out.append(np.c_[np.minimum(a, b), np.maximum(a, b)])
+            found = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def _tying(a: list[int], b: list[int]) -> list[int]:
+    """Places of the edges (a, b), taken in order, that tie together what earlier ones did not."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    out = []
+    for at, edge in enumerate(zip(a, b)):
+        x, y = map(find, edge)
+        if x != y:
+            root[x] = y
+            out.append(at)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

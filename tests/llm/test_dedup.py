@@ -66,6 +66,45 @@ def test_large_group_of_copies(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_template_family_against_brute_force(spark):
+    # all texts share a template, at a similarity of 0.74 to 0.77, and pairs a few words more: what a pair shares, hundreds of others share, too
+    k, template, own, common = 5, 240, 34, 10
+    rows = []
+    for i in range(4000):
+        words = [f"t{j}" for j in range(template)] + [f"p{i // 2}x{j}" for j in range(common)] + [f"o{i}x{j}" for j in range(own - i // 2 % 5 * 2)]
+        rows.append((i, " ".join(words)))
+    index, sets = {}, [[] for _ in rows]
+    for i, text in rows:
+        w = text.split()
+        for j in range(len(w) - k + 1):
+            sets[i].append(index.setdefault(tuple(w[j : j + k]), len(index)))
+    # shingles of two texts in common: those of the template, and what they have besides
+    n = np.array([len(s) for s in sets])
+    seen = np.bincount(np.concatenate(sets))
+    links = []
+    for i, s in enumerate(sets):
+        if i % 2 == 0:
+            both = len(set(s) & set(sets[i + 1]))
+            if 100 * both >= 80 * (n[i] + n[i + 1] - both):
+                links.append((i, i + 1))
+    # texts of different pairs share the template's shingles only, and are not similar
+    assert 100 * int((seen > 2).sum()) < 80 * (2 * int(n.min()) - int((seen > 2).sum())) and len(links) >= 400
+    got = {r.doc_id: r.component_id for r in mh.near_duplicates(frame(spark, rows), k=k).collect()}
+    assert got == components(got, links)
+
+
+def test_parities_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, size)) for size in (1, 50, 900, 3000, 2, 0, 50)]
+    p = mh.parities(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    sets = [s for s in sets if len(s)]
+    assert len(p) == len(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.bitwise_count((p[i] ^ p[j]).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_keep_one_with_nulls_and_repeats(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (None, None), (3, None), (4, "")]
     out = sorted(((r.doc_id, r.lang) for r in mh.keep_one(frame(spark, rows, "lang string", ("en",))).collect()), key=str)
