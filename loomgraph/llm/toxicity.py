@@ -4,8 +4,8 @@ Terms are a text's distinct words and the first bytes of its words, hashed; a te
 stand together in a window of consecutive words add the product of their factors, so that an insult beside a mention of a group counts for
 more than the two apart. A text scores as its highest window and its mean window do, calibrated by logistic regression.
 
-score() covers every window of every text. The machine is fitted on a sample: at most about MAX_ROWS labelled texts, of each at
-most MAX_WINDOWS windows spread over it; two thirds fit the machine, the rest calibrate. Defined cases: null text is empty, an
+Windows overlap by half, so that words up to STRIDE apart meet in one wherever they stand. Fitting and score() cover every window of
+every text. The machine is fitted on a sample: at most about MAX_ROWS labelled texts; two thirds fit the machine, the rest calibrate. Defined cases: null text is empty, an
 empty text has one window without terms and the score of those; repeated rows are scored each; with one label only the score is
 that label, 0.5 without any; extra columns pass through.
 """
@@ -24,7 +24,7 @@ from .common import bucket, labelled_sample, table, text_chunks, with_schema
 from .logistic import Logistic, fit_logistic
 from .wordhash import PUNCT, U, Words, mix
 
-BITS, FACTORS, WINDOW, PREFIXES = 20, 4, 32, (4, 5)
+BITS, FACTORS, WINDOW, STRIDE, PREFIXES = 20, 4, 32, 16, (4, 5)
 #: Terms that a word yields.
 PER_WORD = 1 + len(PREFIXES)
 MAX_ROWS, MAX_TERMS, EPOCHS = 12_000, 6000, 8
@@ -41,25 +41,32 @@ class Model(NamedTuple):
     calibration: Logistic
 
 
+def window_count(words):
+    return np.maximum(1, -(-words // STRIDE) - (WINDOW // STRIDE - 1))
+
+
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(terms window by window, where each window's begin, which text each window is of); every text has a window at least."""
+    """(terms word by word, where each window's begin, which text each window is of); every text has a window at least."""
     w = Words(data, offsets, PUNCT)
     n = np.diff(w.first)
-    windows = np.maximum(1, -(-n // WINDOW))
+    windows = window_count(n)
     of = np.repeat(np.arange(len(n)), windows)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    begin = w.first[:-1][of] + nth * WINDOW
+    begin = w.first[:-1][of] + nth * STRIDE
     flat = np.empty(PER_WORD * len(w.start), np.int64)
     for i, prefix in enumerate((None, *PREFIXES)):
         flat[i::PER_WORD] = mix(w.hashes(prefix) + U(i)) >> U(64 - BITS)
     return flat, PER_WORD * begin, of
 
 
-def present(flat: np.ndarray, begin: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def present(flat: np.ndarray, begin: np.ndarray, of: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window, term) of the used terms, in order, each once a window however often it stands there."""
     at = np.flatnonzero(used[flat])
     window = np.searchsorted(begin, at, "right") - 1
-    pair = np.unique(window << BITS | flat[at])
+    # the window before reaches over the first half of this one
+    back = np.maximum(window - 1, 0)
+    both = (back < window) & (of[back] == of[window]) & (at < begin[back] + PER_WORD * WINDOW)
+    pair = np.unique(np.concatenate([window << BITS | flat[at], back[both] << BITS | flat[at[both]]]))
     return pair >> BITS, pair & (1 << BITS) - 1
 
 
@@ -73,13 +80,13 @@ def margins(window: np.ndarray, term: np.ndarray, windows: int, bias: float, lin
 
 
 def text_features(flat: np.ndarray, begin: np.ndarray, of: np.ndarray, texts: int, m: Model) -> np.ndarray:
-    z = np.clip(margins(*present(flat, begin, m.linear != 0), len(begin), m.bias, m.linear, m.factors), -20, 20)
+    z = np.clip(margins(*present(flat, begin, of, m.linear != 0), len(begin), m.bias, m.linear, m.factors), -20, 20)
     first = np.searchsorted(of, np.arange(texts))
     return np.c_[np.maximum.reduceat(z, first), np.add.reduceat(z, first) / np.diff(np.append(first, len(of)))] if texts else np.zeros((0, 2))
 
 
 def _fit_machine(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
-    """docs: terms of a text, windows of WINDOW words one after the other. Terms that tell the labels apart are learned, each
+    """docs: terms of a text, word by word. Terms that tell the labels apart are learned, each
     window's share of a positive text being decided by the model itself: the highest window stands for the text."""
     size = 1 << BITS
     seen = [np.zeros(size), np.zeros(size)]
@@ -104,12 +111,12 @@ def _fit_machine(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> tuple[
             begin, of = [], []
             at = 0
             for j, p in enumerate(parts):
-                steps = range(0, max(len(p), 1), PER_WORD * WINDOW)
+                steps = range(0, PER_WORD * STRIDE * int(window_count(len(p) // PER_WORD)), PER_WORD * STRIDE)
                 begin += [at + s for s in steps]
                 of += [j] * len(steps)
                 at += len(p)
             flat, begin, of = np.concatenate(parts), np.array(begin), np.array(of)
-            window, term = present(flat, begin, keep)
+            window, term = present(flat, begin, of, keep)
             z = margins(window, term, len(begin), bias, linear, factors)
             first = np.searchsorted(of, np.arange(len(parts)))
             top = np.array([a + int(np.argmax(z[a:b])) for a, b in zip(first, np.append(first[1:], len(of)))])
@@ -129,20 +136,13 @@ def _fit_machine(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> tuple[
     return bias, linear.astype(np.float32), factors.astype(np.float32)
 
 
-#: Windows of a text that fitting uses at most, spread evenly over it.
-MAX_WINDOWS = 64
-
-
 def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for first, end, data, off in text_chunks(b.column(0)):
             flat, begin, of = terms(data, off)
-            ends = np.append(begin[1:], len(flat))
-            for i in range(end - first):
-                mine = np.flatnonzero(of == i)
-                mine = mine[np.unique(np.linspace(0, len(mine) - 1, min(len(mine), MAX_WINDOWS)).astype(int))]
-                out.append(np.concatenate([flat[begin[j] : ends[j]] for j in mine]).astype(np.int32).tobytes())
+            at = np.append(begin[np.searchsorted(of, np.arange(end - first))], len(flat))
+            out += [flat[a:b].astype(np.int32).tobytes() for a, b in zip(at, at[1:])]
         yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], ["label", "terms"])
 
 
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """docs: doc_id, text; labels: doc_id, label (1 toxic, 0 not)."""
     sample = labelled_sample(docs, labels, max_rows).select("text", "label").mapInArrow(_sample_terms, "label int, terms binary")
     got = sample.toPandas().sort_values(["label", "terms"]).sample(frac=1, random_state=3)
-    seqs, y = [np.frombuffer(t, np.int32).astype(np.int64) for t in got["terms"]], got["label"].to_numpy(float)
+    seqs, y = [np.frombuffer(t, np.int32) for t in got["terms"]], got["label"].to_numpy(float)
     cut = len(seqs) * 2 // 3
     empty = Model(0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32), fit_logistic(np.zeros((len(y), 2)), y))
     if len(set(y[:cut])) < 2 or len(set(y[cut:])) < 2:
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     m = Model(*_fit_machine(seqs[:cut], y[:cut]), empty.calibration)
     x = np.zeros((len(seqs) - cut, 2))
     for i, s in enumerate(seqs[cut:]):
-        begin = np.arange(0, max(len(s), 1), PER_WORD * WINDOW)
+        begin = np.arange(int(window_count(len(s) // PER_WORD))) * PER_WORD * STRIDE
         x[i] = text_features(s, begin, np.zeros(len(begin), np.int64), 1, m)[0]
     return m._replace(calibration=fit_logistic(x, y[cut:]))
 

@@ -1,5 +1,7 @@
 """Classifiers: accuracy on held-out rows, and defined results for odd rows."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from llm.helpers import EDGES, frame
 from pyspark.sql import functions as F
@@ -28,6 +30,34 @@ def test_scores(spark, module, name, label):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
 
 
+def _terms(text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return toxicity.terms(raw, np.array([0, len(raw)]))
+
+
+def test_toxic_passage_scores_alike_wherever_it_stands():
+    size = 1 << toxicity.BITS
+    linear, factors = np.zeros(size, np.float32), np.zeros((size, toxicity.FACTORS), np.float32)
+    for word in ("alpha", "omega"):
+        whole = _terms(word)[0][0]
+        linear[whole], factors[whole] = 0.5, 1
+    m = toxicity.Model(0.0, linear, factors, None)
+    neutral = [f"n{i}" for i in range(100)]
+    for apart in (1, 8, 16):
+        passage = ["alpha", *neutral[: apart - 1], "omega"]
+        top = []
+        for front in range(32):
+            flat, begin, of = _terms(" ".join(neutral[:front] + passage + neutral[:70]))
+            top.append(toxicity.text_features(flat, begin, of, 1, m)[0, 0])
+        assert np.allclose(top, 1 + toxicity.FACTORS), (apart, top)
+
+
+def test_whole_texts_are_learned():
+    texts = [" ".join(f"w{i}" for i in range(5000)), "", "a b"]
+    out = next(toxicity._sample_terms(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0, 0], pa.int32())], ["text", "label"])])))
+    assert [len(t) // 4 // toxicity.PER_WORD for t in out.column(1).to_pylist()] == [5000, 0, 2]
+
+
 def test_odd_rows(spark):
     rows = [(i, t) for i, t in EDGES] + [(None, "a b"), (104, "one two")]
     docs = frame(spark, rows, "score string, lang_pred string, rejected string", ("s", "l", "r"))
