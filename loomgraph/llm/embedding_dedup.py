@@ -217,11 +217,9 @@ def link_vectors(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     clean = written(_clean(vectors), "vectors")
-    # equal vectors are one; a label's vectors all have its most usual length, or link with nothing
-    lengths = clean.groupBy("label", F.size("embedding").alias("d")).agg(F.count("*").alias("n")).groupBy("label").agg(F.max(F.struct("n", F.col("d"))).alias("m")).select("label", F.col("m.d").alias("d"))
-    usual = clean.join(lengths, "label").filter(F.size("embedding") == F.col("d")).drop("d")
-    distinct = written(usual.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "distinct")
-    member = usual.join(distinct, ["label", "embedding"]).select("vec_id", "label", "rep", "n")
+    # equal vectors are one; vectors of a label link with those of their own length
+    distinct = written(clean.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "distinct")
+    member = clean.join(distinct, ["label", "embedding"]).select("vec_id", "label", "rep", "n")
     eps = float(np.sqrt(max(0.0, 2 - 2 * least)))
     counts, edges = [], []
     for d in [r["d"] for r in distinct.select(F.size("embedding").alias("d")).distinct().collect()]:

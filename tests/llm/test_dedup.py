@@ -37,6 +37,12 @@ def test_vectors_against_brute_force(spark):
     assert em.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    rows = [(i, [1.0, 0.01 * i, 0.5], 0) for i in range(5)] + [(10 + i, [1.0, 0.01 * i], 0) for i in range(3)] + [(20, [1.0, 0.0], 1), (21, [1.0, 0.0, 0.5], 1)]
+    got = {r.vec_id: (r.component_id, r.n_links) for r in em.link_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (0, 4) for i in range(5)}, **{10 + i: (10, 2) for i in range(3)}, 20: (20, 0), 21: (21, 0)}
+
+
 def _family(rng):
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
