@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
+from tempfile import mkdtemp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass holds, unless a single text is longer.
@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a new one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see; a new one of our own only where that is unset and all tasks run in this process."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="loomgraph-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = mkdtemp(prefix="loomgraph-")
         sc.setCheckpointDir(at)
     return at if "://" in at or at.startswith("file:") else f"file://{at}"
 
@@ -33,12 +35,56 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/loomgraph/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str = "t") -> DataFrame:
-    """df as a table in the shared folder: later reads do not compute it again, and a lost executor loses nothing of it."""
+def written(df: DataFrame, what: str = "t", files: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: later reads do not compute it again, and a lost executor loses nothing of it.
+
+    files: how many there are at most, where the rows are known to be few for the partitions.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df if files is None else df.coalesce(files)).write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "scratch", None):
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or one made of it that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Remainders of hashed ids; a table with a row for each may be broadcast, as it has no more rows than these.
+REMAINDERS = 1 << 20
+
+
+def remainder(id_column: Column) -> Column:
+    return F.pmod(F.xxhash64(id_column), F.lit(REMAINDERS)).cast("int")
+
+
+def possible(docs: DataFrame, ids: DataFrame, how: str = "left_semi", column: str = "doc_id") -> DataFrame:
+    """Rows of docs that may (left_semi), or surely do not (left_anti), have one of the ids: a pass without a shuffle."""
+    at = ids.select(remainder(F.col(column)).alias("r")).distinct()
+    return docs.join(F.broadcast(at), remainder(docs[f"`{column}`"]) == at["r"], how)
+
+
+def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs without the ids. Only rows that may have one of them are shuffled."""
+    gone = ids.select(F.col(column).alias(free_name(docs, "gone"))).distinct()
+    some = possible(docs, ids, column=column)
+    rest = some.join(gone, some[f"`{column}`"] == gone[gone.columns[0]], "left_anti")
+    return possible(docs, ids, "left_anti", column).unionByName(rest)
 
 
 def bucket(column: str, n: int):
@@ -72,10 +118,10 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int
         at = end
 
 
-def stratified(rows: DataFrame, by: str, most: int, on: str = "doc_id", seed: int = 0) -> DataFrame:
+def stratified(rows: DataFrame, by: str, most: int, on: str = "doc_id", seed: int = 0, weight: str | None = None) -> DataFrame:
     """About `most` rows, shared out evenly among the values of `by` and chosen by a hash of `on`; never over twice as many.
 
-    For fitting on a bounded sample; the values of `by` are few (labels).
+    For fitting on a bounded sample; the values of `by` are few (labels). weight: name of a column with how many rows each stands for.
     """
     n = {r[0]: r[1] for r in rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*")).collect()}
     each = most / max(1, len(n))
@@ -83,36 +129,15 @@ def stratified(rows: DataFrame, by: str, most: int, on: str = "doc_id", seed: in
     share = F.lit(0.0)
     for value, count in n.items():
         share = F.when(F.col(by) == value, min(1.0, each / count)).otherwise(share)
-    return rows.filter(u < share).limit(2 * most)
+    return (rows.withColumn(weight, 1 / F.greatest(share, F.lit(1e-12))) if weight else rows).filter(u < share).limit(2 * most)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """doc_id, text, label of about `most` labelled documents, written. labels: doc_id, label; rows without a label are not used.
+    """doc_id, text, label, weight of about `most` labelled documents, written. labels: doc_id, label; rows without a label are not used.
 
     The sample is drawn from the labels alone, so that the broadcast side has 2 * most rows at the very most and no text is
-    shuffled.
+    shuffled. Both labels have about as many rows in it; weight tells how many of the labelled a row stands for.
     """
-    some = stratified(labels.select("doc_id", F.col("label").cast("int").alias("label")).filter("label in (0, 1)"), "label", most)
+    known = labels.select("doc_id", F.col("label").cast("int").alias("label")).filter("label in (0, 1)")
+    some = stratified(known, "label", most, weight="weight")
     return written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), "sample")
-
-
-def id_filter(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
-    """A bit for each remainder of the ids, of which there are FILTER_BITS at most: every id passes, and what else passes does no harm.
-
-    Its size is fixed, so it may be sent to all tasks; a pass over a table can then leave most rows out before any shuffle.
-    """
-    at = F.pmod(F.col(column), F.lit(FILTER_BITS))
-    words = ids.select(at.alias("at")).select(F.shiftright("at", 5).alias("word"), F.expr("shiftleft(1L, cast(at % 32 as int))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 32 + 1, np.uint32)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
-
-
-def passes(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
-    at = np.mod(ids, FILTER_BITS)
-    return (words[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-
-
-#: A prime, so that regular ids do not fall together; one megabyte of bits.
-FILTER_BITS = 8_388_593

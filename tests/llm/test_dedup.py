@@ -7,7 +7,7 @@ from llm.helpers import EDGES, components, frame, near
 
 from loomgraph.llm import embedding_dedup as em
 from loomgraph.llm import minhash as mh
-from loomgraph.llm.components import components as spark_components
+from loomgraph.llm.components import components as spark_components, roots
 from loomgraph.llm.wordhash import Words, shingle_sets
 
 
@@ -130,3 +130,23 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)]
     got = {r.id: r.component for r in spark_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == components(got, edges)
+
+
+def test_roots_of_a_forest(spark):
+    parents = [(i, i - 1) for i in range(1, 40)] + [(i, 100) for i in range(101, 160)] + [(200, 150)]
+    got = {r.id: r.component for r in roots(spark.createDataFrame(parents, "id bigint, parent bigint")).collect()}
+    assert got == components(got, parents)
+    assert roots(spark.createDataFrame([], "id bigint, parent bigint")).count() == 0 == spark_components(spark.createDataFrame([], "a bigint, b bigint")).count()
+
+
+def test_blank_texts_only(spark):
+    rows = [(1, None), (2, ""), (3, " \n "), (3, "\t")]
+    got = mh.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (3, 0, 3, True)]
+
+
+def test_repeated_ids_tie_their_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a), (9, b + " more"), (8, "quite another text of more than five words"), (None, a), (None, b)]
+    got = mh.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("5", "5", True), ("5", "5", True), ("7", "5", False), ("8", "8", True), ("9", "5", False), ("None", "None", True), ("None", "None", True)]
