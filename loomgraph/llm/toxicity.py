@@ -2,12 +2,14 @@
 
 Terms are a text's distinct words and the first bytes of its words, hashed; a term's weight is linear, and every two terms that
 stand together in a window of consecutive words add the product of their factors, so that an insult beside a mention of a group counts for
-more than the two apart. A text scores as its highest window and its mean window do, calibrated by logistic regression.
+more than the two apart. A term enters with a value from 0 to 1, by how little chance explains the labels of its texts. A text scores as its highest
+window and its mean window do, calibrated by logistic regression.
 
 Windows overlap by half, so that words up to STRIDE apart meet in one wherever they stand. Fitting and score() cover every window of
-every text. The machine is fitted on a sample: at most about MAX_ROWS labelled texts; two thirds fit the machine, the rest calibrate. Defined cases: null text is empty, an
-empty text has one window without terms and the score of those; repeated rows are scored each; with one label only the score is
-that label, 0.5 without any; extra columns pass through.
+every text. The machine is fitted on a sample: at most about MAX_ROWS labelled texts; two thirds fit the machine, the rest calibrate, each counting as
+the number of labelled texts that it stands for. Defined cases: null text is empty, an empty text has one window without terms and the score of those;
+repeated rows and null doc_ids are scored each; with one label only the score is that label, 0.5 without any; an empty table yields no rows; a column
+named score is replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,17 +29,19 @@ from .wordhash import PUNCT, U, Words, mix
 BITS, FACTORS, WINDOW, STRIDE, PREFIXES = 20, 4, 32, 16, (4, 5)
 #: Terms that a word yields.
 PER_WORD = 1 + len(PREFIXES)
-MAX_ROWS, MAX_TERMS, EPOCHS = 12_000, 6000, 8
-#: Standard deviations by which a term must be more or less common in toxic texts than in all to be learned.
-LEAST_Z = 4.0
+MAX_ROWS, EPOCHS = 6000, 6
+#: Texts of the sample in which a term must stand to be learned; evidence at which its value is a half; what of its log odds its weight is at first, spread
+#: of its factors at first, decay and step of both.
+LEAST_TEXTS, EVIDENCE, START, SPREAD, DECAY, RATE = 3, 20.0, 0.3, 0.2, 1e-4, 0.1
 
 
 class Model(NamedTuple):
-    """bias; linear weight and factors of each hashed term; calibration of (highest, mean) window."""
+    """bias; linear weight and factors of each hashed term; which terms are learned; calibration of (highest, mean) window."""
 
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    used: np.ndarray
     calibration: Logistic
 
 
@@ -80,31 +84,27 @@ def margins(window: np.ndarray, term: np.ndarray, windows: int, bias: float, lin
 
 
 def text_features(flat: np.ndarray, begin: np.ndarray, of: np.ndarray, texts: int, m: Model) -> np.ndarray:
-    z = np.clip(margins(*present(flat, begin, of, m.linear != 0), len(begin), m.bias, m.linear, m.factors), -20, 20)
+    z = np.clip(margins(*present(flat, begin, of, m.used), len(begin), m.bias, m.linear, m.factors), -20, 20)
     first = np.searchsorted(of, np.arange(texts))
     return np.c_[np.maximum.reduceat(z, first), np.add.reduceat(z, first) / np.diff(np.append(first, len(of)))] if texts else np.zeros((0, 2))
 
 
-def _fit_machine(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
-    """docs: terms of a text, word by word. Terms that tell the labels apart are learned, each
-    window's share of a positive text being decided by the model itself: the highest window stands for the text."""
+def _fit_machine(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """docs: terms of a text, word by word. All terms of LEAST_TEXTS texts or more are learned, weights and factors together; the highest
+    window by the model so far stands for its text, of a clean text as of a toxic one."""
     size = 1 << BITS
-    seen = [np.zeros(size), np.zeros(size)]
+    seen = np.zeros((2, size))
     for d, label in zip(docs, y):
-        seen[int(label)][np.unique(d)] += 1
-    share, n = float(np.mean(y)), seen[0] + seen[1]
-    z = (seen[1] - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
-    z[n < 3] = 0
-    used = np.sort(np.argsort(-np.abs(z), kind="stable")[:MAX_TERMS])
-    used = used[np.abs(z[used]) >= LEAST_Z]
+        seen[int(label), np.unique(d)] += 1
+    share, n = float(np.mean(y)), seen.sum(0)
+    keep = n >= LEAST_TEXTS
+    # a term is worth the more, from 0 to 1, the less by chance it can stand in so many toxic and clean texts
+    z2 = np.where(keep, (seen[1] - n * share) ** 2 / (np.maximum(n, 1) * share * (1 - share)), 0)
+    worth = z2 / (z2 + EVIDENCE)
     odds = np.log((seen[1] + share) / (seen[0] + 1 - share)) - np.log(share / (1 - share))
     rng = np.random.default_rng(seed)
-    linear, factors, bias = np.zeros(size), np.zeros((size, FACTORS)), -2.0
-    linear[used] = np.clip(odds[used], -0.2, 3)
-    factors[used] = rng.normal(0, 0.02, (len(used), FACTORS))
-    keep = np.zeros(size, bool)
-    keep[used] = True
-    g_lin, g_fac, g_bias = np.ones(size), np.ones((size, FACTORS)), 1.0
+    linear, factors, bias = START * np.clip(odds, -1, 3) * worth, rng.normal(0, SPREAD, (size, FACTORS)) * worth[:, None], -2.0
+    g_lin, g_fac, g_bias = np.full(size, 0.1), np.full((size, FACTORS), 0.1), 1.0
     for _ in range(EPOCHS):
         for batch in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // 64)):
             parts = [docs[i] for i in batch]
@@ -125,34 +125,38 @@ def _fit_machine(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> tuple[
                 t = term[np.searchsorted(window, w) : np.searchsorted(window, w, "right")]
                 if len(t):
                     v = factors[t]
-                    dv = s * (v.sum(0) - v) + 1e-4 * v
-                    dl = s + 1e-4 * linear[t]
+                    dv = s * (v.sum(0) - v) + DECAY * v
+                    dl = s + DECAY * linear[t]
                     g_lin[t] += dl * dl
                     g_fac[t] += dv * dv
-                    linear[t] -= 0.1 * dl / np.sqrt(g_lin[t])
-                    factors[t] -= 0.05 * dv / np.sqrt(g_fac[t])
+                    linear[t] -= RATE * worth[t] * dl / np.sqrt(g_lin[t])
+                    factors[t] -= RATE * worth[t, None] * dv / np.sqrt(g_fac[t])
                 g_bias += s * s
-                bias -= 0.2 * s / np.sqrt(g_bias)
-    return bias, linear.astype(np.float32), factors.astype(np.float32)
+                bias -= RATE * s / np.sqrt(g_bias)
+    return bias, linear.astype(np.float32), factors.astype(np.float32), keep
 
 
 def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From text and further columns: the text's terms instead of it."""
     for b in batches:
         out = []
         for first, end, data, off in text_chunks(b.column(0)):
             flat, begin, of = terms(data, off)
             at = np.append(begin[np.searchsorted(of, np.arange(end - first))], len(flat))
             out += [flat[a:b].astype(np.int32).tobytes() for a, b in zip(at, at[1:])]
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], ["label", "terms"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *b.columns[1:]], ["terms", *b.schema.names[1:]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """docs: doc_id, text; labels: doc_id, label (1 toxic, 0 not)."""
-    sample = labelled_sample(docs, labels, max_rows).select("text", "label").mapInArrow(_sample_terms, "label int, terms binary")
-    got = sample.toPandas().sort_values(["label", "terms"]).sample(frac=1, random_state=3)
-    seqs, y = [np.frombuffer(t, np.int32) for t in got["terms"]], got["label"].to_numpy(float)
+    sample = labelled_sample(docs, labels, max_rows).select("text", "label", "weight").mapInArrow(_sample_terms, "terms binary, label int, weight double")
+    rows = sorted(sample.collect(), key=lambda r: (r["label"], r["terms"]))
+    order = np.random.default_rng(3).permutation(len(rows))
+    seqs = [np.frombuffer(rows[i]["terms"], np.int32) for i in order]
+    y, weight = (np.array([rows[i][c] for i in order], float) for c in ("label", "weight"))
     cut = len(seqs) * 2 // 3
-    empty = Model(0.0, np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, FACTORS), np.float32), fit_logistic(np.zeros((len(y), 2)), y))
+    size = 1 << BITS
+    empty = Model(0.0, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32), np.zeros(size, bool), fit_logistic(np.zeros((len(y), 2)), y, weight))
     if len(set(y[:cut])) < 2 or len(set(y[cut:])) < 2:
         return empty
     m = Model(*_fit_machine(seqs[:cut], y[:cut]), empty.calibration)
@@ -160,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     for i, s in enumerate(seqs[cut:]):
         begin = np.arange(int(window_count(len(s) // PER_WORD))) * PER_WORD * STRIDE
         x[i] = text_features(s, begin, np.zeros(len(begin), np.int64), 1, m)[0]
-    return m._replace(calibration=fit_logistic(x, y[cut:]))
+    return m._replace(calibration=fit_logistic(x, y[cut:], weight[cut:]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
