@@ -1,12 +1,13 @@
 """Quality by compression: zstandard dictionaries of good and of bad text, and how much better either compresses a text.
 
-Two dictionaries are trained, one on blocks of texts labelled 1 and one on blocks of texts labelled 0. Every block of a text is
-compressed with both and with none. The normalised difference of the sizes, with the sizes per byte, as mean, most and least over
-the text's blocks, becomes a score by logistic regression on labelled texts that the dictionaries have not seen.
-
-Fitted on a sample: at most about MAX_ROWS labelled texts, half of them for MAX_BLOCKS blocks of each label in the dictionaries.
-Scores cover whole texts. Defined cases: null text is empty and scored as such; repeated rows are scored each; without both
-labels the score is that of the label there is, 0.5 without any; extra columns pass through.
+Two dictionaries are trained, one on blocks of texts labelled 1 and one on blocks of as many texts labelled 0. Every block of a text is
+compressed with both. The difference of the two sizes, normalised by the larger, is averaged over the text's blocks, and logistic regression on
+labelled texts that the dictionaries have not seen calibrates this one number to a score.
+
+Fitted on a sample: at most about MAX_ROWS labelled texts, half of them for the dictionaries; the calibration counts each by the number of labelled texts
+that it stands for. Scores cover whole texts. Defined cases: null text is empty and scored as such; repeated rows and null doc_ids are scored each;
+without both labels the score is that of the label there is, 0.5 without any; an empty table yields no rows; a column named score is replaced, other
+columns pass through.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket, labelled_sample, table, text_chunks, with_schema
 from .logistic import Logistic, fit_logistic
 
-BLOCK, MAX_ROWS, MAX_BLOCKS, DICTIONARY, LEVEL = 1500, 12_000, 4000, 110 << 10, 3
-FEATURES = 12
+#: Bytes of a block and of a dictionary, compression level, labelled rows that fitting may use.
+BLOCK, DICTIONARY, LEVEL, MAX_ROWS = 256, 32 << 10, 1, 6000
 
 
 class Model(NamedTuple):
@@ -34,11 +35,11 @@ class Model(NamedTuple):
     calibration: Logistic
 
 
-class Sizer:
-    """Features of a text from its blocks' compressed sizes."""
+class Difference:
+    """By how much better, in parts of the larger size, the good dictionary compresses a text than the bad one; block by block, averaged."""
 
     def __init__(self, good: bytes, bad: bytes):
-        self.by = [self._compressor(d).compress for d in (good, bad, b"")]
+        self.by = [self._compressor(d).compress for d in (good, bad)]
 
     @staticmethod
     def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
@@ -48,65 +49,63 @@ class Sizer:
             held.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False)
 
-    def __call__(self, text: bytes) -> np.ndarray:
-        rows = []
-        good, bad, none = self.by
+    def __call__(self, text: bytes) -> float:
+        good, bad = self.by
+        total, n = 0.0, 0
         for at in range(0, max(len(text), 1), BLOCK):
             b = text[at : at + BLOCK]
-            n, g, q, p = max(len(b), 1), len(good(b)), len(bad(b)), len(none(b))
-            rows.append(((g - q) / max(g, q), g / n, q / n, p / n))
-        f = np.array(rows)
-        return np.concatenate([f.mean(0), f.max(0), f.min(0)])
+            g, q = len(good(b)), len(bad(b))
+            total += (q - g) / max(g, q)
+            n += 1
+        return total / n
 
 
-def features(texts: pa.Array, sizer: Sizer) -> np.ndarray:
-    out = np.zeros((len(texts), FEATURES))
+def differences(texts: pa.Array, of: Difference) -> np.ndarray:
+    """One for each text, as a column."""
+    out = np.zeros((len(texts), 1))
     for first, _, data, off in text_chunks(texts):
         raw = data.tobytes()
         for i in range(len(off) - 1):
-            out[first + i] = sizer(raw[off[i] : off[i + 1]])
+            out[first + i] = of(raw[off[i] : off[i + 1]])
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        labels, blocks = [], []
-        for label, text in zip(b.column(1).to_pylist(), b.column(0).to_pylist()):
-            raw = (text or "").encode()
-            some = [raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)]
-            labels += [label] * len(some)
-            blocks += some
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(blocks, pa.binary())], ["label", "block"])
-
-
-def _dictionary(blocks: list[bytes]) -> bytes:
+def dictionary(texts: list[bytes]) -> bytes:
+    """Trained on the blocks of the texts; of texts too few to train on, all they hold."""
+    blocks = [t[at : at + BLOCK] for t in texts for at in range(0, len(t), BLOCK)]
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself serves
-        return b"".join(blocks)[-DICTIONARY:]
+    except zstandard.ZstdError:
+        return b"".join(blocks)
+
+
+def _dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
+    """Of as many texts labelled 1 and 0, in the order of their hashes; a label's bounded number of texts makes one task."""
+    ranked = sample.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"), "doc_id")))
+    counts = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
+    some = ranked.filter(F.col("rank") <= min(counts.get(0, 0), counts.get(1, 0)))
+
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": rows["label"][:1], "dictionary": [dictionary([(t or "").encode() for t in rows.sort_values("rank")["text"]])]})
+
+    made = {r[0]: bytes(r[1]) for r in some.select("label", "rank", "text").groupBy("label").applyInPandas(train, "label int, dictionary binary").collect()}
+    return made.get(1, b""), made.get(0, b"")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_blocks: int = MAX_BLOCKS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """docs: doc_id, text; labels: doc_id, label (1 good, 0 bad)."""
-    sample = labelled_sample(docs, labels, max_rows).select("text", "label")
-    half = F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)) == 0
-    blocks = sample.filter(half).mapInArrow(_blocks, "label int, block binary").withColumn("at", F.xxhash64("block"))
-    dictionaries = []
-    for label in (1, 0):
-        some = blocks.filter(F.col("label") == label).orderBy("at", "block").limit(max_blocks).select("block").toPandas()
-        dictionaries.append(_dictionary([bytes(b) for b in some["block"]]))
-    good, bad = dictionaries
+    sample = labelled_sample(docs, labels, max_rows)
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id", "text"), F.lit(2)) == 0
+    good, bad = _dictionaries(sample.filter(half))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizer = Sizer(good, bad)
+        of = Difference(good, bad)
         for b in batches:
-            f = features(b.column(0), sizer)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(f.tolist(), pa.list_(pa.float64()))], ["label", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(differences(b.column(2), of)[:, 0])], ["label", "weight", "d"])
 
-    got: pd.DataFrame = sample.filter(~half).mapInArrow(measure, "label int, f array<double>").toPandas()
-    x = np.array(got["f"].tolist(), float).reshape(-1, FEATURES)
-    order = np.lexsort(x.T)
-    return Model(good, bad, fit_logistic(x[order], got["label"].to_numpy(float)[order]))
+    rest = sample.filter(~half).select("label", "weight", "text").mapInArrow(measure, "label int, weight double, d double").toPandas()
+    got = rest.sort_values(["d", "label", "weight"])
+    return Model(good, bad, fit_logistic(got[["d"]].to_numpy(float), got["label"].to_numpy(float), got["weight"].to_numpy(float)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -116,9 +115,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        sizer = Sizer(m.good, m.bad)
+        of = Difference(m.good, m.bad)
         for b in batches:
-            s = m.calibration(features(b.column(b.schema.get_field_index("text")), sizer))
+            s = m.calibration(differences(b.column(b.schema.get_field_index("text")), of))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in columns] + [pa.array(s)], [*columns, "score"])
 
     return docs.mapInArrow(run, with_schema(docs, "score double", "score"))
