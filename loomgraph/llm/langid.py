@@ -2,16 +2,18 @@
 
 A text is a vector of hashed n-gram counts over its folded letters, weighted by inverse document frequency and normalised. Each
 language has several centroids, found by spherical k-means among its labelled texts, and a text goes to the language of the
-centroid of greatest cosine. A text whose cosine stays below the radius that its language's own texts keep is rejected.
+centroid of greatest cosine. A text whose cosine stays below the radius of its language is rejected: below that, no more than
+FALSE_REJECTIONS of the language's labelled texts stay that had no part in the centroids.
 
 Counts of the whole text are used. The model is fitted on a sample: of the labelled rows at most about MAX_ROWS, shared out
 evenly among the languages and chosen by a hash of doc_id. Defined cases: null text or text without a letter is `und`, score 0,
-rejected; without any labelled row every text is `und`; repeated rows are predicted each; extra columns pass through.
+rejected; without any labelled row every text is `und`; repeated rows and null doc_ids are predicted each; an empty table yields no rows;
+extra columns pass through, but for those with the names of the results, which are replaced; `names` gives the results other names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -23,9 +25,9 @@ from .common import bucket, stratified, table, with_schema
 from .wordhash import U, mix
 
 #: Hashed features, n-gram lengths in characters, labelled rows that fitting may use, centroids of a language.
-DIMS, LENGTHS, MAX_ROWS, CENTROIDS = 1 << 12, (1, 2, 3), 6000, 4
-#: Rejected if the cosine is below this part of the lowest of 1000 of the language's own texts.
-SLACK = 0.5
+DIMS, LENGTHS, MAX_ROWS, CENTROIDS = 1 << 12, (1, 2, 3), 4000, 4
+#: Folds in which labelled texts are held out; the share of those of a language that its radius rejects.
+FOLDS, FALSE_REJECTIONS = 5, 0.001
 #: Characters that one numpy pass holds, unless a single text is longer.
 CHARS = 1_000_000
 
@@ -42,15 +44,18 @@ class Model(NamedTuple):
 _FOLD = np.array([ord(chr(c).lower()) if chr(c).isalpha() and len(chr(c).lower()) == 1 else (c if chr(c).isalpha() else 32) for c in range(1 << 16)], np.uint32)
 
 
-def folded(text: str) -> np.ndarray:
-    """Code points in lower case; runs of other characters are one space, and there is one at either end."""
+def _codes(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     high = c >= 1 << 16
     out = _FOLD[np.where(high, 32, c)]
     if high.any():
-        out = out.copy()
         out[high] = [x if chr(x).isalpha() else 32 for x in c[high].tolist()]
-    out = np.concatenate([[32], out, [32]]).astype(np.uint32)
+    return out
+
+
+def folded(text: str) -> np.ndarray:
+    """Code points in lower case; runs of other characters are one space, and there is one at either end."""
+    out = np.concatenate([[32], *[_codes(text[at : at + CHARS]) for at in range(0, len(text), CHARS)], [32]]).astype(np.uint32)
     return out[np.concatenate([[True], (out[1:] != 32) | (out[:-1] != 32)])]
 
 
@@ -58,14 +63,15 @@ def counts(texts: list[str]) -> np.ndarray:
     """Hashed n-gram counts, a row for each text."""
     rows = np.zeros((len(texts), DIMS), np.float32)
     for i, text in enumerate(texts):
-        for at in range(0, max(len(text), 1), CHARS):
-            c = folded(text[at : at + CHARS + max(LENGTHS) - 1]).astype(U)
-            for n in LENGTHS:
-                if len(c) >= n:
-                    h = np.zeros(len(c) - n + 1, U)
-                    for j in range(n):
-                        h = (h << U(21)) | c[j : len(c) - n + 1 + j]
-                    rows[i] += np.bincount((mix(h + U(n)) >> U(52)).astype(np.int64), minlength=DIMS)
+        c = folded(text)
+        for n in LENGTHS:
+            # each n-gram begins in one chunk only, so that a long text counts as it would in one piece
+            for at in range(0, len(c) - n + 1, CHARS):
+                part = c[at : at + CHARS + n - 1].astype(U)
+                h = np.zeros(len(part) - n + 1, U)
+                for j in range(n):
+                    h = (h << U(21)) | part[j : len(part) - n + 1 + j]
+                rows[i] += np.bincount((mix(h + U(n)) >> U(52)).astype(np.int64), minlength=DIMS)
     return rows
 
 
@@ -93,22 +99,32 @@ def _k_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS) -> Model:
     """labelled: doc_id, text, lang. Languages without a text that has letters are not learned."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}"))).select("doc_id", "text", "lang")
-    sample = stratified(rows, "lang", max_rows).mapInArrow(_sampled, "lang string, counts binary").toPandas()
-    if sample.empty:
+    sample = stratified(rows, "lang", max_rows).mapInArrow(_sampled, "lang string, counts binary").collect()
+    if not sample:
         return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.ones(DIMS, np.float32), np.zeros(0))
-    sample = sample.sort_values(["lang", "counts"])
-    v = np.stack([np.frombuffer(c, np.float16) for c in sample["counts"]]).astype(np.float32)
-    idf = np.log((1 + len(v)) / (1 + (v > 0).sum(0))).astype(np.float32) + 1
+    sample.sort()
+    # one row after the other, so that the sample is in memory once besides
+    v = np.empty((len(sample), DIMS), np.float32)
+    for i, r in enumerate(sample):
+        v[i] = np.frombuffer(r["counts"], np.float16)
+    of = [r["lang"] for r in sample]
+    del sample
+    idf = np.log((1 + len(v)) / (1 + np.count_nonzero(v, axis=0))).astype(np.float32) + 1
     v *= idf
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    languages = sorted(set(sample["lang"]))
+    for i in range(len(v)):
+        v[i] /= max(float(np.linalg.norm(v[i])), 1e-12)
+    languages = sorted(set(of))
     owner, found, radius = [], [], []
     for i, lang in enumerate(languages):
-        own = v[(sample["lang"] == lang).to_numpy()]
+        at = of.index(lang)
+        own = v[at : at + of.count(lang)]
         c = _k_means(own, centroids)
         found.append(c)
         owner += [i] * len(c)
-        radius.append(SLACK * float(np.quantile((own @ c.T).max(1), 0.001)))
+        # how near texts come to centroids that they had no part in: each fold of them to those of the other folds
+        fold = np.arange(len(own)) % FOLDS
+        near = [(own[fold == f] @ _k_means(own[fold != f], centroids).T).max(1) for f in range(FOLDS) if len(own) >= FOLDS]
+        radius.append(float(np.quantile(np.concatenate(near), FALSE_REJECTIONS)) if near else 0.0)
     return Model(languages, np.concatenate(found).astype(np.float32), np.array(owner), idf, np.array(radius))
 
 
@@ -120,9 +136,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(2), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "counts"])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score (0 to 1), cosine and rejected."""
-    names = ("lang_pred", "score", "cosine", "rejected")
+def predict(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred", "score", "cosine", "rejected")) -> DataFrame:
+    """docs with the language, a score (0 to 1), the cosine and whether it is rejected."""
+    names = list(names)
     columns = [c for c in docs.columns if c not in names]
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -149,7 +165,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     [*columns, *names],
                 )
 
-    return docs.mapInArrow(run, with_schema(docs, "lang_pred string, score double, cosine double, rejected boolean", *names))
+    return docs.mapInArrow(run, with_schema(docs, "`{}` string, `{}` double, `{}` double, `{}` boolean".format(*names), *names))
 
 
 def learning(folds: int = 5, out: int = 0) -> Column:

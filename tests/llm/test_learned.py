@@ -1,12 +1,16 @@
 """Classifiers: accuracy on held-out rows, and defined results for odd rows."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from llm.helpers import EDGES, frame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import langid, quality, toxicity
+from loomgraph.llm.wordhash import U, mix
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,7 +45,7 @@ def test_toxic_passage_scores_alike_wherever_it_stands():
     for word in ("alpha", "omega"):
         whole = _terms(word)[0][0]
         linear[whole], factors[whole] = 0.5, 1
-    m = toxicity.Model(0.0, linear, factors, None)
+    m = toxicity.Model(0.0, linear, factors, linear != 0, None)
     neutral = [f"n{i}" for i in range(100)]
     for apart in (1, 8, 16):
         passage = ["alpha", *neutral[: apart - 1], "omega"]
@@ -55,7 +59,115 @@ def test_toxic_passage_scores_alike_wherever_it_stands():
 def test_whole_texts_are_learned():
     texts = [" ".join(f"w{i}" for i in range(5000)), "", "a b"]
     out = next(toxicity._sample_terms(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0, 0], pa.int32())], ["text", "label"])])))
-    assert [len(t) // 4 // toxicity.PER_WORD for t in out.column(1).to_pylist()] == [5000, 0, 2]
+    assert [len(t) // 4 // toxicity.PER_WORD for t in out.column(0).to_pylist()] == [5000, 0, 2]
+
+
+def _margin(flat, begin, i, m):
+    """The margin of a window by the definition: each two of its distinct terms add the product of their factors."""
+    t = sorted({x for x in flat[begin[i] : begin[i] + toxicity.PER_WORD * toxicity.WINDOW].tolist() if m.used[x]})
+    pairs = sum(float(m.factors[a] @ m.factors[b]) for n, a in enumerate(t) for b in t[n + 1 :])
+    return m.bias + sum(float(m.linear[a]) for a in t) + pairs
+
+
+def test_margins_against_brute_force():
+    rng = np.random.default_rng(2)
+    size = 1 << toxicity.BITS
+    m = toxicity.Model(-0.5, rng.normal(0, 0.3, size), rng.normal(0, 0.2, (size, toxicity.FACTORS)), rng.random(size) < 0.5, None)
+    for n in (0, 1, 16, 17, 33, 90):
+        flat, begin, of = _terms(" ".join(rng.choice(["a", "bb", "ccc", "dddd", "eeeeee", "ffffff"], n)))
+        want = [_margin(flat, begin, i, m) for i in range(len(begin))]
+        got = toxicity.margins(*toxicity.present(flat, begin, of, m.used), len(begin), m.bias, m.linear, m.factors)
+        assert np.allclose(got, want)
+        assert np.allclose(toxicity.text_features(flat, begin, of, 1, m)[0], [max(np.clip(want, -20, 20)), np.mean(np.clip(want, -20, 20))])
+
+
+def _insults(rng, i):
+    """Toxic: an insult and a group in one text. Clean: two insults, two groups, or neither; so single words tell nothing."""
+    words = [f"w{x}" for x in rng.integers(0, 300, 24)]
+    kind = i % 4
+    extra = [["insult", "group"], ["insult", "slur"], ["group", "tribe"], []][kind] if i % 8 < 4 else [["slur", "tribe"], ["slur", "insult"], ["tribe", "group"], []][kind]
+    for x in extra:
+        words.insert(int(rng.integers(0, len(words))), x)
+    return " ".join(words), int(kind == 0)
+
+
+def test_interactions_do_the_work(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, *_insults(rng, i)) for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    m = toxicity.fit(df.filter("doc_id < 1600").select("doc_id", "text"), df.filter("doc_id < 1600").select("doc_id", "label"))
+    test = df.filter("doc_id >= 1600")
+
+    def wrong(model):
+        return sum((r.score >= 0.5) != r.label for r in toxicity.score(test, model).collect())
+
+    full, without = wrong(m), wrong(m._replace(factors=np.zeros_like(m.factors)))
+    assert full <= 40 and without >= full + 100, (full, without)
+
+
+def test_difference_against_brute_force():
+    rng = np.random.default_rng(1)
+    good, bad = ([" ".join(rng.choice(words, 200)).encode() for _ in range(60)] for words in (["lovely", "prose", "reads", "well"], ["buy", "now", "$$$", "click"]))
+    dictionaries = [quality.dictionary(x) for x in (good, bad)]
+    of = quality.Difference(*dictionaries)
+    for text in (b"", b"lovely prose", b"buy now " * 500, "h\u00e4h".encode() * 100):
+        blocks = [text[i : i + quality.BLOCK] for i in range(0, len(text), quality.BLOCK)] or [b""]
+        g, q = ([len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(b)) for b in blocks] for d in dictionaries)
+        assert of(text) == pytest.approx(np.mean([(y - x) / max(x, y) for x, y in zip(g, q)]))
+    assert of(b"lovely prose reads well") > 0 > of(b"buy now click $$$")
+
+
+def test_score_is_the_calibrated_difference(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(200)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    m = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), labels)
+    of = quality.Difference(m.good, m.bad)
+    got = {r.doc_id: (r.score, of((r.text or "").encode())) for r in quality.score(docs, m).collect()}
+    by_difference = [s for s, _ in sorted(got.values(), key=lambda x: x[1])]
+    assert by_difference == sorted(by_difference) and len(set(by_difference)) > 100
+
+
+def _plain_counts(text):
+    """N-gram counts of a text by the definition."""
+    out = np.zeros(langid.DIMS)
+    folded = " " + "".join(c.lower() if c.isalpha() and len(c.lower()) == 1 else c if c.isalpha() else " " for c in text) + " "
+    folded = re.sub(" +", " ", folded)
+    for n in langid.LENGTHS:
+        for i in range(len(folded) - n + 1):
+            h = 0
+            for c in folded[i : i + n]:
+                h = (h << 21 | ord(c)) & (1 << 64) - 1
+            out[int(mix(np.array([h + n & (1 << 64) - 1], U))[0]) >> 52] += 1
+    return out
+
+
+def test_language_against_brute_force(monkeypatch):
+    texts = ["", "A", "Der Hund, der bellt!", "l'\u00e9t\u00e9 \u00e0 la mer 12", "x" * 50 + " yz " * 30, "\u6f22\u5b57 \U0001d4d0 a"]
+    want = np.stack([_plain_counts(t) for t in texts])
+    assert (langid.counts(texts) == want).all()
+    monkeypatch.setattr(langid, "CHARS", 7)  # chunks count each n-gram once
+    assert (langid.counts(texts) == want).all()
+
+
+def test_nearest_centroid_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(150)
+    m = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    for r in langid.predict(docs, m).collect():
+        v = np.log1p(_plain_counts(r.text or "")) * m.idf
+        cos = m.centroids.astype(float) @ v / max(1e-12, np.linalg.norm(v))
+        best = int(np.argmax(cos))
+        assert r.lang_pred == m.languages[m.owner[best]] and abs(r.cosine - cos[best]) < 1e-4
+        assert r.rejected == (cos[best] < m.radius[m.owner[best]]) or abs(cos[best] - m.radius[m.owner[best]]) < 1e-4
+
+
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    m = langid.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    rng = np.random.default_rng(3)
+    junk = ["".join(rng.choice(list("qxzjkwvp "), 200)) for _ in range(20)]
+    odd = ["Это предложение на русском языке, которого модель не знает", "Αυτή είναι μια πρόταση στα ελληνικά", "これは学習されていない言語の文です", *junk]
+    assert all(r.rejected for r in langid.predict(frame(spark, list(enumerate(odd))), m).collect())
+    clean = langid.predict(spark.read.parquet(f"{SF}/documents.parquet"), m).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert clean <= 0.01
 
 
 def test_odd_rows(spark):
