@@ -8,8 +8,11 @@ common to all. Reading a byte advances every pair, adds the one whose trie place
 and emits what all pairs now have in common: a token comes out as soon as no pair can lead to another, at most a longest token
 later. States and transitions are made when first met, and dropped all together at a bound.
 
-Defined cases: null text is empty and has no ids; repeated rows are encoded each; columns of the input pass through, those named
-as a result are replaced. Every token is taken to be what the merges make of its own bytes, as in any file of trained ranks.
+Decoding is a second machine: bytes come out of it when their character is complete. Tokens that lead it from one boundary of characters to
+another, nearly all, are known beforehand and pass in one step; the others are read byte by byte.
+
+Defined cases: null text is empty and has no ids; repeated rows and null doc_ids are encoded each; an empty table yields no rows; columns of the
+input pass through, those named as a result are replaced. Every token is taken to be what the merges make of its own bytes, as in any file of trained ranks.
 """
 
 from __future__ import annotations
@@ -47,7 +50,7 @@ class Merges:
 
 
 class Transducer:
-    """feed() bytes, take what is certain; finish() gives the rest."""
+    """encode() reads a piece byte by byte and gathers the tokens of each transition, and at its end those still pending."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merges = Merges(ranks)
@@ -177,36 +180,39 @@ class Encoder:
 
 
 class Decoder:
-    """Turns ids into bytes and text."""
+    """Turns ids into bytes, characters at a time, by the UTF-8 state machine."""
 
     def __init__(self, path: str):
         ranks = read_ranks(path)
         self.token_bytes = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.token_bytes[r] = t
-        # tokens that are whole UTF-8 by themselves leave the decoder's state as it was
-        self.whole = np.array([_is_utf8(t) for t in self.token_bytes])
+        # the machine's step over a whole token, from between characters: those that lead back there pass as they are
+        machine = Utf8()
+        self.whole = np.array([machine.passes(t) for t in self.token_bytes])
 
     def __call__(self, ids: np.ndarray) -> tuple[bytes, bool]:
-        """The bytes of the ids, and whether they are UTF-8 throughout; only tokens with parts of characters are walked through."""
-        parts = [self.token_bytes[i] for i in ids.tolist()]
-        state, at = 0, -1
+        """The bytes of the ids, as the machine lets them out, and whether they are UTF-8 throughout."""
+        u, out, at = Utf8(), [], 0
+        parts = list(map(self.token_bytes.__getitem__, ids.tolist()))
         for i in np.flatnonzero(~self.whole[ids]).tolist() if len(ids) else ():
-            if state not in (0, INVALID) and i != at + 1:
-                state = INVALID
-            for b in parts[i]:
-                state = STEP[state][b]
-            at = i
-        return b"".join(parts), state == 0
+            if i > at:
+                out.append(u.push_whole(b"".join(parts[at:i])))
+            out.append(u.push(parts[i]))
+            at = i + 1
+        if at < len(parts):
+            out.append(u.push_whole(b"".join(parts[at:])))
+        out.append(u.close())
+        return b"".join(out), u.valid
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The text of each id as soon as its characters are complete; what is no UTF-8 comes as U+FFFD."""
         u = Utf8()
         for i in ids:
             if s := u.push(self.token_bytes[i]):
-                yield s
+                yield s.decode(errors="replace")
         if s := u.close():
-            yield s
+            yield s.decode(errors="replace")
 
 
 def _utf8_steps() -> list[list[int]]:
@@ -226,43 +232,52 @@ INVALID = 8
 STEP = _utf8_steps()
 
 
-def _is_utf8(data: bytes) -> bool:
-    state = 0
-    for b in data:
-        state = STEP[state][b]
-    return state == 0
-
-
 class Utf8:
-    """Incremental UTF-8: push() bytes, get the characters that are complete; each maximal invalid part is one U+FFFD."""
+    """Incremental UTF-8: push() bytes, get those of the characters that are complete by then; close() gives what is left.
+
+    Bytes that can't belong to a character come out as they are, and from then on `valid` is false.
+    """
 
     def __init__(self) -> None:
-        self.state, self.held = 0, bytearray()
+        self.state, self.held, self.valid = 0, bytearray(), True
 
-    def push(self, data: bytes) -> str:
-        out = []
+    def push(self, data: bytes) -> bytes:
+        out, held = bytearray(), self.held
         for b in data:
             state = STEP[self.state][b]
-            if state == INVALID and self.held:
-                out.append("�")
-                self.held.clear()
+            if state == INVALID:
+                # what was held is no character; the byte may begin another
+                self.valid = False
+                out += held
+                held.clear()
                 state = STEP[0][b]
             if state == INVALID:
-                out.append("�")
+                out.append(b)
                 state = 0
             else:
-                self.held.append(b)
+                held.append(b)
                 if state == 0:
-                    out.append(self.held.decode())
-                    self.held.clear()
+                    out += held
+                    held.clear()
             self.state = state
-        return "".join(out)
+        return bytes(out)
 
-    def close(self) -> str:
-        broken = bool(self.held)
+    def push_whole(self, data: bytes) -> bytes:
+        """push() of bytes over which the machine goes from state 0 to state 0."""
+        return data if self.state == 0 else self.push(data)
+
+    def passes(self, data: bytes) -> bool:
+        state = 0
+        for b in data:
+            state = STEP[state][b]
+        return state == 0
+
+    def close(self) -> bytes:
+        out = bytes(self.held)
+        self.valid &= not out
         self.state = 0
         self.held.clear()
-        return "�" if broken else ""
+        return out
 
 
 @lru_cache(2)
