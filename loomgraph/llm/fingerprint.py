@@ -51,25 +51,29 @@ def fingerprint(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, fingerprints: DataFrame | None = None) -> DataFrame:
-    """doc_id, fingerprint and class_id, the least doc_id of equal canonical texts, for each row.
+    """The rows of fingerprints (docs with their fingerprint, by default) with class_id, the least doc_id of equal canonical texts.
 
     Rows are counted by digest first. Only digests that occur more than once have their canonical bytes compared: of each
     digest the least and the greatest bytes must be the same, and where they are not, the bytes themselves tell the classes
-    apart. All of it is aggregation with partial results, so that a digest of any number of rows is no burden for a task.
-    fingerprints: doc_id and fingerprint of docs, where they are at hand.
+    apart. All of it is aggregation with partial results, so that a digest of any number of rows is no burden for a task, and rows find their class by
+    their digest, so that repeated and null doc_ids keep theirs. A class of null doc_ids only has none.
     """
     fp = fingerprints if fingerprints is not None else written(fingerprint(docs.select("doc_id", "text")).drop("text"), "fingerprints")
     counted = written(fp.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "digests")
     shared = counted.filter("n > 1").select("fingerprint")
-    some = _canonical_bytes(docs, _bitmap(shared)).join(shared, "fingerprint", "left_semi")
-    compared = some.groupBy("fingerprint").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
-    clash = written(compared.filter("low <> high").select("fingerprint"), "clashes")
-    whole = fp.join(counted.select("fingerprint", "class_id"), "fingerprint").select("doc_id", "fingerprint", "class_id")
+    some = _canonical_bytes(docs, _bitmap(shared))
+    # the least and the greatest are taken before the join, so that the copies of a text combine where they are
+    compared = some.groupBy("fingerprint").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).filter("low <> high")
+    clash = written(compared.join(shared, "fingerprint", "left_semi").select("fingerprint"), "clashes")
+    whole = fp.join(counted.select("fingerprint", "class_id"), "fingerprint")
     if clash.isEmpty():
         return whole
+    # different texts of one digest: which bytes a row has is found by its id
     told = some.join(clash, "fingerprint", "left_semi")
     parts = told.groupBy("fingerprint", "bytes").agg(F.min("doc_id").alias("class_id"))
-    rest = told.join(parts, ["fingerprint", "bytes"]).select("doc_id", "fingerprint", "class_id")
+    of = told.join(parts, ["fingerprint", "bytes"]).groupBy("doc_id", "fingerprint").agg(F.min("class_id").alias("class_id"))
+    of = of.select(F.col("doc_id").alias("_d"), F.col("fingerprint").alias("_f"), "class_id")
+    rest = fp.join(of, (fp["fingerprint"] == of["_f"]) & fp["doc_id"].eqNullSafe(of["_d"])).drop("_d", "_f")
     return whole.join(clash, "fingerprint", "left_anti").unionByName(rest)
 
 
@@ -185,5 +189,4 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 def op8_fingerprint(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     compared = written(compare_with_next(docs), "compared")
-    classes = exact_groups(docs, compared.select("doc_id", "fingerprint"))
-    return compared.join(classes.select("doc_id", "class_id"), "doc_id")
+    return exact_groups(docs, compared)
