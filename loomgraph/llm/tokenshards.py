@@ -6,19 +6,22 @@ A shard is one file, written by one task for one range of doc_id:
 
 block   zstandard frame of: restart-free entries (varint shared key bytes, varint new key bytes, varint value bytes, new key
         bytes, value bytes), keys ascending; the first key of a block is whole, later ones share a prefix with their predecessor
-key     16 bytes: doc_id with its sign bit flipped and the number of the row among those of its doc_id, both big-endian
+key     17 bytes: 0 for a null doc_id, else 1; doc_id with its sign bit flipped (0, if null) and the number of the row among those of its doc_id,
+        both 64 bits, big-endian
 value   64-bit count of ids before the document in its shard, then the ids, 16 or 32 bits each (footer: width), little-endian
-index   zstandard frame of: for each block its first key (16 bytes), offset and length (64 bits each)
+index   zstandard frame of: for each block its first key (17 bytes), offset and length (64 bits each)
 filter  Bloom filter over the doc_ids: 64-bit words, 10 bits an entry, 7 probes by double hashing
 footer  88 bytes: magic, version, width, entries, ids, blocks, offsets and lengths of index and filter, crc32 of index and filter
 
-Defined cases: null text is empty and yields the end id only; a null doc_id has no key and is left out; repeated rows of a doc_id
-get one entry each; an empty table yields no shard and no rows; other columns are not stored.
+Defined cases: null text is empty and yields the end id only; null doc_ids come first; repeated rows of a doc_id get one entry each, by
+text, null before empty; an empty table yields no shard and no rows; other columns are not stored. A special token of the tokenizer that stands in a
+text becomes its id, as the library has it by default; `special_as_text` makes it ordinary text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -37,9 +40,11 @@ from pyspark.sql import functions as F
 from .common import scratch_path, table, text_chunks, written
 from .pretokens import USUAL, Recent, splitter
 
-MAGIC, VERSION = b"LOOMSST1", 1
+MAGIC, VERSION = b"LOOMSST1", 2
 FOOTER = struct.Struct("<8sIIQQQQQQQII")
-ENTRY = struct.Struct(">QQ")
+ENTRY = struct.Struct(">BQQ")
+#: Bytes of a key, and of its part that names the document.
+KEY, DOC = 17, 9
 #: Bytes of entries in a block before compression, unless one entry is longer.
 BLOCK_BYTES = 1 << 18
 MANIFEST = "path string, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint"
@@ -69,12 +74,12 @@ def _read_varint(b: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _key(doc_id: int, row: int) -> bytes:
-    return ENTRY.pack(doc_id + (1 << 63), row)
+def _key(doc_id: int | None, row: int) -> bytes:
+    return ENTRY.pack(0, 0, row) if doc_id is None else ENTRY.pack(1, doc_id + (1 << 63), row)
 
 
-def _probes(doc_id: int, bits: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(_key(doc_id, 0)[:8])
+def _probes(doc_id: int | None, bits: int) -> list[int]:
+    h = xxhash.xxh3_128_intdigest(_key(doc_id, 0)[:DOC])
     a, b = h & (1 << 64) - 1, h >> 64 | 1
     return [(a + i * b) % bits for i in range(7)]
 
@@ -91,13 +96,13 @@ class ShardWriter:
         self.block, self.last, self.at = bytearray(), b"", 0
         self.index, self.ids, self.n, self.n_ids, self.keep = [], [], 0, 0, b""
 
-    def add(self, doc_id: int, row: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, row: int, ids: np.ndarray) -> None:
         key, value = _key(doc_id, row), struct.pack("<Q", self.n_ids) + ids.astype(f"<u{self.width}").tobytes()
         if not self.block:
             self.first, shared = key, 0
         else:
-            shared = next((i for i in range(16) if key[i] != self.last[i]), 16)
-        self.block += _varint(shared) + _varint(16 - shared) + _varint(len(value)) + key[shared:] + value
+            shared = next((i for i in range(KEY) if key[i] != self.last[i]), KEY)
+        self.block += _varint(shared) + _varint(KEY - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
         self.ids.append(doc_id)
         self.n, self.n_ids = self.n + 1, self.n_ids + len(ids)
@@ -142,13 +147,13 @@ class Shard:
         if zlib.crc32(index) != ic or zlib.crc32(self.bloom) != bc:
             raise ValueError(f"{uri} is damaged")
         raw = zstandard.ZstdDecompressor().decompress(index) if self.n else b""
-        self.blocks = [(raw[i : i + 16], *struct.unpack("<QQ", raw[i + 16 : i + 32])) for i in range(0, len(raw), 32)]
+        self.blocks = [(raw[i : i + KEY], *struct.unpack("<QQ", raw[i + KEY : i + KEY + 16])) for i in range(0, len(raw), KEY + 16)]
 
     def _at(self, offset: int, length: int) -> bytes:
         self.file.seek(offset)
         return self.file.read(length)
 
-    def _entries(self, b: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    def _entries(self, b: int) -> Iterator[tuple[int | None, int, int, np.ndarray]]:
         raw = zstandard.ZstdDecompressor().decompress(self._at(*self.blocks[b][1:]))
         at, key = 0, b""
         while at < len(raw):
@@ -157,19 +162,19 @@ class Shard:
             size, at = _read_varint(raw, at)
             key = key[:shared] + raw[at : at + fresh]
             at += fresh
-            doc, row = ENTRY.unpack(key)
-            yield doc - (1 << 63), row, struct.unpack_from("<Q", raw, at)[0], np.frombuffer(raw, f"<u{self.width}", (size - 8) // self.width, at + 8)
+            named, doc, row = ENTRY.unpack(key)
+            yield doc - (1 << 63) if named else None, row, struct.unpack_from("<Q", raw, at)[0], np.frombuffer(raw, f"<u{self.width}", (size - 8) // self.width, at + 8)
             at += size
 
-    def scan(self) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    def scan(self) -> Iterator[tuple[int | None, int, int, np.ndarray]]:
         """(doc_id, row, ids before it in the shard, ids) of all entries in order."""
         for b in range(len(self.blocks)):
             yield from self._entries(b)
 
-    def may_hold(self, doc_id: int) -> bool:
+    def may_hold(self, doc_id: int | None) -> bool:
         return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(doc_id, len(self.bloom) * 8))
 
-    def get(self, doc_id: int) -> list[np.ndarray]:
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of all rows of a document."""
         if not self.blocks or not self.may_hold(doc_id):
             return []
@@ -179,7 +184,7 @@ class Shard:
             low, high = (mid + 1, high) if self.blocks[mid][0] < _key(doc_id, 0) else (low, mid)
         found: list[np.ndarray] = []
         for b in range(max(0, low - 1), len(self.blocks)):
-            if self.blocks[b][0][:8] > _key(doc_id, 0)[:8]:
+            if self.blocks[b][0][:DOC] > _key(doc_id, 0)[:DOC]:
                 break
             found += [ids for d, _, _, ids in self._entries(b) if d == doc_id]
         return found
@@ -191,22 +196,27 @@ MEMO = 300_000
 
 class Encoder:
     """Ids by the tokenizers library. Its byte-level pre-tokenizer splits a text first, and merges stay within a piece, so
-    pieces that a worker has met are not encoded again."""
+    pieces that a worker has met are not encoded again. Special tokens that stand in a text are cut out before that."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import json
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
         self.vocab = self.tok.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             conf = {k: v for k, v in json.load(f).items() if k != "model"}
-        pre = conf.get("pre_tokenizer") or {}
-        self.split = None
-        if not conf.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
+        pre, added = conf.get("pre_tokenizer") or {}, conf.get("added_tokens") or []
+        self.split, self.special, self.marks = None, {}, None
+        if not special_as_text:
+            self.special = {t["content"]: np.array([t["id"]], np.uint32).tobytes() for t in added}
+            self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
+        # added tokens that take white space or parts of words along are left to the library
+        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") and conf.get("normalizer") for t in added)
+        if plain and not conf.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True):
             self.split = splitter(USUAL)
             self.opens = np.zeros(self.vocab, bool)
             self.opens[[i for t, i in self.tok.get_vocab().items() if t[0] == "Ġ"]] = True
@@ -215,9 +225,10 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.split is None:
             return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        pieces = [self.split(t) for t in texts]
+        pieces = [self._pieces(t) for t in texts]
         memo = self.memo
         memo.renew()
+        memo.update(self.special)
         rows = [list(map(memo.get, ps)) for ps in pieces]
         gaps = [(r, [i for i, x in enumerate(row) if x is None]) for r, row in enumerate(rows) if None in row]
         new = [p for p in dict.fromkeys(pieces[r][i] for r, at in gaps for i in at) if memo.recall(p) is None]
@@ -241,34 +252,43 @@ class Encoder:
                 row[i] = memo[ps[i]]
         return [np.frombuffer(b"".join(row), np.uint32) for row in rows]
 
+    def _pieces(self, text: str) -> list[str]:
+        if self.marks is None or not self.marks.search(text):
+            return self.split(text)
+        out, at = [], 0
+        for m in self.marks.finditer(text):
+            out += [*self.split(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + self.split(text[at:])
+
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    return Encoder(path, special_as_text)
 
 
-def write_shards(docs: DataFrame, tokenizer: str, directory: str, end_id: int | None = 2, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, directory: str, end_id: int | None = 2, shards: int | None = None, special_as_text: bool = False) -> DataFrame:
     """Writes docs as shards below directory, ascending from shard to shard; returns and writes their manifest."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    row = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # by the key and nothing else, so that rows of one doc_id meet in one shard
     placed = row.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, last, row = encoder(tokenizer), None, None, 0
+        enc, out, last, row = encoder(tokenizer, special_as_text), None, None, 0
         width = 2 if max(enc.vocab, (end_id or 0) + 1) <= 1 << 16 else 4
         tail = np.array([] if end_id is None else [end_id], np.uint32)
         uri = ""
         for b in batches:
-            ids, texts = b.column(0).to_numpy(), b.column(1)
+            ids, texts = b.column(0).to_pylist(), b.column(1)
             for first, end, _, _ in text_chunks(texts):
                 encoded = enc(texts.slice(first, end - first).fill_null("").to_pylist())
-                for doc, e in zip(ids[first:end].tolist(), encoded):
+                for doc, e in zip(ids[first:end], encoded):
                     if out is None:
-                        uri = f"{directory}/shard-{doc + (1 << 63):020d}.sst"
+                        uri = f"{directory}/shard-{_key(doc, 0)[:DOC].hex()}.sst"
                         out = ShardWriter(uri, width)
-                    row = row + 1 if doc == last else 0
+                    row = row + 1 if out.n and doc == last else 0
                     last = doc
                     out.add(doc, row, np.concatenate([e, tail]))
         if out is not None:
@@ -281,7 +301,7 @@ def write_shards(docs: DataFrame, tokenizer: str, directory: str, end_id: int |
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, row, start (ids of all documents before it), n_tokens, tokens (packed 32-bit little-endian ids) of every entry."""
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # one row per shard; each is then read by a task of its own
     placed = written(manifest.withColumn("base", before).select("path", "base"), "bases")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -310,9 +330,19 @@ def _entries_batch(held: list[tuple]) -> pa.RecordBatch:
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and tokens of the wanted doc_ids, each found by its shard's range, filter and index."""
+    """doc_id and tokens of the wanted doc_ids, each found by its shard's first key, filter and index."""
     held = wanted.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    near = held.join(manifest, (held["doc_id"] >= manifest["first_id"]) & (held["doc_id"] <= manifest["last_id"])).select("path", "doc_id")
+    # a row for each shard, of which there are as many as was asked for; a null first_id is the least
+    ranges = sorted((-(1 << 63) if r["first_id"] is None else r["first_id"], r["path"]) for r in manifest.select("first_id", "path").collect())
+    starts = np.array([r[0] for r in ranges], np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(starts, b.column(0).fill_null(-(1 << 63)).to_numpy(), "right") - 1
+            some = np.flatnonzero(at >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array([ranges[i][1] for i in at[some]], pa.string()), b.column(0).take(pa.array(some))], ["path", "doc_id"])
+
+    near = held.mapInArrow(place, "path string, doc_id bigint")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[str, Shard] = {}
