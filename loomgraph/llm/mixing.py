@@ -5,8 +5,8 @@ size, so that equal steps along the prefix sum take equally from short and long
 integer between its own end of the prefix sum and its predecessor's, both moved by one random offset per source.
 
 Defined cases: null or empty text has size 0; a null source is a source of its own, last in order; a source without words has
-target 0 and takes nothing; repeated rows are documents of their own; columns besides those used pass through, and results that
-would clash with one of them replace it.
+target 0 and takes nothing; repeated rows are documents of their own, and rows equal in doc_id, source and text are taken alike by mix(); a null doc_id is an id like any other; an empty table yields no rows; columns besides those used pass through
+mix(), whatever their names.
 """
 
 from __future__ import annotations
@@ -16,13 +16,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_name, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Low bits of monotonically_increasing_id() that number the rows of a partition.
 ROW_BITS = 33
-#: Offsets drawn for each source; the one that takes nearest to the target counts, as one very long text can miss by its size.
-OFFSETS = 16
 
 
 def words(text: Column) -> Column:
@@ -57,17 +55,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 
 
 def sample_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies.
+    """One row per document: doc_id, source, size, source_size, target, copies, digest (of the text).
 
     The rank of a document within its source comes from its place in a range partitioning, which splits a source of any
     size evenly, and the counts of the partitions before; no window holds more than one row per partition and source.
     """
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("tie"))
+    # digest tells the rows of one doc_id apart
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("tie"), F.xxhash64("text").alias("digest"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ("source", "size", "tie", "doc_id", "digest")
     placed = written(
-        sized.repartitionByRange(parts, "source", "size", "tie", "doc_id").sortWithinPartitions("source", "size", "tie", "doc_id")
-        .select("doc_id", "source", "size", F.monotonically_increasing_id().alias("place")),
+        sized.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        .select("doc_id", "source", "size", "digest", F.monotonically_increasing_id().alias("place")),
         "mixing",
     ).withColumn("part", F.shiftright("place", ROW_BITS))
     w = Window.partitionBy("source").orderBy("part")
@@ -81,24 +81,21 @@ def sample_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     ranked = placed.join(starts, placed["source"].eqNullSafe(starts["s"]) & (placed["part"] == starts["p"])).withColumn(
         "rank", F.col("before") + F.col("place") - F.col("from")
     )
-
-    def copies(offset: Column) -> Column:
-        return F.floor((F.col("rank") + 1) * F.col("rate") + offset) - F.floor(F.col("rank") * F.col("rate") + offset)
-
-    drawn = [F.pmod(F.xxhash64(F.lit(seed), "s", F.lit(i)), F.lit(1 << 30)) / F.lit(float(1 << 30)) for i in range(OFFSETS)]
-    taken = ranked.groupBy(F.col("s").alias("os"), "target").agg(*[F.sum(F.col("size") * copies(u)).alias(f"t{i}") for i, u in enumerate(drawn)])
-    near = F.least(*[F.struct(F.abs(F.col(f"t{i}") - F.col("target")).alias("off"), F.lit(i).alias("i")) for i in range(OFFSETS)])
-    best = taken.select("os", near["i"].alias("i"))
-    chosen = F.pmod(F.xxhash64(F.lit(seed), "s", F.col("i")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return ranked.join(best, F.col("s").eqNullSafe(F.col("os"))).select("doc_id", "source", "size", "source_size", "target", copies(chosen).alias("copies"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "s"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.floor((F.col("rank") + 1) * F.col("rate") + offset) - F.floor(F.col("rank") * F.col("rate") + offset)
+    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "digest")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mixed corpus: docs' own columns, each row as often as its document is taken. doc_id tells documents apart here."""
+    """The mixed corpus: docs' own columns, each row as often as its document is taken.
+
+    Rows equal in doc_id, source and text are the same document: each is taken as often as the least of them.
+    """
     copies = sample_copies(docs, weights, share, most, seed)
-    copies = copies.groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").cast("int").alias("_n")).filter("_n > 0")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    id_, of, text, n, k = (free_name(docs, c) for c in ("id", "of", "digest", "copies", "k"))
+    copies = copies.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(of), F.col("digest").alias(text)).agg(F.min("copies").cast("int").alias(n)).filter(f"{n} > 0")
+    same = docs["doc_id"].eqNullSafe(copies[id_]) & docs["source"].eqNullSafe(copies[of]) & (F.xxhash64(docs["text"]) == copies[text])
+    return docs.join(copies, same).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def op10_systematic_mix(spark, sf_dir: str) -> DataFrame:
