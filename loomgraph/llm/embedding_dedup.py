@@ -8,8 +8,9 @@ Only the remaining pairs of blocks are multiplied out, in double precision, on t
 
 A pair of blocks yields for each vector the number of its links and a forest of the links, so results grow with the vectors and
 not with the links. Equal vectors of a label are one, with a count. Defined cases: a null label or id, a null or zero vector,
-one with null or non-finite components or of another length than most of its label's are linked with nothing; repeated rows of
-a vec_id are vectors of their own and get the same component; a null id has no component and is kept; extra columns are ignored.
+one with null or non-finite components are linked with nothing, and vectors of different lengths are not linked; repeated rows of
+a vec_id are vectors of their own and get the same component; a null id has no component and is kept; an empty table yields no rows; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
