@@ -1,4 +1,8 @@
-"""Stages that turn raw documents into token ids; each takes and, but for the last, returns the columns of documents."""
+"""Stages that turn raw documents into token ids; each takes and, but for the last, returns the columns of documents.
+
+Defined cases of all stages: null and empty texts, null and repeated doc_ids, empty tables; columns beyond those of documents pass
+through, whatever their names, but for the last stage, which returns its own.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, minhash, mixing, secrets
+from .common import free_name
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; a missing lang is filled in. Learns from the rows with lang that it is given."""
-    p = langid.predict(docs, langid.fit(docs.filter(F.col("lang").isNotNull()))).filter(~F.col("rejected"))
-    return p.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents whose language is recognised; a missing lang is filled in. Learns from the rows with lang that it is given.
+
+    Rejected: null texts, texts without a letter, and those too far from all centroids.
+    """
+    names = [free_name(docs, n) for n in ("lang_pred", "lang_score", "lang_cosine", "lang_rejected")]
+    p = langid.predict(docs, langid.fit(docs.filter(F.col("lang").isNotNull())), names).filter(~F.col(names[3]))
+    return p.select(*[F.coalesce("lang", names[0]).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +29,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark, and n_chars made to fit."""
-    return secrets.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), "n_chars")).select(*docs.columns)
+    """All documents, secrets in their texts replaced by a mark, and n_chars, where there is such a column, made to fit."""
+    clean = secrets.redact(docs)
+    fit = F.coalesce(F.length("text").cast("bigint"), "n_chars").alias("n_chars") if "n_chars" in docs.columns else None
+    return clean.select(*[fit if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

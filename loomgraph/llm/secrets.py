@@ -1,15 +1,18 @@
 """Secret scan over a trigram inverted index, with DataFrame functions only.
 
 From each rule's pattern a Boolean query over trigrams is derived: every text that matches holds all trigrams of at least one
-clause. The index lists, for each trigram that some rule needs, the documents that hold it (letter case folded); clauses are
-answered by intersecting those lists, and only the candidates are verified with the pattern itself. A rule without mandatory
-trigrams (a run of hex digits) is verified on every text.
+clause. The index lists, for each trigram that some rule needs, the documents that hold it (letter case folded), in segments of
+SEGMENT ids, so that no list is unbounded; clauses are answered by intersecting lists segment by segment, and only the candidates are verified
+with the pattern itself. A rule without mandatory trigrams (a run of hex digits) is verified on every text. Which documents are candidates reaches the
+texts as a table of at most REMAINDERS remainders of their hashed ids, which is broadcast: texts are not shuffled, and what passes besides the
+candidates is verified to no effect.
 
 Spans are in code points with exclusive end, leftmost and non-overlapping for each kind; matches whose measured part is
 shorter than the rule's least length are dropped after matching, as they still use up their text.
 
-Defined cases: null and empty texts have no spans; repeated rows of one doc_id are each reported, and share candidates; a
-null doc_id is verified without the index; columns besides doc_id and text pass through redact().
+Defined cases: null and empty texts have no spans; repeated rows of one doc_id are each scanned by themselves, and share candidates; a
+null doc_id is verified without the index; an empty table yields no rows; columns besides text pass through with_spans() and redact(), whatever
+their names, but for one with the name of the result, which is replaced. doc_id is a whole number.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_name, remainder, table, written
 
 
 class Rule(NamedTuple):
@@ -48,6 +51,8 @@ RULES = (
 )
 #: Clauses beyond which a pattern counts as having no mandatory trigrams.
 MAX_CLAUSES = 512
+#: Ids of a posting list's segment.
+SEGMENT = 1 << 16
 #: Trigrams kept of a clause, evenly spaced over its literals: a query may ask for less than is mandatory, never for more.
 PER_CLAUSE = 2
 
@@ -97,21 +102,21 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
 
 
 def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The postings (trigram, doc_id) of the wanted trigrams over all texts."""
+    """The index (trigram, segment, ids) of the wanted trigrams over all texts: sorted lists of the distinct ids of a segment."""
     # a lambda's variable, so that the text is folded once and not for each trigram
     held = F.transform(F.array(F.lower("text")), lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lit(g)), F.lit(g)) for g in trigrams])))[0]
-    return docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.explode(held).alias("trigram"))
+    doc = F.col("doc_id").cast("bigint")
+    postings = docs.filter(F.col("doc_id").isNotNull()).select(doc.alias("doc_id"), F.explode(held).alias("trigram"))
+    return postings.groupBy("trigram", F.floor(F.col("doc_id") / SEGMENT).alias("segment")).agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
 
 
 def candidates(index: DataFrame, rules) -> DataFrame:
-    """doc_id and the kinds whose query it answers, as an array, from intersected postings."""
-    by_doc = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
-
-    def answers(query) -> Column:
-        return reduce(lambda a, b: a | b, [F.size(F.array_except(F.array(*map(F.lit, sorted(c))), F.col("held"))) == 0 for c in query])
-
-    kinds = F.array_compact(F.array(*[F.when(answers(q), F.lit(r.kind)) for r in rules if (q := trigram_query(r.pattern))]))
-    return by_doc.select("doc_id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    """kind and doc_id of what answers a rule's query: the lists of each clause's trigrams, intersected segment by segment."""
+    clauses = [(r.kind, i, g, len(c)) for r in rules for i, c in enumerate(trigram_query(r.pattern) or ()) for g in sorted(c)]
+    asked = index.sparkSession.createDataFrame(clauses, "kind string, clause int, trigram string, size int")
+    lists = index.join(F.broadcast(asked), "trigram").groupBy("kind", "clause", "size", "segment").agg(F.collect_list("ids").alias("lists"))
+    both = F.aggregate(F.slice("lists", 2, PER_CLAUSE), F.col("lists")[0], F.array_intersect)
+    return lists.filter(F.size("lists") == F.col("size")).select("kind", F.explode(both).alias("doc_id")).distinct()
 
 
 def _spans(rule: Rule, text: Column) -> Column:
@@ -145,40 +150,38 @@ def _of_kind(rule: Rule, text: Column) -> Column:
     return F.coalesce(F.transform(_spans(rule, text), lambda s: F.struct(F.lit(rule.kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.array().cast(SPAN))
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """doc_id and spans, array<struct<kind, start, end>> by start and then rule order, of each document that has some."""
+def _to_verify(docs: DataFrame, rules) -> tuple[DataFrame, Column]:
+    """docs with one more column, and from it the kinds of the rules that a row's text is to be verified for."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    indexed, full = [r for r in rules if queries[r.kind]], [r for r in rules if not queries[r.kind]]
-    parts = []
-    if indexed:
-        wanted = sorted({g for r in indexed for c in queries[r.kind] for g in c})
-        held = candidates(trigram_index(docs, wanted), indexed)
-        some = docs.select("doc_id", "text").join(held, "doc_id")
-        nameless = docs.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.array(*[F.lit(r.kind) for r in indexed]).alias("kinds"))
-        verify = [F.when(F.array_contains("kinds", r.kind), _of_kind(r, F.col("text"))).otherwise(F.array().cast(SPAN)) for r in indexed]
-        parts.append(some.unionByName(nameless).select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.concat(*verify)).alias("s")))
-    if full:
-        parts.append(docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.concat(*[_of_kind(r, F.col("text")) for r in full])).alias("s")))
-    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    # rows of one doc_id with equal texts have equal spans, so the set of them is the spans of each
-    ordered = F.array_sort(F.collect_set(F.struct("s.start", order[F.col("s.kind")].alias("k"), "s.end", "s.kind")))
-    found = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "h").agg(ordered.alias("s"))
-    return found.select("doc_id", "h", F.transform("s", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    full = F.array(*[F.lit(r.kind) for r in rules if not queries[r.kind]]).cast("array<string>")
+    indexed = [r for r in rules if queries[r.kind]]
+    name, at = free_name(docs, "asked"), free_name(docs, "at")
+    if not indexed:
+        return docs.withColumn(name, full), F.col(name)
+    wanted = sorted({g for r in indexed for c in queries[r.kind] for g in c})
+    found = candidates(trigram_index(docs, wanted), indexed)
+    few = written(found.groupBy(remainder(F.col("doc_id")).alias(at)).agg(F.sort_array(F.collect_set("kind")).alias(name)), "candidates")
+    id_ = docs["doc_id"].cast("bigint")
+    j = docs.join(F.broadcast(few), remainder(id_) == few[at], "left")
+    every = F.array(*[F.lit(r.kind) for r in indexed])
+    return j.drop(few[at]), F.concat(full, F.when(F.col("doc_id").isNull(), every).otherwise(F.coalesce(name, F.array().cast("array<string>"))))
 
 
 def with_spans(docs: DataFrame, rules=RULES, name: str = "spans") -> DataFrame:
-    """docs with the spans of every row, an empty array where there are none."""
-    found = scan(docs, rules).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_s"))
-    kept = [c for c in docs.columns if c != name]
-    j = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
-    return j.select(*[docs[f"`{c}`"] for c in kept], F.coalesce("_s", F.array().cast(SPAN)).alias(name))
+    """docs with the spans, array<struct<kind, start, end>> by start and then rule order, of every row; an empty array where there are none."""
+    asked, kinds = _to_verify(docs, rules)
+    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
+    verify = [F.when(F.array_contains(kinds, r.kind), _of_kind(r, F.col("text"))).otherwise(F.array().cast(SPAN)) for r in rules]
+    ranked = F.array_sort(F.transform(F.concat(*verify), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("k"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    spans = F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return asked.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], spans.alias(name))
 
 
 def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with each span, overlapping ones taken together, replaced in text by the mark."""
-    found = with_spans(docs, rules, "_spans")
+    at = free_name(docs, "spans")
     merged = F.aggregate(
-        F.col("_spans"), F.array().cast("array<struct<start:bigint,end:bigint>>"),
+        F.col(at), F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda a, s: F.when(
             (F.size(a) > 0) & (s["start"] < F.element_at(a, -1)["end"]),
             F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end")))),
@@ -189,18 +192,17 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
         lambda a, s: F.struct((s["end"] + 1).alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int"), (s["start"] + 1 - a["at"]).cast("int")), F.lit(mark)).alias("out")),
         lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int"), F.length("text"))),
     )
-    return found.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text"))).drop("_spans")
+    found = with_spans(docs, rules, at)
+    clean = F.when(F.size(at) > 0, text).otherwise(F.col("text")).alias("text")
+    return found.select(*[clean if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = written(scan(docs), "secrets")
-    d = docs.select("doc_id").join(found, "doc_id", "left")
-    spans = F.coalesce("spans", F.array().cast(SPAN))
+    d = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     text = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    count = lambda kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
-    base = F.filter(spans, lambda x: x["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
     return d.select(
         "doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
-        F.sha2(text(base), 256).alias("base_sha256"), text(spans).alias("spans"),
+        F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"),
     )

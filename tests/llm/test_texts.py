@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -44,12 +46,32 @@ def test_bpe_odd_rows(spark):
 def test_streaming_utf8():
     raw = "aé漢🙂".encode()
     u = bpe.Utf8()
-    assert "".join(u.push(raw[i : i + 1]) for i in range(len(raw))) + u.close() == "aé漢🙂"
+    parts = [u.push(raw[i : i + 1]) for i in range(len(raw))]
+    assert [p.decode() for p in parts if p] == list("aé漢🙂") and u.close() == b"" and u.valid
+
+
+def test_decoder_goes_through_the_machine():
+    t, d = _tiktoken(), bpe.decoder(MULTI)
+    rng = random.Random(2)
+    for _ in range(300):
+        raw = bytes(rng.choice(b"ab \xc3\xa9\xf0\x9f\x99\x82\xe6\xbc\xa2\xff\x80") for _ in range(rng.randint(0, 30)))
+        ids = np.array([t.encode_single_token(raw[i : i + 1]) for i in range(len(raw))], np.int32)
+        out, valid = d(ids)
+        try:
+            raw.decode()
+            good = True
+        except UnicodeDecodeError:
+            good = False
+        assert out == raw and valid == good
+        assert "".join(d.stream(ids.tolist())).encode(errors="replace").count(b"?") <= len(raw)
+    text = "漢字 and 🙂 é"
+    ids = t.encode_ordinary(text)
+    pieces = list(d.stream(ids))
+    assert "".join(pieces) == text and all("\ufffd" not in p for p in pieces)
 
 
 def test_shards(spark, sf):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     start = 0
     want = {}
     for r in sorted(table(spark, sf, "documents").collect(), key=lambda r: r.doc_id):
@@ -63,8 +85,10 @@ def test_shard_lookup_and_odd_rows(spark):
     df = frame(spark, EDGES + [(104, "again")], "start string", ("x",))
     manifest = ts.write_shards(df, JSON, scratch_path(spark, "shards"))
     assert ts.read_shards(spark, manifest).count() == len(EDGES) + 1
-    found = ts.lookup(manifest, spark.createDataFrame([(103,), (104,), (9,)], "doc_id bigint")).collect()
+    found = ts.lookup(manifest, spark.createDataFrame([(103,), (104,), (9,), (10**9,)], "doc_id bigint")).collect()
     assert sorted(r.doc_id for r in found) == [103, 104, 104]
+    nameless = ts.write_shards(frame(spark, [(None, "a"), (None, None), (-5, "b"), (7, "c")]), JSON, scratch_path(spark, "shards"))
+    assert sorted(str(r.doc_id) for r in ts.lookup(nameless, spark.createDataFrame([(None,), (-5,)], "doc_id bigint")).collect()) == ["-5", "None", "None"]
     empty = ts.write_shards(df.limit(0), JSON, scratch_path(spark, "shards"))
     assert ts.read_shards(spark, empty).count() == 0
 
@@ -173,3 +197,155 @@ def test_pipeline(spark, sf):
     tokens = pipeline.tokenize(spark, mixed, sf).collect()
     t, text = _tiktoken(), {r.doc_id: r.text or "" for r in safe.collect()}
     assert len(tokens) == mixed.count() and all(list(r.ids) == t.encode_ordinary(text[r.doc_id]) for r in tokens)
+
+
+def _table(spark, path, rows):
+    """A folder of tables whose documents are these (doc_id, text, source)."""
+    df = spark.createDataFrame([(i, t, None, s, None if t is None else len(t)) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.repartition(3).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+ODD = [(1, "my token: abcdefgh1 x", "a"), (1, "clean text here", "a"), (2, "same", None), (2, "same", None), (None, "password=hunter22", "b"), (None, None, "b"), (3, "", "a"), (4, "x <|endoftext|> y", "b"), (5, "Same ", "a"), (6, None, None), (7, "f" * 30 + " word " * 700, "a")]
+
+
+def test_shards_query_on_odd_rows(spark, tmp_path):
+    tok = Tokenizer.from_file(JSON)
+    path = _table(spark, tmp_path, ODD)
+    want, start = [], 0
+    for i, t, _ in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in ts.op4_token_shards(spark, path).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want
+    assert 50256 in tok.encode(ODD[7][1], add_special_tokens=False).ids
+
+
+def test_secret_query_on_odd_rows(spark, tmp_path):
+    path = _table(spark, tmp_path, ODD)
+    got = sorted((str(r.doc_id), r.n_assign, r.n_hex, r.base_sha256) for r in secrets.op6_secret_scan(spark, path).collect())
+    want = []
+    for i, t, _ in ODD:
+        spans = base_spans(t or "")
+        want.append((str(i), sum(s[0] == "assign" for s in spans), sum(s[0] == "hex" for s in spans), hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_trigram_index_against_brute_force(spark):
+    rng = random.Random(4)
+    words = ["token", "tok", "ken: abcdef", "AKIA", "akiaX", "secret", "sec", " ", "password=", "passwd", "api_key:", "xoxb-", "ghp_", "-----BEGIN PRIVATE KEY-----"]
+    rows = [(i * 40_000, "".join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for i in range(200)]
+    rules = [r for r in secrets.RULES if secrets.trigram_query(r.pattern)]
+    grams = sorted({g for r in rules for c in secrets.trigram_query(r.pattern) for g in c})
+    index = secrets.trigram_index(frame(spark, rows), grams)
+    assert {(r.trigram, i) for r in index.collect() for i in r.ids} == {(g, i) for i, t in rows for g in grams if g in t.lower()}
+    got = {(r.kind, r.doc_id) for r in secrets.candidates(index, rules).collect()}
+    assert got == {(r.kind, i) for r in rules for i, t in rows if any(all(g in t.lower() for g in c) for c in secrets.trigram_query(r.pattern))}
+    assert {(r.kind, i) for r in rules for i, t in rows if re.search(r.pattern, t)} <= got
+
+
+def _plain_digest(text):
+    import unicodedata
+
+    import xxhash
+
+    once = unicodedata.normalize("NFKC", text).casefold()
+    return xxhash.xxh3_128_hexdigest(" ".join(unicodedata.normalize("NFKC", once).split()).encode())
+
+
+def test_fingerprint_query_on_odd_rows(spark, tmp_path):
+    path = _table(spark, tmp_path, ODD)
+    got = fp.op8_fingerprint(spark, path).collect()
+    assert sorted((str(r.doc_id), r.fingerprint) for r in got) == sorted((str(i), _plain_digest(t or "")) for i, t, _ in ODD)
+    least = {}
+    for i, t, _ in ODD:
+        if i is not None:
+            least[_plain_digest(t or "")] = min(i, least.get(_plain_digest(t or ""), i))
+    assert all(r.class_id == least.get(r.fingerprint) for r in got)
+
+
+def test_plain_fingerprints(spark, sf):
+    """Against a digest and an edit written here, not the operator's own."""
+    rows = sorted((r.doc_id, r.text or "") for r in table(spark, sf, "documents").collect())
+    got = {r.doc_id: r for r in fp.op8_fingerprint(spark, sf).collect()}
+    for n, (i, t) in enumerate(rows):
+        following = rows[(n + 1) % len(rows)][1]
+        half = len(t) // 2
+        new = t[: len(t) - half] + following[:half]
+        assert (got[i].fingerprint, got[i].edited_fingerprint, got[i].edited_sha256) == (_plain_digest(t), _plain_digest(new), hashlib.sha256(new.encode()).hexdigest())
+
+
+def _plain_mix(rows, weights=(3, 1, 2), share=1.5, most=2.0):
+    """Targets and taken words by source: shares by weight, what is over the cap shared out again until none is above."""
+    sizes = defaultdict(list)
+    for i, t, s in rows:
+        sizes[s].append(len(WORD.findall(t or "")))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[n % 3] for n, s in enumerate(order)}
+    size = {s: sum(sizes[s]) for s in order}
+    left, open_, target = share * sum(size.values()), set(order), {}
+    left = min(left, most * sum(size.values()))
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if level * w[s] > most * size[s]}
+        for s in over or set(open_):
+            target[s] = most * size[s] if over else level * w[s]
+            left -= target[s] if over else 0
+        open_ -= over or set(open_)
+    return target, size
+
+
+def test_mixing_against_a_plain_sampler(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 30, 200]), rng.choice(["a", "b", "b", "b", "b", "c", None, "é"])) for i in range(600)]
+    path = _table(spark, tmp_path, rows)
+    got = mixing.op10_systematic_mix(spark, path).collect()
+    target, size = _plain_mix(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for s, v in by.items():
+        assert v[0].source_size == size[s] and math.isclose(v[0].target, target[s], rel_tol=1e-9, abs_tol=1e-9)
+        rate = target[s] / size[s] if size[s] else 0
+        # in order of size, each stretch of documents is taken as often as its expected copies say, but for one
+        copies = [r.copies for r in sorted(v, key=lambda r: r.size)]
+        by_size = defaultdict(list)
+        for r in v:
+            by_size[r.size].append(r.copies)
+        for n in by_size.values():
+            assert abs(sum(n) - rate * len(n)) <= 1
+        assert abs(sum(copies) - rate * len(copies)) <= 1 and set(copies) <= {math.floor(rate), math.ceil(rate)}
+        assert abs(sum(r.taken for r in v) - target[s]) <= 200
+
+
+CLASHES = ["gone", "_gone", "_d", "_h", "_s", "_spans", "spans", "asked", "at", "_n", "_id", "_k", "id", "copies", "k", "digest", "of", "score", "cosine", "rejected", "lang_pred", "r", "kept", "component_id", "n_shingles", "ids"]
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame([(i, t, "en", s, None) for i, t, s in ODD], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit(0.25))
+    docs = written(docs)
+    for stage in (pipeline.language_id, pipeline.near_dedup, pipeline.secret_scan, pipeline.mix):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert all(r[c] == 0.25 for r in rows for c in CLASHES)
+        assert stage(spark, docs.limit(0), "").count() == 0
+        if stage is pipeline.near_dedup:
+            # equal rows of a doc_id once; different texts of it, and null ids, stay; 5 shares no shingle set with 2, as case counts alike: "Same " and "same"
+            assert sorted(str((r.doc_id, r.text)) for r in rows) == sorted({str((i, t)) for i, t, _ in ODD if i != 5} | {"(6, None)"})
+        if stage is pipeline.secret_scan:
+            assert len(rows) == len(ODD) and not any(base_spans(r.text or "") for r in rows)
+    assert pipeline.tokenize(spark, docs, "").count() == len(ODD) and pipeline.tokenize(spark, docs.limit(0), "").count() == 0
+
+
+def test_run_equals_the_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, sf), name)
+    row = lambda r: (r.doc_id, r.lang, r.source, r.n_tokens, tuple(r.ids))
+    assert sorted(map(row, docs.collect()), key=str) == sorted(map(row, corpus_pipeline.run(spark, sf).collect()), key=str)
