@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_chunks, with_schema, written
-from .pretokens import Recent, splitter
+from .pretokens import Kept, Recent, splitter
 
 #: Transitions, and pieces of one of two generations with their ids, that a worker keeps.
 MAX_TRANSITIONS, MAX_PIECES = 300_000, 120_000
@@ -280,9 +281,16 @@ class Utf8:
         return out
 
 
-@lru_cache(2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+_encoders = Kept(Encoder)
+
+
+@contextmanager
+def encoder(path: str, pattern: str) -> Iterator[Encoder]:
+    """The worker's encoder, which further tasks find warm."""
+    try:
+        yield _encoders.take(path, pattern)
+    finally:
+        _encoders.rest()
 
 
 @lru_cache(2)
@@ -297,12 +305,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str | None = None, name: str =
     columns = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = encoder(ranks, pattern)
-        for b in batches:
-            text = b.column(b.schema.get_field_index("text"))
-            for first, end, _, _ in text_chunks(text):
-                ids = [c.encode(t) for t in text.slice(first, end - first).fill_null("").to_pylist()]
-                yield _with(b.slice(first, end - first), columns, name, _lists(ids))
+        with encoder(ranks, pattern) as c:
+            for b in batches:
+                text = b.column(b.schema.get_field_index("text"))
+                for first, end, _, _ in text_chunks(text):
+                    ids = [c.encode(t) for t in text.slice(first, end - first).fill_null("").to_pylist()]
+                    yield _with(b.slice(first, end - first), columns, name, _lists(ids))
 
     return docs.mapInArrow(run, with_schema(docs, f"`{name}` array<int>", name))
 

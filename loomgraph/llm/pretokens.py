@@ -1,10 +1,13 @@
-"""Splitting a text by a tokenizer's pattern."""
+"""Splitting a text by a tokenizer's pattern, and what a worker keeps from task to task."""
 
 from __future__ import annotations
 
+import gc
 import re
+import threading
 from collections.abc import Callable
 from functools import lru_cache
+from typing import Any
 
 import regex
 
@@ -43,3 +46,40 @@ class Recent(dict):
         if len(self) > self.bound:
             self.old = dict(self)
             self.clear()
+
+
+#: Seconds without a task after which a worker gives its tables up: Spark keeps idle workers, and other stages need their memory.
+IDLE = 8.0
+
+
+class Kept:
+    """What make() made last, until it is given up."""
+
+    def __init__(self, make: Callable[..., Any]):
+        self.make, self.lock, self.timer = make, threading.Lock(), None
+        self.of, self.held, self.users = None, None, 0
+
+    def take(self, *of: Any) -> Any:
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            self.users += 1
+            if self.held is None or self.of != of:
+                self.of, self.held = of, None
+                self.held = self.make(*of)
+            return self.held
+
+    def rest(self) -> None:
+        """To be called once for each take(), when its task is over."""
+        with self.lock:
+            self.users -= 1
+            if not self.users:
+                self.timer = threading.Timer(IDLE, self._drop)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def _drop(self) -> None:
+        with self.lock:
+            if not self.users:
+                self.held = None
+                gc.collect()

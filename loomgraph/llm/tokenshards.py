@@ -26,7 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table, text_chunks, written
-from .pretokens import USUAL, Recent, splitter
+from .pretokens import USUAL, Kept, Recent, splitter
 
 MAGIC, VERSION = b"LOOMSST1", 2
 FOOTER = struct.Struct("<8sIIQQQQQQQII")
@@ -262,9 +262,16 @@ class Encoder:
         return out + self.split(text[at:])
 
 
-@lru_cache(2)
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
-    return Encoder(path, special_as_text)
+_encoders = Kept(Encoder)
+
+
+@contextmanager
+def encoder(path: str, special_as_text: bool = False) -> Iterator[Encoder]:
+    """The worker's encoder, which further tasks find warm."""
+    try:
+        yield _encoders.take(path, special_as_text)
+    finally:
+        _encoders.rest()
 
 
 def write_shards(docs: DataFrame, tokenizer: str, directory: str, end_id: int | None = 2, shards: int | None = None, special_as_text: bool = False) -> DataFrame:
@@ -276,21 +283,22 @@ def write_shards(docs: DataFrame, tokenizer: str, directory: str, end_id: int |
     placed = row.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, last, row = encoder(tokenizer, special_as_text), None, None, 0
-        width = 2 if max(enc.vocab, (end_id or 0) + 1) <= 1 << 16 else 4
-        tail = np.array([] if end_id is None else [end_id], np.uint32)
-        uri = ""
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            for first, end, _, _ in text_chunks(texts):
-                encoded = enc(texts.slice(first, end - first).fill_null("").to_pylist())
-                for doc, e in zip(ids[first:end], encoded):
-                    if out is None:
-                        uri = f"{directory}/shard-{_key(doc, 0)[:DOC].hex()}.sst"
-                        out = ShardWriter(uri, width)
-                    row = row + 1 if out.n and doc == last else 0
-                    last = doc
-                    out.add(doc, row, np.concatenate([e, tail]))
+        out, last, row = None, None, 0
+        with encoder(tokenizer, special_as_text) as enc:
+            width = 2 if max(enc.vocab, (end_id or 0) + 1) <= 1 << 16 else 4
+            tail = np.array([] if end_id is None else [end_id], np.uint32)
+            uri = ""
+            for b in batches:
+                ids, texts = b.column(0).to_pylist(), b.column(1)
+                for first, end, _, _ in text_chunks(texts, 2_000_000):
+                    encoded = enc(texts.slice(first, end - first).fill_null("").to_pylist())
+                    for doc, e in zip(ids[first:end], encoded):
+                        if out is None:
+                            uri = f"{directory}/shard-{_key(doc, 0)[:DOC].hex()}.sst"
+                            out = ShardWriter(uri, width)
+                        row = row + 1 if out.n and doc == last else 0
+                        last = doc
+                        out.add(doc, row, np.concatenate([e, tail]))
         if out is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(("path", "first_id", "last_id", "n_docs", "n_ids"), (uri, *out.close())))])
 
