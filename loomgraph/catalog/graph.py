@@ -53,7 +53,7 @@ def call_paths(t):
 
 @query("call_tree_edges", f"""{_walk('calls', _START, 6)} SELECT nodes[-2] AS src, nodes[-1] AS dst, CAST(min(depth) AS INTEGER) AS depth FROM p GROUP BY ALL""")
 def call_tree_edges(t):
-    return g.path_edges(g.paths(t.calls, g.busiest(t.calls), 6))
+    return g.tree(t.calls, g.busiest(t.calls), 6)
 
 
 @query("call_tree_stats", f"""{_walk('calls', _START, 6)}, tree AS (SELECT nodes[-2] AS src, nodes[-1] AS dst, min(depth) AS depth FROM p GROUP BY ALL),
@@ -63,7 +63,7 @@ def call_tree_edges(t):
     FROM tree JOIN {{functions}} a ON a.id = src JOIN {{functions}} b ON b.id = dst""")
 def call_tree_stats(t):
     start = g.busiest(t.calls)
-    return g.tree_stats(g.path_edges(g.paths(t.calls, start, 6)), start, t.functions)
+    return g.tree_stats(g.tree(t.calls, start, 6), start, t.functions)
 
 
 def _reach(a: str, b: str, name: str) -> str:

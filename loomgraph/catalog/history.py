@@ -59,14 +59,14 @@ def graph_diff_nodes(t):
 
 def _import_snapshot(t, since, until):
     ns = t._count("supplier")
-    li = t.raw("lineitem").filter(f"l_linenumber >= 4 AND l_shipdate >= TIMESTAMP_NTZ '{since}' AND l_shipdate < TIMESTAMP_NTZ '{until}'")
+    li = t.raw("lineitem").filter(f"l_shipdate >= TIMESTAMP_NTZ '{since}' AND l_shipdate < TIMESTAMP_NTZ '{until}'")
     e = li.selectExpr("l_suppkey AS src", f"l_partkey % {ns} AS dst", "concat(l_returnflag, l_linestatus) AS s").filter("src <> dst")
     return e.groupBy("src", "dst").agg(F.array_sort(F.collect_set("s")).alias("symbols"))
 
 
 def _import_sql(since, until):
     return f"""SELECT l_suppkey AS src, l_partkey % ns AS dst, list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS symbols FROM lineitem
-        CROSS JOIN (SELECT count(*) AS ns FROM supplier) WHERE l_linenumber >= 4 AND l_shipdate >= TIMESTAMP '{since}' AND l_shipdate < TIMESTAMP '{until}' AND l_suppkey <> l_partkey % ns GROUP BY ALL"""
+        CROSS JOIN (SELECT count(*) AS ns FROM supplier) WHERE l_shipdate >= TIMESTAMP '{since}' AND l_shipdate < TIMESTAMP '{until}' AND l_suppkey <> l_partkey % ns GROUP BY ALL"""
 
 
 _EDGES = f"""SELECT coalesce(p.src, c.src) AS src, coalesce(p.dst, c.dst) AS dst, CASE WHEN p.src IS NULL THEN 'created' WHEN c.src IS NULL THEN 'deleted'

@@ -42,7 +42,7 @@ ENTITY_SQL = {
         doc_id % nf AS source_file, 1 + doc_id % 60 AS source_line, (doc_id * 7 + 3) % nf AS sink_file, 1 + (doc_id * 3) % 60 AS sink_line
         FROM labels CROSS JOIN (SELECT count(*) // 10 AS nf FROM documents)""",
     "occurrences": """SELECT l_orderkey AS occ_order, l_linenumber AS occ_line, l_partkey % nf AS file_id, 1 + CAST(l_quantity AS INTEGER) AS line, l_suppkey AS target
-        FROM lineitem CROSS JOIN (SELECT count(*) // 10 AS nf FROM documents) WHERE l_linenumber <= 2""",
+        FROM lineitem CROSS JOIN (SELECT count(*) // 10 AS nf FROM documents)""",
     "commits": """SELECT sha256(strftime(d, '%Y-%m-%d')) AS sha, d AS ts, 'clerk_' || (dayofyear(d) % 20) AS author,
         lag(sha256(strftime(d, '%Y-%m-%d'))) OVER (ORDER BY d) AS parent FROM (SELECT DISTINCT o_orderdate AS d FROM orders)""",
     "snap_prev": "SELECT o_custkey AS key, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
@@ -143,7 +143,7 @@ class Tables:
 
     @cached_property
     def occurrences(self) -> DataFrame:
-        return self.raw("lineitem").filter("l_linenumber <= 2").selectExpr(
+        return self.raw("lineitem").selectExpr(
             "l_orderkey AS occ_order", "l_linenumber AS occ_line", f"l_partkey % {self.n_files} AS file_id", "1 + CAST(l_quantity AS INT) AS line", "l_suppkey AS target"
         )
 

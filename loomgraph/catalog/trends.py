@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import conventions as cv
@@ -43,15 +44,12 @@ def regressions(t):
 @query("regression_deploy", f"""WITH {_M}, {_R}, f AS (SELECT r.function_name, x.kind AS kind, min(l.ts) AS began FROM r JOIN {{logs}} l ON l.function_name = r.function_name AND l.level = 'error' AND l.ts >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS GROUP BY ALL)
     SELECT f.function_name, f.kind, arg_max(d.deployment_id, d.started_at) AS deployment_id FROM f JOIN {{deployments}} d ON d.started_at <= f.began GROUP BY ALL""")
 def regression_deploy(t):
-    """The last deployment before a function's first error of the week, as-of by the deployments' validity intervals."""
+    """The last deployment before a function's first error of the week, however long before."""
     found = m.regressions(_metrics(t), "1d", "7d").select("function_name", "kind")
     since = F.lit(AS_OF).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")
     began = t.logs.filter((F.col("level") == "error") & (F.col("ts") >= since)).groupBy("function_name").agg(F.min("ts").alias("began"))
-    # a deployment holds for its day, so the one before a moment is that of the last day with one; days are the join's key
-    days = t.deployments.select("deployment_id", F.to_date("started_at").alias("day"))
-    at = found.join(began, "function_name").withColumn("day", F.explode(F.sequence(F.date_sub(F.to_date("began"), 7), F.to_date("began"))))
-    j = at.join(days, "day").groupBy("function_name", "kind").agg(F.max_by("deployment_id", "day").alias("deployment_id"))
-    return j.select("function_name", "kind", "deployment_id")
+    of = m.last_before(found.join(began, "function_name"), "began", t.deployments, "started_at", "deployment_id")
+    return of.filter("deployment_id is not null").select("function_name", "kind", "deployment_id")
 
 
 @query("regression_resolved", """WITH d AS (SELECT function_name, date_trunc('day', ts) AS day, count(*) FILTER (WHERE level = 'error') AS e FROM {logs} GROUP BY ALL),
@@ -78,11 +76,11 @@ def hot_paths(t):
 @query("deploy_impact", """WITH c AS (SELECT deployment_id, count(*) AS n, count(*) FILTER (WHERE level = 'error') AS errors FROM {logs} GROUP BY 1)
     SELECT d.deployment_id, c.n, c.errors, c.errors - lag(c.errors) OVER (ORDER BY d.started_at) AS error_change FROM {deployments} d JOIN c USING (deployment_id)""")
 def deploy_impact(t):
-    """Errors against the deployment of the day before, joined by day."""
+    """Errors against the deployment before; one row a deployment is left when the window runs."""
     c = t.logs.groupBy("deployment_id").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "error").alias("errors"))
-    j = t.deployments.join(c, "deployment_id").withColumn("day", F.to_date("started_at"))
-    before = j.select(F.date_add("day", 1).alias("day"), F.col("errors").alias("was"))
-    return j.join(before, "day", "left").select("deployment_id", "n", "errors", (F.col("errors") - F.col("was")).alias("error_change"))
+    j = t.deployments.join(c, "deployment_id")
+    was = F.lag("errors").over(Window.orderBy("started_at", "deployment_id"))
+    return j.select("deployment_id", "n", "errors", (F.col("errors") - was).alias("error_change"))
 
 
 @query("hourly_snapshots", "SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H') AS hour, count(*) AS n, count(*) FILTER (WHERE level = 'error') AS errors FROM {logs} GROUP BY ROLLUP (1, 2)")

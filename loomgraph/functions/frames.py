@@ -39,29 +39,48 @@ FORMATS = (
 FRAME = "struct<format:string,file_path:string,line_number:int,column_number:int,function_name:string>"
 
 
+#: What every line of a format holds besides; cheap to look for before its pattern is tried.
+HOLDS = {"rust": (".rs:",), "swift": (".swift:",), "jvm": (".java:", ".kt:"), "js": ("at",), "python": ("File",), "go": (".go:",), "csharp": (".cs:line",), "ruby": (".rb:",), "php": (".php(",)}
+
+
 def line_frame(line: Column) -> Column:
-    """The frame that a line holds, or null. The first format that fits is found first; its groups are read by its row of FORMATS."""
+    """The frame that a line holds, or null, by the first format that fits. Patterns are literals, each compiled once."""
     text = F.trim(line)
     which = F.lit(None).cast("int")
     for i in reversed(range(len(FORMATS))):
-        which = F.when(text.rlike(FORMATS[i].pattern), i).otherwise(which)
-    rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in f._asdict().items()]) for f in FORMATS])
-
-    def read(f: Column) -> Column:
-        # group 0, the whole match, stands for an absent group
-        group = lambda i: F.when(f[i] > 0, F.nullif(F.call_function("regexp_extract", text, f["pattern"], f[i]), F.lit("")))
-        path, function = group("path"), group("function")
-        library = lambda p, c: (f[p] != "") & F.coalesce(F.call_function("regexp_like", c, f[p]), F.lit(False))
-        return F.when(f["name"].isNotNull(), F.struct(
-            f["name"].alias("format"), F.when(f["name"] == "jvm", path).otherwise(strip_prefix(path)).alias("file_path"), group("line").try_cast("int").alias("line_number"),
-            group("column").try_cast("int").alias("column_number"), function.alias("function_name"),
-            (library("library_path", path) | library("library_function", function)).alias("library"),
-        ))
+        f = FORMATS[i]
+        may = F.contains(text, F.lit(HOLDS[f.name][0]))
+        for other in HOLDS[f.name][1:]:
+            may = may | F.contains(text, F.lit(other))
+        which = F.when(may & text.rlike(f.pattern), i).otherwise(which)
+
+    def read(i: Column) -> Column:
+        def of(value) -> Column:
+            out = F.lit(None).cast("string")
+            for n, f in enumerate(FORMATS):
+                if (c := value(f)) is not None:
+                    out = F.when(i == n, c).otherwise(out)
+            return out
+
+        group = lambda name: of(lambda f: F.nullif(F.regexp_extract(text, f.pattern, getattr(f, name)), F.lit("")) if getattr(f, name) else None)
+        return F.struct(i.alias("i"), group("path").alias("path"), group("line").alias("line"), group("column").alias("column"), group("function").alias("function"))
+
+    def library(x: Column) -> Column:
+        out = F.lit(False)
+        for n, f in enumerate(FORMATS):
+            for pattern, of in ((f.library_path, "path"), (f.library_function, "function")):
+                if pattern:
+                    out = out | ((x["i"] == n) & F.coalesce(x[of].rlike(pattern), F.lit(False)))
+        return out
+
+    def made(x: Column) -> Column:
+        name = F.get(F.array(*[F.lit(f.name) for f in FORMATS]), x["i"])
+        path = F.when(name == "jvm", x["path"]).otherwise(strip_prefix(x["path"]))
+        return F.struct(name.alias("format"), path.alias("file_path"), x["line"].try_cast("int").alias("line_number"), x["column"].try_cast("int").alias("column_number"), x["function"].alias("function_name"))
 
     # one-element arrays let the parts be named, so that no expression is written out twice
-    made = F.transform(F.filter(F.array(F.get(rows, which)), lambda f: f.isNotNull()), read)
-    own = F.transform(F.filter(made, lambda x: ~x["library"]), lambda x: F.struct(*[x[c].alias(c) for c in ("format", "file_path", "line_number", "column_number", "function_name")]))
-    return F.get(own, F.lit(0)).cast(FRAME)
+    parts = F.filter(F.transform(F.filter(F.array(which), lambda i: i.isNotNull()), read), lambda x: ~library(x))
+    return F.get(F.transform(parts, made), F.lit(0)).cast(FRAME)
 
 
 def stack_frames(rows: DataFrame, key: str, trace: str) -> DataFrame:

@@ -16,15 +16,15 @@ SINK_KINDS = (
 )
 #: Known errors, their category, and the pattern that tells them.
 ERROR_PATTERNS = (
-    ("jwt-as-git-token", "auth", r"https://eyJ[\w.]+@github\.com"),
+    ("supabase-jwt-as-github-token", "auth", r"https://eyJ[\w.]+@github\.com"),
     ("git-auth-failure", "auth", r"(?i)fatal: (?:could not read (?:Username|Password)|Authentication failed|repository .+ not found)"),
     ("cors-error", "network", r"has been blocked by CORS policy|Access-Control-Allow-Origin"),
     ("econnrefused", "network", r"ECONNREFUSED|connect ECONNREFUSED"),
-    ("graph-db-connection", "database", r"(?i)Neo4j|ServiceUnavailable.*bolt|failed to connect.*7687"),
-    ("row-level-security", "database", r"new row violates row-level security|permission denied for table"),
+    ("neo4j-connection", "database", r"(?i)Neo4j|ServiceUnavailable.*bolt|failed to connect.*7687"),
+    ("supabase-rls", "database", r"new row violates row-level security|permission denied for table"),
     ("module-not-found", "build", r"Cannot find module|Module not found|ERR_MODULE_NOT_FOUND"),
     ("sigterm", "runtime", r"signal SIGTERM|Lifecycle script .+ failed.*SIGTERM"),
-    ("parse-invalid-arg", "build", r"Parse skipped .+ \(\w+\): Invalid argument"),
+    ("scip-parse-invalid-arg", "build", r"Parse skipped .+ \(\w+\): Invalid argument"),
     ("rate-limit", "network", r"(?i)rate limit|429|too many requests"),
 )
 #: Level and deployment status words of two platforms, in lower case; the third value is what any other word becomes.

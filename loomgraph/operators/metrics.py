@@ -92,3 +92,26 @@ def hourly(logs: DataFrame) -> DataFrame:
     """Hour, function, counts; with day totals (hour null) and the grand total (both null) by rollup."""
     day, hour = F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH").alias("hour")
     return logs.select(day, hour, "level").rollup("day", "hour").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "error").alias("errors"))
+
+
+def last_before(moments: DataFrame, at: str, marks: DataFrame, mark_at: str, name: str) -> DataFrame:
+    """moments with the column `name` of the last of the marks at or before the moment, null if there is none before; however long ago it was.
+
+    As of a moment, within its month, by the last value that is not null; before the month's first mark, by the last mark of the months before, of
+    which there is one row each.
+    """
+    month = lambda c: F.date_trunc("month", F.col(c))
+    rest = [c for c in moments.columns if c != name]
+    row = F.struct(*rest)
+    m = marks.select(month(mark_at).alias("_month"), F.col(mark_at).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(mark_at).alias("at"), F.col(name).alias("v")).alias("_mark"))
+    by_month = m.groupBy("_month").agg(F.max("_mark").alias("_last"))
+    order = Window.orderBy("_month")
+    asked = moments.select(month(at).alias("_month")).distinct()
+    months = asked.unionByName(by_month.select("_month")).distinct().join(by_month, "_month", "left")
+    carried = months.select("_month", F.last("_last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    both = m.withColumn("_row", F.lit(None).cast(moments.select(row.alias("r")).schema["r"].dataType)).unionByName(
+        moments.select(month(at).alias("_month"), F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(m.schema["_mark"].dataType).alias("_mark"), row.alias("_row"))
+    )
+    w = Window.partitionBy("_month").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = both.withColumn("_own", F.last("_mark", ignorenulls=True).over(w)).filter("_kind = 1").join(carried, "_month", "left")
+    return held.select("_row.*", F.coalesce("_own.v", "_carried.v").alias(name))

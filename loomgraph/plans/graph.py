@@ -59,6 +59,16 @@ def path_edges(found: DataFrame) -> DataFrame:
     return last.groupBy("src", "dst").agg(F.min("depth").alias("depth"))
 
 
+def tree(edges: DataFrame, starts: DataFrame, max_depth: int, up: bool = False) -> DataFrame:
+    """src, dst, depth: what path_edges() of all paths would give, without their enumeration.
+
+    An edge stands first at the end of a shortest path to its source, which no path of its own can shorten.
+    """
+    near = reachable(edges, starts, up, max_depth - 1).select(F.col("id").alias("src"), "depth")
+    e = (reversed_edges(edges) if up else edges).select("src", "dst").distinct()
+    return e.join(near, "src").select("src", "dst", (F.col("depth") + 1).alias("depth"))
+
+
 def tree_stats(tree: DataFrame, starts: DataFrame, node_file: DataFrame) -> DataFrame:
     """One row: nodes, edges, leaves, cross_file (edges between files), max_depth of path_edges(). node_file: id, file."""
     nodes = starts.select("id").unionByName(tree.select(F.col("dst").alias("id"))).distinct()
@@ -71,21 +81,22 @@ def tree_stats(tree: DataFrame, starts: DataFrame, node_file: DataFrame) -> Data
     return nodes.agg(F.count("*").alias("n_nodes")).crossJoin(leaves.agg(F.count("*").alias("n_leaves"))).crossJoin(crossing)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, up: bool = False) -> DataFrame:
-    """id, depth of every node that the starts (id) reach, themselves at depth 0; unbounded.
+def reachable(edges: DataFrame, starts: DataFrame, up: bool = False, max_depth: int | None = None) -> DataFrame:
+    """id, depth of every node that the starts (id) reach, themselves at depth 0; unbounded without max_depth.
 
-    A round costs one join of the frontier with the edges and one anti-join with what was seen.
+    A round costs one join of the frontier with the edges and one anti-join with what was seen, which is read from the rounds before.
     """
     e = written((reversed_edges(edges) if up else edges).select("src", "dst").distinct(), "edges")
-    frontier = written(starts.select("id", F.lit(0).alias("depth")).distinct(), "frontier")
-    seen, depth = frontier, 0
-    while True:
+    frontier = seen = written(starts.select("id", F.lit(0).alias("depth")).distinct(), "frontier")
+    depth = 0
+    while max_depth is None or depth < max_depth:
         depth += 1
         new = frontier.join(e, frontier["id"] == e["src"]).select(F.col("dst").alias("id")).distinct()
         frontier = written(new.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
-            return seen
-        seen = written(seen.unionByName(frontier), "seen")
+            break
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -141,9 +141,17 @@ def test_derived_calls(spark):
 def test_read_only(spark):
     assert adhoc.is_read_only(spark, "SELECT created_at FROM t WHERE x = 'DROP'")
     assert adhoc.is_read_only(spark, "WITH a AS (SELECT 1 AS x) SELECT * FROM a ORDER BY x LIMIT 1")
-    for bad in ("DROP TABLE t", "INSERT INTO t VALUES (1)", "CREATE TABLE t (x INT)", "SET a = b", "CACHE TABLE t", "CREATE OR REPLACE TEMP VIEW v AS SELECT 1"):
+    for bad in ("DROP TABLE t", "INSERT INTO t VALUES (1)", "CREATE TABLE t (x INT)", "SET a = b", "CACHE TABLE t", "CREATE OR REPLACE TEMP VIEW v AS SELECT 1",
+                "WITH c AS (SELECT 1) INSERT INTO t SELECT * FROM c", "FROM t INSERT INTO a SELECT x INSERT INTO b SELECT y", "EXECUTE IMMEDIATE 'DROP TABLE t'", "BEGIN DROP TABLE t; END",
+                "UNCACHE TABLE t", "COMMENT ON TABLE t IS 'x'", "SELECT reflect('java.lang.System', 'exit', 0)", "SELECT * FROM t WHERE x IN (SELECT java_method('a', 'b'))", "SELECT * FROM python_udtf(1)"):
         assert not adhoc.is_read_only(spark, bad), bad
+    for good in ("SELECT a, count(*) FROM t JOIN u USING (a) GROUP BY a HAVING count(*) > 1", "SELECT * FROM (SELECT 1 AS x UNION ALL SELECT 2) WHERE x IN (SELECT y FROM u)", "SELECT explode(array(1, 2)) AS x",
+                 "SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) FROM t LIMIT 3 OFFSET 1", "SELECT * FROM t LATERAL VIEW explode(xs) e AS x", "VALUES (1), (2)", "SELECT * FROM range(3)"):
+        assert adhoc.is_read_only(spark, good), good
+    spark.range(9).createOrReplaceTempView("n")
     got = adhoc.run_query(spark, "SELECT id FROM n WHERE id > :least", {"n": spark.range(4)}, {"least": 2})
     assert [r.id for r in got.collect()] == [3]
+    assert spark.table("n").count() == 9
     with pytest.raises(PermissionError):
         adhoc.run_query(spark, "DROP VIEW n", {})
+    spark.catalog.dropTempView("n")
