@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a new local one only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; a new local one only where it is unset and all tasks run in this process, as in tests."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="loomgraph-")
         sc.setCheckpointDir(at)
     return at if "://" in at or at.startswith("file:") else f"file://{at}"
