@@ -29,7 +29,7 @@ from .wordhash import PUNCT, U, Words, mix
 BITS, FACTORS, WINDOW, STRIDE, PREFIXES = 20, 4, 32, 16, (4, 5)
 #: Terms that a word yields.
 PER_WORD = 1 + len(PREFIXES)
-MAX_ROWS, EPOCHS = 6000, 6
+MAX_ROWS, EPOCHS = 4000, 4
 #: Texts of the sample in which a term must stand to be learned; evidence at which its value is a half; what of its log odds its weight is at first, spread
 #: of its factors at first, decay and step of both.
 LEAST_TEXTS, EVIDENCE, START, SPREAD, DECAY, RATE = 3, 20.0, 0.3, 0.2, 1e-4, 0.1
