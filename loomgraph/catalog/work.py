@@ -68,13 +68,12 @@ def call_paths_inside(t):
     return found.select("depth", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("purge_unreachable", """WITH RECURSIVE r AS (SELECT sym_id % (SELECT count(*) FROM supplier) AS id FROM {symbols} WHERE kind = 'class' AND start_line = 1 UNION SELECT dst FROM r JOIN {imports} ON src = id)
-    SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM r)""")
+@query("purge_unreachable", """WITH RECURSIVE r AS (SELECT id FROM {functions} WHERE file = 0 UNION SELECT dst FROM r JOIN {calls} ON src = id)
+    SELECT id FROM {functions} WHERE id NOT IN (SELECT id FROM r)""")
 def purge_unreachable(t):
-    """Suppliers stand for the files of an import graph; those that no entry point's file reaches go."""
-    ns = t._count("supplier")
-    roots = t.symbols.filter("kind = 'class' and start_line = 1").selectExpr(f"sym_id % {ns} AS id").distinct()
-    return t.raw("supplier").select(F.col("s_suppkey").alias("id")).join(reachable(t.imports, roots).select("id"), "id", "left_anti")
+    """Functions that no call from the entry file reaches go."""
+    roots = t.functions.filter("file = 0").select("id")
+    return t.functions.select("id").join(reachable(t.calls, roots).select("id"), "id", "left_anti")
 
 
 @query("purge_edges", "SELECT src, dst FROM {calls} WHERE src % 10 <> 3")
