@@ -70,16 +70,20 @@ def present(flat: np.ndarray, begin: np.ndarray, of: np.ndarray, used: np.ndarra
     # the window before reaches over the first half of this one
     back = np.maximum(window - 1, 0)
     both = (back < window) & (of[back] == of[window]) & (at < begin[back] + PER_WORD * WINDOW)
-    pair = np.unique(np.concatenate([window << BITS | flat[at], back[both] << BITS | flat[at[both]]]))
+    pair = np.concatenate([window << BITS | flat[at], back[both] << BITS | flat[at[both]]])
+    # sorted in place, then repeats left out: np.unique would hash first, which takes several times as long
+    pair.sort()
+    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
     return pair >> BITS, pair & (1 << BITS) - 1
 
 
 def margins(window: np.ndarray, term: np.ndarray, windows: int, bias: float, linear: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """bias + sum of w + half of ((sum of v)**2 - sum of v**2), of each window."""
-    z = bias + np.bincount(window, linear[term], windows)
-    for f in range(factors.shape[1]):
-        v = factors[term, f]
-        z += 0.5 * (np.bincount(window, v, windows) ** 2 - np.bincount(window, v * v, windows))
+    # what does not depend on the other terms is one sum; a row of factors is fetched once
+    v = np.ascontiguousarray(factors[term].T, np.float64)
+    z = bias + np.bincount(window, linear[term] - 0.5 * np.einsum("ij,ij->j", v, v), windows)
+    for x in v:
+        z += 0.5 * np.bincount(window, x, windows) ** 2
     return z
 
 
