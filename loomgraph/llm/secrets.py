@@ -120,19 +120,20 @@ def candidates(index: DataFrame, rules) -> DataFrame:
 
 
 def _spans(rule: Rule, text: Column) -> Column:
-    """array<struct<start, end, kept>> of all matches in order: their lengths, and those of the text between them, added up."""
+    """array<struct<start, end>> of the matches that count, in order: lengths of all matches and of the text between them, added up."""
     between, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    empty = F.lit(None).cast("array<struct<start:bigint,end:bigint,kept:boolean>>")
+    empty = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
     measured = (lambda m: F.length(F.regexp_extract(m, rule.part, 1))) if rule.part else F.length
     steps = F.zip_with(found, between, lambda m, b: F.struct(F.length(b).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("len"), (measured(m) >= rule.least).alias("kept")))
     steps = F.filter(steps, lambda s: s["len"].isNotNull())
     made = F.aggregate(
-        steps, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,kept:boolean>>").alias("out")),
+        steps, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")),
         lambda a, s: F.struct(
             (a["at"] + s["gap"] + s["len"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("end"), s["kept"].alias("kept")))).alias("out"),
+            # matches that are too short, of which a long text may have many thousands, never enter the array
+            F.when(s["kept"], F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("end"))))).otherwise(a["out"]).alias("out"),
         ),
-        lambda a: F.filter(a["out"], lambda x: x["kept"]),
+        lambda a: a["out"],
     )
     # most texts hold nothing that counts: one search tells, before any array is made
     return F.when(F.regexp_like(text, F.lit(_telling(rule))), made).otherwise(empty)
