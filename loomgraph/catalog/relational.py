@@ -89,13 +89,13 @@ def get_file(t):
     return exact.unionByName(f.filter("how = 'suffix'").join(exact.select("wanted"), "wanted", "left_anti")).select("wanted", "file_path", "how")
 
 
-@query("upsert_symbols", """WITH b AS (SELECT l_partkey AS sym_id, arg_max('v' || l_orderkey, (l_orderkey, l_linenumber)) AS signature FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey)
+@query("upsert_symbols", """WITH b AS (SELECT 2 * l_partkey AS sym_id, arg_max('v' || l_orderkey, (l_orderkey, l_linenumber)) AS signature FROM lineitem GROUP BY l_partkey)
     SELECT s.sym_id, coalesce(b.signature, s.signature) AS signature FROM {symbols} s LEFT JOIN b USING (sym_id) UNION ALL SELECT sym_id, signature FROM b WHERE sym_id NOT IN (SELECT sym_id FROM {symbols})""")
 def upsert_symbols(t):
-    """A batch with repeated keys, of which the last counts, over the present symbols."""
+    """A batch with repeated keys, of which the last counts, over the present symbols; some keys are new and some symbols stay as they are."""
     from ..storage import last_by, upsert
 
-    batch = t.raw("lineitem").filter("l_quantity > 45").selectExpr("l_partkey AS sym_id", "concat('v', l_orderkey) AS signature", "l_orderkey", "l_linenumber")
+    batch = t.raw("lineitem").selectExpr("2 * l_partkey AS sym_id", "concat('v', l_orderkey) AS signature", "l_orderkey", "l_linenumber")
     new = last_by(batch, ["sym_id"], F.col("l_orderkey"), F.col("l_linenumber")).select("sym_id", "signature")
     return upsert(t.symbols.select("sym_id", "signature"), new, ["sym_id"])
 

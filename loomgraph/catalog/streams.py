@@ -42,13 +42,13 @@ def late_drop(t):
     return _run(t, ing.level_counts(logs)).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "level", "n")
 
 
-@query("debounce_sessions", """WITH e AS (SELECT user_id % 5 AS repo_id, ts FROM events WHERE event_type = 'click'),
+@query("debounce_sessions", """WITH e AS (SELECT user_id % 5 AS repo_id, ts FROM events),
     m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY repo_id ORDER BY ts)),
     i AS (SELECT *, sum(new) OVER (PARTITION BY repo_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
     SELECT repo_id, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts) + INTERVAL 30 MINUTES) AS BIGINT) AS fires_us, count(*) AS n FROM i GROUP BY repo_id, s""")
 def debounce_sessions(t):
-    clicks = t.raw("events").filter("event_type = 'click'").select((F.col("user_id") % 5).alias("repo_id"), F.col("ts").cast("timestamp").alias("ts"))
-    d = tr.debounce(clicks, "repo_id")
+    changes = t.raw("events").select((F.col("user_id") % 5).alias("repo_id"), F.col("ts").cast("timestamp").alias("ts"))
+    d = tr.debounce(changes, "repo_id")
     return d.select("repo_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("fires_at").alias("fires_us"), "n")
 
 
@@ -69,6 +69,6 @@ def backoff_schedule(t):
 @query("coalesce_triggers")
 def coalesce_triggers(t):
     """A run takes 20 minutes. Stateful over time; tested against a plain simulation."""
-    e = t.raw("events").filter("event_type = 'click'")
+    e = t.raw("events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     return tr.coalesce_triggers(e.select((F.col("user_id") % 5).alias("key"), us.alias("us"), F.col("event_id").alias("trigger_id"), F.lit(20 * 60 * 1_000_000).cast("bigint").alias("duration_us")))

@@ -58,30 +58,48 @@ def _runs(held: tuple | None, rows: list[tuple[int, int, int]]) -> tuple[list[tu
     return out, (busy, pending, long)
 
 
+def spells(triggers: DataFrame) -> DataFrame:
+    """triggers (key, us, duration_us and more) with spell: parts of a key with a pause of twice the longest duration between them.
+
+    After a trigger a key is busy for one run and one pending run at most, so that nothing reaches over such a pause. Triggers of
+    one time bucket of that width have no such pause between them: the pauses are found between the buckets' ends, which are
+    aggregated before they are shuffled, and only those pass a window by key.
+    """
+    longest = triggers.agg(F.max("duration_us")).first()[0] or 0
+    pause = max(2 * longest, 1)
+    t = triggers.withColumn("_b", F.expr(f"us div {pause}"))
+    w = Window.partitionBy("key").orderBy("_b")
+    ends = t.groupBy("key", "_b").agg(F.min("us").alias("_from"), F.max("us").alias("_to"))
+    cut = ends.withColumn("_cut", F.coalesce(F.col("_from") - F.lag("_to").over(w) >= pause, F.lit(True)).cast("bigint"))
+    named = cut.select(F.col("key").alias("_k"), F.col("_b").alias("_c"), F.sum("_cut").over(w).alias("spell"))
+    return t.join(named, F.col("key").eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c"))).drop("_b", "_k", "_c")
+
+
 def coalesce_triggers(triggers: DataFrame) -> DataFrame:
     """key, trigger_id, started_us of the runs that triggers (key, us, trigger_id, duration_us) lead to.
 
-    While a key's run is busy only its latest trigger is kept, and runs when that ends. Spark sorts each key's triggers; Python
-    folds over them batch by batch with three numbers of state, however many triggers a key has.
+    While a key's run is busy only its latest trigger is kept, and runs when that ends. A key's triggers are cut into busy spells
+    that cannot affect each other (see spells); Spark spreads and sorts those, and Python folds over each batch by batch with three
+    numbers of state, however many triggers it has. Only a spell without any pause stays in one task. Triggers without a key are left out.
     """
-    t = triggers.select("key", "us", "trigger_id", "duration_us")
+    t = spells(triggers.select("key", "us", "trigger_id", "duration_us"))
     n = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = t.repartition(n, "key").sortWithinPartitions("key", "us", "trigger_id")
+    ordered = t.repartition(n, "key", "spell").sortWithinPartitions("key", "spell", "us", "trigger_id")
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for f in frames:
             out = []
-            for k, part in f.groupby("key", sort=False):
+            for k, part in f.groupby(["key", "spell"], sort=False):
                 if k != key:
                     if state is not None and state[1] is not None:
-                        out.append((key, state[1], state[0]))
+                        out.append((key[0], state[1], state[0]))
                     key, state = k, None
                 runs, state = _runs(state, list(zip(part["us"], part["trigger_id"], part["duration_us"])))
-                out += [(k, i, us) for i, us in runs]
+                out += [(k[0], i, us) for i, us in runs]
             yield pd.DataFrame(out, columns=["key", "trigger_id", "started_us"])
         if state is not None and state[1] is not None:
-            yield pd.DataFrame([(key, state[1], state[0])], columns=["key", "trigger_id", "started_us"])
+            yield pd.DataFrame([(key[0], state[1], state[0])], columns=["key", "trigger_id", "started_us"])
 
     return ordered.mapInPandas(fold, COALESCED)
 

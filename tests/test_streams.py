@@ -38,6 +38,24 @@ def test_coalescing(spark):
     assert triggers.coalesce_triggers(df.limit(0)).count() == 0
 
 
+def test_spells(spark):
+    rng = random.Random(5)
+    rows, us = [], -500
+    for n in range(300):
+        us += rng.choice((0, 1, 5, 30, 79, 80, 81, 400))
+        rows.append((n % 2, us, n, rng.choice((1, 20, 40))))
+    df = spark.createDataFrame(rows, "key bigint, us bigint, trigger_id bigint, duration_us bigint")
+    at = {}
+    for r in triggers.spells(df).collect():
+        at.setdefault((r.key, r.spell), []).append(r.us)
+    assert sum(map(len, at.values())) == 300 and len(at) > 20
+    for key in (0, 1):
+        ends = sorted((min(x), max(x)) for (k, _), x in at.items() if k == key)
+        assert all(b[0] - a[1] >= 80 for a, b in zip(ends, ends[1:]))
+    got = sorted(map(tuple, triggers.coalesce_triggers(df).collect()))
+    assert got == sorted((k, i, us) for k in (0, 1) for i, us in simulated([(us, i, d) for kk, us, i, d in rows if kk == k]))
+
+
 def test_coalescing_stream(spark, tmp_path):
     schema = "key bigint, us bigint, trigger_id bigint, duration_us bigint"
     rows = [(0, 0, 1, 100), (0, 10, 2, 100), (0, 20, 3, 100), (1, 5, 4, 1), (0, 150, 5, 100)]
