@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from tempfile import mkdtemp
 
 import numpy as np
@@ -118,6 +119,23 @@ def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int
         at = end
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Spark keeps idle Python workers, and other stages need their memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving its memory back after a task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def stratified(rows: DataFrame, by: str, most: int, on: str = "doc_id", seed: int = 0, weight: str | None = None) -> DataFrame:
     """About `most` rows, shared out evenly among the values of `by` and chosen by a hash of `on`; never over twice as many.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, stratified, table, with_schema
+from .common import bucket, stratified, table, tidy, with_schema
 from .wordhash import U, mix
 
 #: Hashed features, n-gram lengths in characters, labelled rows that fitting may use, centroids of a language.
@@ -99,7 +99,7 @@ def _k_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS) -> Model:
     """labelled: doc_id, text, lang. Languages without a text that has letters are not learned."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}"))).select("doc_id", "text", "lang")
-    sample = stratified(rows, "lang", max_rows).mapInArrow(_sampled, "lang string, counts binary").collect()
+    sample = stratified(rows, "lang", max_rows).mapInArrow(tidy(_sampled), "lang string, counts binary").collect()
     if not sample:
         return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.ones(DIMS, np.float32), np.zeros(0))
     sample.sort()
@@ -165,7 +165,7 @@ def predict(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred",
                     [*columns, *names],
                 )
 
-    return docs.mapInArrow(run, with_schema(docs, "`{}` string, `{}` double, `{}` double, `{}` boolean".format(*names), *names))
+    return docs.mapInArrow(tidy(run), with_schema(docs, "`{}` string, `{}` double, `{}` double, `{}` boolean".format(*names), *names))
 
 
 def learning(folds: int = 5, out: int = 0) -> Column:

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, dropped, possible, table, text_chunks, without, written
+from .common import CHUNK_BYTES, dropped, possible, table, text_chunks, tidy, without, written
 from .components import components, roots
 from .wordhash import U, Words, mix, shingle_sets
 
@@ -138,7 +138,7 @@ def _sketches(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel())))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(n), *[pa.array(d.view(np.int64)) for d in digests], *lists], ["doc_id", "n", "s1", "s2", "keys", "bits"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, bits array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, bits array<bigint>")
 
 
 def _promising(pairs: DataFrame, bits: DataFrame, values: int, percent: int) -> DataFrame:
@@ -157,7 +157,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                 raw = memoryview(data)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([pack(raw[x:y]) for x, y in zip(off.tolist(), off[1:].tolist())], pa.binary())], ["doc_id", "z"])
 
-    return docs.mapInArrow(run, "doc_id bigint, z binary")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, z binary")
 
 
 def _similar(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     texts = _packed(possible(named, ids))
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb"))
     j = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "za", "zb")
-    return j.mapInArrow(lambda batches: _similar(batches, k, percent), "a bigint, b bigint").distinct()
+    return j.mapInArrow(tidy(lambda batches: _similar(batches, k, percent)), "a bigint, b bigint").distinct()
 
 
 def _alike_in_size(a: str, b: str, percent: int):
@@ -333,7 +333,7 @@ def _across(part: DataFrame, bits: DataFrame, values: int, percent: int, forest:
                 found = np.concatenate(out)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[pa.array(found[:, f]) for f in range(4)]], ["key", "a", "b", "ca", "cb"])
 
-    return both.mapInArrow(run, "key bigint, a bigint, b bigint, ca bigint, cb bigint")
+    return both.mapInArrow(tidy(run), "key bigint, a bigint, b bigint, ca bigint, cb bigint")
 
 
 def _tying(a: list[int], b: list[int]) -> list[int]:

@@ -11,6 +11,8 @@ from typing import Any
 
 import regex
 
+from .common import give_back
+
 #: The usual pattern of byte-level BPE, and the same for texts of the characters in SAFE only, where `re` has all it takes.
 USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -83,3 +85,4 @@ class Kept:
             if not self.users:
                 self.held = None
                 gc.collect()
+                give_back()
