@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, fingerprint, langid, minhash, mixing, quality, secrets, tokenshards, toxicity
+from . import bpe, embedding_dedup, fingerprint, kneserney, langid, minhash, mixing, quality, secrets, tokenshards, toxicity
 
-MODULES = [embedding_dedup, toxicity, minhash, tokenshards, langid, secrets, bpe, fingerprint, quality, mixing]
+MODULES = [embedding_dedup, toxicity, minhash, tokenshards, langid, secrets, bpe, fingerprint, quality, mixing, kneserney]
 
 
 def queries() -> dict:
