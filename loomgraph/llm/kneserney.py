@@ -5,8 +5,8 @@ counts for itself. An n-gram of the model's order has the number of times it occ
 with the start, the number of times it occurs. Each order has three discounts from its counts of counts, what they take from a context goes to the
 order below, and the lowest order is interpolated with 1 / (known tokens + 1), which all unknown words share: the probabilities after a context add up to 1.
 
-Counting is one job with a shuffle for each order, highest first. Tasks count the n-grams of their texts and deal them out, by hash, into BUCKETS ranges for each
-shuffle partition, packed; a range is added up, written as one file of sorted 64-bit hashes with their counts, and passes on what the next order needs: of each
+Counting is one job with a shuffle for each order, highest first. Tasks count the n-grams of their texts and deal them out, by hash, into ranges, one for each
+partition, packed; a range is added up, written as one file of sorted 64-bit hashes with their counts, and passes on what the next order needs: of each
 distinct n-gram its last words (one more word before them) and of each context its total and its numbers of successors seen once, twice and more often.
 Contexts are added up by hash like everything else, so no word, however common, makes a large group. Per order four sums reach the driver.
 
@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from .common import bucket, dropped, scratch_path, table, text_chunks, tidy, with_schema, written
 from .wordhash import U, Words, mix
 
-#: Words of an n-gram, ranges of hashes for each shuffle partition, tokens that a task counts or looks up at once (more, if a single text has more).
-ORDER, BUCKETS, TOKENS = 2, 4, 2_000_000
+#: Words of an n-gram; ranges of hashes of the highest order for each shuffle partition, rounded up to a power of two, of which an order has a quarter of the order
+#: above; tokens that a task counts and looks up at once (more, if a single text has more).
+ORDER, BUCKETS, TOKENS, ASKED = 2, 2, 2_000_000, 1_000_000
 START, END = U(0x53544152545F5F31), U(0x454E445F5F5F5F31)
 #: What is added up for each n-gram: its count, how often it occurs, and, of its continuations as a context, their sum and how many have count 1, 2, 3 and more.
 SUMS = ("adjusted", "raw", "total", "once", "twice", "more")
@@ -152,6 +153,10 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
 # -- counting
 
 
+def bits_of(level: int, order: int, bits: int) -> int:
+    return max(1, bits - 2 * (order - level))
+
+
 def _dealt(level: int, bits: int, key: np.ndarray, words: list[np.ndarray], sums: dict[str, np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """Rows in ascending order of keys as packed records, one for each bucket."""
     ends = np.searchsorted(key >> U(64 - bits), np.arange(1 << bits, dtype=U), "right")
@@ -175,7 +180,7 @@ def _counted(some: list[Tokens], order: int, bits: int) -> Iterator[tuple[int, i
         if len(words[0]):
             key = keys(words)
             key, words, sums = added(key, words, {"raw": np.ones(len(key), U)})
-            yield from _dealt(k, bits, key, words, sums | ({"adjusted": sums["raw"]} if k < order else {}))
+            yield from _dealt(k, bits_of(k, order, bits), key, words, sums | ({"adjusted": sums["raw"]} if k < order else {}))
 
 
 def _batches(records: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +217,7 @@ def _count_task(order: int, bits: int):
     return tidy(lambda batches: _batches(records(batches)))
 
 
-def _passed_on(level: int, bits: int, words: list[np.ndarray], sums: dict[str, np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+def _passed_on(level: int, order: int, bits: int, words: list[np.ndarray], sums: dict[str, np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
     """What the order below gets of distinct n-grams: as endings they are one more word before, as contexts they have sums."""
     n = sums["adjusted"]
     seen = n > 0
@@ -221,11 +226,11 @@ def _passed_on(level: int, bits: int, words: list[np.ndarray], sums: dict[str, n
     context = {"adjusted": nothing, "raw": nothing, "total": n, "once": (n == 1).astype(U), "twice": (n == 2).astype(U), "more": (n > 2).astype(U)}
     lower = [np.concatenate([words[j + 1][seen], words[j][seen]]) for j in range(level - 1)]
     key = keys(lower)
-    yield from _dealt(level - 1, bits, *added(key, lower, {k: np.concatenate([ending[k][seen], context[k][seen]]) for k in SUMS}))
+    yield from _dealt(level - 1, bits_of(level - 1, order, bits), *added(key, lower, {k: np.concatenate([ending[k][seen], context[k][seen]]) for k in SUMS}))
 
 
 def _level_task(level: int, order: int, bits: int, directory: str):
-    """Records of the level, which come sorted by bucket, become a file for each bucket, a record about it (level below 0), and records of the level below."""
+    """The records of a range become a file, a record about it (level below 0), and records of the level below; records of other levels go on as they are."""
 
     def whole(b: int, held: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
         parts = [unpack(x) for x in held]
@@ -244,22 +249,18 @@ def _level_task(level: int, order: int, bits: int, directory: str):
             facts |= {"tokens": int(sums["raw"].sum()), "known": int((sums["raw"] > 0).sum())}
         yield -level, b, json.dumps(facts).encode()
         if level > 1:
-            yield from _passed_on(level, bits, words, sums)
+            yield from _passed_on(level, order, bits, words, sums)
 
     def records(batches):
-        at, held = None, []
+        of: dict[int, list[bytes]] = {}  # one range, or a few where there are fewer partitions
         for batch in batches:
             for lv, b, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if lv != level:
+                if lv == level:
+                    of.setdefault(b, []).append(data)
+                else:
                     yield lv, b, data
-                    continue
-                if b != at and held:
-                    yield from whole(at, held)
-                    held = []
-                at = b
-                held.append(data)
-        if held:
-            yield from whole(at, held)
+        while of:
+            yield from whole(*of.popitem())
 
     return tidy(lambda batches: _batches(records(batches)))
 
@@ -329,7 +330,7 @@ class Model(NamedTuple):
     """files: by level and bucket; discounts: by level, for counts 1, 2, and more; base: sum, once, twice, more of the first level; tokens, known: N and V."""
 
     order: int
-    bits: int
+    bits: int  # of the hash, that tell the range of an n-gram of the highest order
     directory: str
     files: dict[tuple[int, int], str]
     discounts: dict[int, tuple[float, float, float]]
@@ -359,7 +360,7 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     directory = scratch_path(spark, "kneserney")
     records = docs.select("text").mapInArrow(_count_task(order, bits), RECORDS)
     for level in range(order, 0, -1):
-        dealt = records.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        dealt = records.repartitionById(1 << bits_of(level, order, bits), "bucket")
         records = dealt.mapInArrow(_level_task(level, order, bits, directory), RECORDS)
     # of the whole job only records about files are left: one for each bucket and order
     about = written(records, "kneserney-files")
@@ -401,7 +402,7 @@ class Lookup:
         """Sums of the n-grams, 0 where there is none."""
         key, back = np.unique(keys(words), return_inverse=True)
         out = {s: np.zeros(len(key)) for s in names}
-        bs = key >> U(64 - self.model.bits)
+        bs = key >> U(64 - bits_of(level, self.model.order, self.model.bits))
         cuts = np.flatnonzero(np.r_[True, bs[1:] != bs[:-1]]) if len(key) else np.zeros(0, np.int64)
         for begin, end in zip(cuts.tolist(), [*cuts.tolist()[1:], len(key)]):
             if arrays := self._arrays(level, int(bs[begin])):
@@ -452,8 +453,8 @@ def _score_task(held, columns: list[str]):
             out = {"n_tokens": np.zeros(rows, np.int64), "n_known": np.zeros(rows, np.int64), "base_score": np.zeros(rows), "score": np.zeros(rows)}
             for first, t in _joined(batch.column(batch.schema.get_field_index("text"))):
                 n = int(t.text[-1]) + 1
-                for begin in range(0, len(t.word), TOKENS):
-                    end = min(begin + TOKENS, len(t.word))
+                for begin in range(0, len(t.word), ASKED):
+                    end = min(begin + ASKED, len(t.word))
                     p, raw = look.probabilities(t, begin, end)
                     token, text = t.place[begin:end] > 0, t.text[begin:end]
                     each = lambda v: np.bincount(text[token], v[token], n)  # noqa: E731, B023
@@ -468,7 +469,7 @@ def _score_task(held, columns: list[str]):
 
 
 def _joined(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
-    """blocks() of at least TOKENS tokens, where there are as many, as the more are looked up at once the fewer are distinct."""
+    """blocks() of at least ASKED tokens, where there are as many, as the more are looked up at once the fewer are distinct."""
     some, n, begin, texts = [], 0, 0, 0
     for first, t in blocks(column):
         if not some:
@@ -476,7 +477,7 @@ def _joined(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
         some.append(t._replace(text=t.text + texts))
         texts += int(t.text[-1]) + 1
         n += len(t.word)
-        if n >= TOKENS:
+        if n >= ASKED:
             yield begin, Tokens(*map(np.concatenate, zip(*some)))
             some, n = [], 0
     if some:
