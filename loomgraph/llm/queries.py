@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, fingerprint, kneserney, langid, minhash, mixing, quality, secrets, tokenshards, toxicity
+from . import bpe, embedding_dedup, fingerprint, kneserney, langid, merkle, minhash, mixing, quality, secrets, tokenshards, toxicity, whitening
 
-MODULES = [embedding_dedup, toxicity, minhash, tokenshards, langid, secrets, bpe, fingerprint, quality, mixing, kneserney]
+MODULES = [embedding_dedup, toxicity, minhash, tokenshards, langid, secrets, bpe, fingerprint, quality, mixing, merkle, whitening, kneserney]
 
 
 def queries() -> dict:
