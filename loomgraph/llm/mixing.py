@@ -5,8 +5,8 @@ size, so that equal steps along the prefix sum take equally from short and long
 integer between its own end of the prefix sum and its predecessor's, both moved by one random offset per source.
 
 Defined cases: null or empty text has size 0; a null source is a source of its own, last in order; a source without words has
-target 0 and takes nothing; repeated rows are documents of their own, and rows equal in doc_id, source and text are taken alike by mix(); a null doc_id is an id like any other; an empty table yields no rows; columns besides those used pass through
-mix(), whatever their names.
+target 0 and takes nothing; repeated rows are documents of their own; a null doc_id is an id like any other; an empty table yields no rows; columns besides those used pass
+through mix(), whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, table, written
+from .common import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Low bits of monotonically_increasing_id() that number the rows of a partition.
@@ -54,20 +54,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return t.select("source", "source_size", F.coalesce(F.least("cap", F.col("final.reached") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def sample_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, digest (of the text).
+def _sampled(docs: DataFrame, weights: Sequence[float], share: float, most: float, seed: int, carried: Sequence[Column] = ()) -> DataFrame:
+    """A row per document: doc_id, source, size, source_size, target, copies, digest (of the text), and what is carried along.
 
     The rank of a document within its source comes from its place in a range partitioning, which splits a source of any
     size evenly, and the counts of the partitions before; no window holds more than one row per partition and source.
     """
     spark = docs.sparkSession
-    # digest tells the rows of one doc_id apart
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("tie"), F.xxhash64("text").alias("digest"))
+    # digest orders the rows of one doc_id
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("tie"), F.xxhash64("text").alias("digest"), *carried)
+    more = sized.columns[5:]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ("source", "size", "tie", "doc_id", "digest")
     placed = written(
         sized.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-        .select("doc_id", "source", "size", "digest", F.monotonically_increasing_id().alias("place")),
+        .select("doc_id", "source", "size", "digest", *more, F.monotonically_increasing_id().alias("place")),
         "mixing",
     ).withColumn("part", F.shiftright("place", ROW_BITS))
     w = Window.partitionBy("source").orderBy("part")
@@ -83,19 +84,23 @@ def sample_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     )
     offset = F.pmod(F.xxhash64(F.lit(seed), "s"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor((F.col("rank") + 1) * F.col("rate") + offset) - F.floor(F.col("rank") * F.col("rate") + offset)
-    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "digest")
+    return ranked.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), "digest", *more)
+
+
+def sample_copies(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, digest (of the text). Texts are read and not moved."""
+    return _sampled(docs, weights, share, most, seed)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """The mixed corpus: docs' own columns, each row as often as its document is taken.
 
-    Rows equal in doc_id, source and text are the same document: each is taken as often as the least of them.
+    Rows go through the range partitioning as wholes, so that each has its own rank, however many are equal to it.
     """
-    copies = sample_copies(docs, weights, share, most, seed)
-    id_, of, text, n, k = (free_name(docs, c) for c in ("id", "of", "digest", "copies", "k"))
-    copies = copies.groupBy(F.col("doc_id").alias(id_), F.col("source").alias(of), F.col("digest").alias(text)).agg(F.min("copies").cast("int").alias(n)).filter(f"{n} > 0")
-    same = docs["doc_id"].eqNullSafe(copies[id_]) & docs["source"].eqNullSafe(copies[of]) & (F.xxhash64(docs["text"]) == copies[text])
-    return docs.join(copies, same).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[f"`{c}`"] for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    taken = _sampled(docs, weights, share, most, seed, [row]).filter("copies > 0")
+    again = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_systematic_mix(spark, sf_dir: str) -> DataFrame:
