@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import re._constants as C
 import re._parser as sre
+from collections.abc import Callable
 from functools import reduce
 from itertools import product
 from typing import NamedTuple
@@ -119,24 +120,27 @@ def candidates(index: DataFrame, rules) -> DataFrame:
     return lists.filter(F.size("lists") == F.col("size")).select("kind", F.explode(both).alias("doc_id")).distinct()
 
 
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """op over all values up to each, of an array<bigint> of no negative values; op has 0 as its neutral value.
+
+    By doubling: each pass joins what ends so many places before. Arrays are made once a pass and not once a value.
+    """
+    nothing = F.lit(0).cast("bigint")
+    moved = lambda a, n: F.concat(F.array_repeat(nothing, n), F.slice(a, 1, F.size(a) - n))
+    return F.aggregate(F.array(*[F.lit(1 << j) for j in range(31)]), values, lambda a, n: F.when(F.size(a) > n, F.zip_with(a, moved(a, n), op)).otherwise(a))
+
+
 def _spans(rule: Rule, text: Column) -> Column:
     """array<struct<start, end>> of the matches that count, in order: lengths of all matches and of the text between them, added up."""
     between, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     empty = F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
     measured = (lambda m: F.length(F.regexp_extract(m, rule.part, 1))) if rule.part else F.length
-    steps = F.zip_with(found, between, lambda m, b: F.struct(F.length(b).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("len"), (measured(m) >= rule.least).alias("kept")))
-    steps = F.filter(steps, lambda s: s["len"].isNotNull())
-    made = F.aggregate(
-        steps, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")),
-        lambda a, s: F.struct(
-            (a["at"] + s["gap"] + s["len"]).alias("at"),
-            # matches that are too short, of which a long text may have many thousands, never enter the array
-            F.when(s["kept"], F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("end"))))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    matches = F.transform(found, lambda m: F.struct(F.length(m).cast("bigint").alias("len"), (measured(m) >= rule.least).alias("kept")))
+    steps = F.zip_with(matches, F.transform(between, lambda b: F.length(b).cast("bigint")), lambda m, b: m["len"] + b)
+    ends = running(F.filter(steps, lambda n: n.isNotNull()), lambda x, y: x + y)
+    made = F.zip_with(matches, ends, lambda m, end: F.when(m["kept"], F.struct((end - m["len"]).alias("start"), end.alias("end"))))
     # most texts hold nothing that counts: one search tells, before any array is made
-    return F.when(F.regexp_like(text, F.lit(_telling(rule))), made).otherwise(empty)
+    return F.when(F.regexp_like(text, F.lit(_telling(rule))), F.array_compact(made)).otherwise(empty)
 
 
 def _telling(rule: Rule) -> str:
@@ -178,21 +182,28 @@ def with_spans(docs: DataFrame, rules=RULES, name: str = "spans") -> DataFrame:
     return asked.select(*[F.col(f"`{c}`") for c in docs.columns if c != name], spans.alias(name))
 
 
+#: Code points of a piece of text that is searched from its beginning.
+PIECE = 1024
+
+
+def _cut(pieces: Column, begin: Column, end: Column) -> Column:
+    """Code points from begin to end (exclusive) of a text in pieces of PIECE, without passing over those before."""
+    first, last = F.floor(begin / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    some = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
+    return F.when(end > begin, F.substring(some, (begin % PIECE + 1).cast("int"), (end - begin).cast("int"))).otherwise(F.lit(""))
+
+
 def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with each span, overlapping ones taken together, replaced in text by the mark."""
     at = free_name(docs, "spans")
-    merged = F.aggregate(
-        F.col(at), F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda a, s: F.when(
-            (F.size(a) > 0) & (s["start"] < F.element_at(a, -1)["end"]),
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    text = F.aggregate(
-        merged, F.struct(F.lit(1).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct((s["end"] + 1).alias("at"), F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int"), (s["start"] + 1 - a["at"]).cast("int")), F.lit(mark)).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"].cast("int"), F.length("text"))),
-    )
+    starts, ends = F.transform(at, lambda s: s["start"]), running(F.transform(at, lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    let = lambda value, f: F.transform(F.array(value), f)[0]
+    # text is kept from where all spans so far have ended to where the next one starts, unless that is before
+    before = lambda e: F.concat(F.array(F.lit(0).cast("bigint")), F.slice(e, 1, F.size(e) - 1))
+    gaps = lambda e: F.filter(F.zip_with(before(e), starts, lambda b, s: F.struct(b.alias("begin"), s.alias("end"))), lambda g: g["end"] >= g["begin"])
+    whole = lambda e: F.concat(gaps(e), F.array(F.struct(F.element_at(e, -1).alias("begin"), F.length("text").cast("bigint").alias("end"))))
+    kept = lambda pieces: let(ends, lambda e: F.array_join(F.transform(whole(e), lambda g: _cut(pieces, g["begin"], g["end"])), mark))
+    text = let(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), kept)
     found = with_spans(docs, rules, at)
     clean = F.when(F.size(at) > 0, text).otherwise(F.col("text")).alias("text")
     return found.select(*[clean if c == "text" else F.col(f"`{c}`") for c in docs.columns])

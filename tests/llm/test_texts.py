@@ -128,6 +128,62 @@ def test_secrets_odd_rows(spark):
     assert secrets.with_spans(frame(spark, []).limit(0)).count() == 0
 
 
+def plain_redact(text, spans, mark="[SECRET]"):
+    out, at = "", 0
+    for i, (a, b) in enumerate(sorted(spans)):
+        if i and a < at:
+            at = max(at, b)
+            continue
+        out, at = out + text[at:a] + mark, b
+    return out + text[at:]
+
+
+def test_redact_against_plain(spark):
+    """Overlapping spans, spans side by side, spans over the pieces that texts are cut from."""
+    glue = ["é🙂 ", "x " * 700, "password=", "\n\n", "AKIA" + "A1" * 9, "token: " + "0123456789abcdef" * 2, "f" * 30, "secret=ab", " "]
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices(glue, k=rng.choice([1, 3, 60])))) for i in range(60)] + EDGES + [(i + 90, t) for i, t in enumerate(TRICKY)]
+    spans = {(r.doc_id, r.text): r.spans for r in secrets.with_spans(frame(spark, rows)).collect()}
+    got = {(i, t) for i, t in rows}
+    want = {(i, None if t is None else plain_redact(t, [(s.start, s.end) for s in spans[i, t]])) for i, t in got}
+    assert {(r.doc_id, r.text) for r in secrets.redact(frame(spark, rows)).collect()} == want
+    assert any(len(s) > 20 for s in spans.values())
+
+
+def test_many_secrets_in_a_text(spark):
+    """Work in proportion to the text: twice as many secrets may take thrice the time, not four times; a warm run of each counts."""
+    import time
+
+    def took(n):
+        text = "".join(f"user{i} token: abcdef{i} \n" for i in range(n))
+        df = frame(spark, [(1, text)]).cache()
+        df.count()
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            (r,) = secrets.redact(df).collect()
+            best = min(best, time.time() - began)
+        assert r.text == "".join(f"user{i} [SECRET] \n" for i in range(n))
+        return best
+
+    took(100)
+    few, many = took(10_000), took(20_000)
+    assert many < 3 * few + 1 and many < 12
+
+
+def test_mix_takes_repeated_rows(spark):
+    """Every row has its own rank, also among rows equal in all they hold."""
+    rows = [(i if i % 9 else None, f"w{i} " * (i % 7), s) for s in ("a", "b", None) for i in range(300) for _ in range(2)] + [(7, "same text", "b")] * 500
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    copies = mixing.sample_copies(df).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.first("target").alias("target")).collect()
+    size = mixing.words(F.col("text"))
+    mixed = {r.source: r.n for r in mixing.mix(df).groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    assert mixed == {r.source: r.n for r in copies} and all(abs(r.n - r.target) <= 14 for r in copies)
+    assert {tuple(r) for r in mixing.mix(df).collect()} <= set(rows)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]+") is None and secrets.trigram_query("AKIA[A-Z]+") == [frozenset({"aki", "kia"})]
 
