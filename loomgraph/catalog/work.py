@@ -133,14 +133,17 @@ def merge_job_stats(t):
     return jobs.merge_stats(reports).select("job_id", F.explode("stats").alias("stat", "value"))
 
 
-@query("double_submits", """WITH j AS (SELECT event_id AS job_id, user_id AS repo_id, ts, CASE WHEN event_type IN ('error', 'purchase') THEN 'done' ELSE 'running' END AS status FROM events),
-    p AS (SELECT *, lag(CASE WHEN status = 'running' THEN ts END) OVER (PARTITION BY repo_id ORDER BY ts, job_id) AS before FROM j)
-    SELECT job_id, repo_id FROM p WHERE before IS NOT NULL AND ts < before + INTERVAL 10 MINUTES""")
+@query("double_submits", """WITH RECURSIVE j AS (SELECT event_id AS job_id, user_id % 40 AS repo_id, ts, event_type NOT IN ('error', 'purchase') AS runs,
+        row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT job_id, repo_id, n, false AS refused, CASE WHEN runs THEN ts + INTERVAL 10 MINUTES END AS busy FROM j WHERE n = 1
+        UNION ALL SELECT j.job_id, j.repo_id, j.n, coalesce(j.ts < r.busy, false), CASE WHEN j.runs AND NOT coalesce(j.ts < r.busy, false) THEN j.ts + INTERVAL 10 MINUTES ELSE r.busy END
+        FROM r JOIN j ON j.repo_id = r.repo_id AND j.n = r.n + 1)
+    SELECT job_id, repo_id FROM r WHERE refused""")
 def double_submits(t):
-    """Submissions that come while the job submitted before them for the same repository may still run."""
+    """Submissions that come while an accepted job of the same repository runs."""
     status = F.when(F.col("event_type").isin("error", "purchase"), "done").otherwise("running")
-    j = t.raw("events").select(F.col("event_id").alias("job_id"), F.col("user_id").alias("repo_id"), "ts", status.alias("status"))
-    return jobs.refused(j).select("job_id", "repo_id")
+    j = t.raw("events").select(F.col("event_id").alias("job_id"), (F.col("user_id") % 40).alias("repo_id"), "ts", status.alias("status"))
+    return jobs.refused(j)
 
 
 @query("webhook_signatures", "SELECT doc_id, 'sha256=' || sha256(unhex(hex(unhex('{outer}')) || sha256(unhex('{inner}') || encode(file_path)))) AS signature FROM {{files}}".format(**hashes.pads(b"key")))

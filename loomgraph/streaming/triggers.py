@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.spells import spells
+
 
 def debounce(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
     """key, first_ts, fires_at, n: one row for each run of events with no quiet period of `gap` in it.
@@ -58,23 +60,6 @@ def _runs(held: tuple | None, rows: list[tuple[int, int, int]]) -> tuple[list[tu
     return out, (busy, pending, long)
 
 
-def spells(triggers: DataFrame) -> DataFrame:
-    """triggers (key, us, duration_us and more) with spell: parts of a key with a pause of twice the longest duration between them.
-
-    After a trigger a key is busy for one run and one pending run at most, so that nothing reaches over such a pause. Triggers of
-    one time bucket of that width have no such pause between them: the pauses are found between the buckets' ends, which are
-    aggregated before they are shuffled, and only those pass a window by key.
-    """
-    longest = triggers.agg(F.max("duration_us")).first()[0] or 0
-    pause = max(2 * longest, 1)
-    t = triggers.withColumn("_b", F.expr(f"us div {pause}"))
-    w = Window.partitionBy("key").orderBy("_b")
-    ends = t.groupBy("key", "_b").agg(F.min("us").alias("_from"), F.max("us").alias("_to"))
-    cut = ends.withColumn("_cut", F.coalesce(F.col("_from") - F.lag("_to").over(w) >= pause, F.lit(True)).cast("bigint"))
-    named = cut.select(F.col("key").alias("_k"), F.col("_b").alias("_c"), F.sum("_cut").over(w).alias("spell"))
-    return t.join(named, F.col("key").eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_c"))).drop("_b", "_k", "_c")
-
-
 def coalesce_triggers(triggers: DataFrame) -> DataFrame:
     """key, trigger_id, started_us of the runs that triggers (key, us, trigger_id, duration_us) lead to.
 
@@ -82,7 +67,9 @@ def coalesce_triggers(triggers: DataFrame) -> DataFrame:
     that cannot affect each other (see spells); Spark spreads and sorts those, and Python folds over each batch by batch with three
     numbers of state, however many triggers it has. Only a spell without any pause stays in one task. Triggers without a key are left out.
     """
-    t = spells(triggers.select("key", "us", "trigger_id", "duration_us"))
+    # after a trigger a key is busy for one run and one pending run at most
+    longest = triggers.agg(F.max("duration_us")).first()[0] or 0
+    t = spells(triggers.filter("key is not null").select("key", "us", "trigger_id", "duration_us"), 2 * longest)
     n = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = t.repartition(n, "key", "spell").sortWithinPartitions("key", "spell", "us", "trigger_id")
 

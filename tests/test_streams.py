@@ -46,7 +46,7 @@ def test_spells(spark):
         rows.append((n % 2, us, n, rng.choice((1, 20, 40))))
     df = spark.createDataFrame(rows, "key bigint, us bigint, trigger_id bigint, duration_us bigint")
     at = {}
-    for r in triggers.spells(df).collect():
+    for r in triggers.spells(df, 80).collect():
         at.setdefault((r.key, r.spell), []).append(r.us)
     assert sum(map(len, at.values())) == 300 and len(at) > 20
     for key in (0, 1):
