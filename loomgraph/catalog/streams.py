@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..sources import log_source
 from ..storage import shared_dir
 from ..streaming import ingest as ing
 from ..streaming import triggers as tr
@@ -34,6 +35,19 @@ def stream_ingest(t):
     return _run(t, ing.ingest(logs, "warn")).select("id", "level")
 
 
+@query("platform_drain", "SELECT CAST(event_id AS VARCHAR) AS id, CASE event_type WHEN 'error' THEN 'error' ELSE 'warn' END AS level, 'dep_' || strftime(ts, '%Y%m%d') AS deployment_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS ms FROM events WHERE event_type IN ('error', 'signup')")
+def platform_drain(t):
+    """The events as the logs that a platform has left in a store, a deployment a day: the stream reads them deployment by deployment, and what is stored is of level warn and above."""
+    at = f"{shared_dir(t.spark)}/loomgraph/export-{uuid.uuid4().hex}"
+    word = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "signup", "warning").otherwise("log")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = t.raw("events").select(F.concat(F.lit("dep_"), F.date_format("ts", "yyyyMMdd")).alias("deployment"), F.col("event_id").alias("id"), ms.alias("timestamp"), word.alias("type"), F.col("event_type").alias("message"))
+    e.repartition("deployment", F.pmod("id", F.lit(8))).write.partitionBy("deployment").json(f"{at}/logs")
+    e.groupBy(F.col("deployment").alias("id")).agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).write.json(f"{at}/deployments")
+    got = _run(t, ing.ingest(log_source.logs(t.spark, [{"name": "store", "platform": "export", "url": at}], streaming=True), "warn"))
+    return got.select("id", "level", "deployment_id", F.unix_millis("ts").alias("ms"))
+
+
 @query("late_drop", """WITH e AS (SELECT ts::DATE AS day, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS level FROM events)
     SELECT strftime(day, '%Y-%m-%d') AS day, level, count(*) AS n FROM e WHERE day < (SELECT (max(ts) - INTERVAL 30 MINUTES)::DATE FROM events) GROUP BY ALL""")
 def late_drop(t):
