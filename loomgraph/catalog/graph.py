@@ -8,9 +8,11 @@ from ..plans import graph as g
 from ..plans import lookup
 from .registry import query
 
-_START = "start AS (SELECT src AS id FROM {calls} GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
+_START = "start AS (SELECT src AS id FROM {thin_calls} GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
 _ISTART = "start AS (SELECT src AS id FROM {imports} GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
 
+_PSTART = _ISTART.replace("{imports}", "{thin_imports}")
+
 
 def _walk(edges: str, start: str, depth: int, a: str = "src", b: str = "dst") -> str:
     return f"""WITH RECURSIVE {start}, e AS (SELECT {a} AS a, {b} AS b FROM {{{edges}}}),
@@ -26,44 +28,44 @@ def _text(found):
 _PATH = "SELECT depth, array_to_string(nodes, '>') AS path, list_contains(nodes[1:len(nodes)-1], last) AS back_edge FROM p"
 
 
-@query("call_paths_down", f"{_walk('calls', _START, 6)} {_PATH}")
+@query("call_paths_down", f"{_walk('thin_calls', _START, 6)} {_PATH}")
 def call_paths_down(t):
-    return _text(g.paths(t.calls, g.busiest(t.calls), 6))
+    return _text(g.paths(t.thin_calls, g.busiest(t.thin_calls), 6))
 
 
-@query("call_paths_up", f"{_walk('calls', _START, 5, 'dst', 'src')} {_PATH}")
+@query("call_paths_up", f"{_walk('thin_calls', _START, 5, 'dst', 'src')} {_PATH}")
 def call_paths_up(t):
-    return _text(g.paths(t.calls, g.busiest(t.calls), 5, up=True))
+    return _text(g.paths(t.thin_calls, g.busiest(t.thin_calls), 5, up=True))
 
 
-@query("import_paths", f"{_walk('imports', _ISTART, 3)} SELECT * FROM ({_PATH}) ORDER BY depth, path LIMIT 50")
+@query("import_paths", f"{_walk('thin_imports', _PSTART, 3)} SELECT * FROM ({_PATH}) ORDER BY depth, path LIMIT 50")
 def import_paths(t):
-    return _text(g.paths(t.imports, g.busiest(t.imports), 3)).orderBy("depth", "path").limit(50)
+    return _text(g.paths(t.thin_imports, g.busiest(t.thin_imports), 3)).orderBy("depth", "path").limit(50)
 
 
-@query("call_paths", f"""{_walk('calls', _START, 3)}, n AS (SELECT depth, nodes, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS i FROM p)
+@query("call_paths", f"""{_walk('thin_calls', _START, 3)}, n AS (SELECT depth, nodes, unnest(nodes) AS id, generate_subscripts(nodes, 1) AS i FROM p)
     SELECT depth, string_agg(f.name || '@' || f.file, ' > ' ORDER BY i) AS path FROM n JOIN {{functions}} f USING (id) GROUP BY depth, nodes""")
 def call_paths(t):
     """Paths as lists of named nodes: the names are joined once to the exploded nodes and gathered in order."""
-    found = g.paths(t.calls, g.busiest(t.calls), 3).withColumn("p", F.monotonically_increasing_id())
+    found = g.paths(t.thin_calls, g.busiest(t.thin_calls), 3).withColumn("p", F.monotonically_increasing_id())
     steps = found.select("p", "depth", F.posexplode("nodes").alias("i", "id"))
     named = steps.join(t.functions, "id").groupBy("p", "depth").agg(F.array_sort(F.collect_list(F.struct("i", F.concat("name", F.lit("@"), "file").alias("n")))).alias("s"))
     return named.select("depth", F.array_join(F.transform("s", lambda x: x["n"]), " > ").alias("path"))
 
 
-@query("call_tree_edges", f"""{_walk('calls', _START, 6)} SELECT nodes[-2] AS src, nodes[-1] AS dst, CAST(min(depth) AS INTEGER) AS depth FROM p GROUP BY ALL""")
+@query("call_tree_edges", f"""{_walk('thin_calls', _START, 6)} SELECT nodes[-2] AS src, nodes[-1] AS dst, CAST(min(depth) AS INTEGER) AS depth FROM p GROUP BY ALL""")
 def call_tree_edges(t):
-    return g.tree(t.calls, g.busiest(t.calls), 6)
+    return g.tree(t.thin_calls, g.busiest(t.thin_calls), 6)
 
 
-@query("call_tree_stats", f"""{_walk('calls', _START, 6)}, tree AS (SELECT nodes[-2] AS src, nodes[-1] AS dst, min(depth) AS depth FROM p GROUP BY ALL),
+@query("call_tree_stats", f"""{_walk('thin_calls', _START, 6)}, tree AS (SELECT nodes[-2] AS src, nodes[-1] AS dst, min(depth) AS depth FROM p GROUP BY ALL),
     nodes AS (SELECT id FROM start UNION SELECT dst FROM tree)
     SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM tree)) AS n_leaves, count(*) AS n_edges,
     count(*) FILTER (WHERE a.file <> b.file) AS n_cross_file, CAST(max(depth) AS INTEGER) AS max_depth
     FROM tree JOIN {{functions}} a ON a.id = src JOIN {{functions}} b ON b.id = dst""")
 def call_tree_stats(t):
-    start = g.busiest(t.calls)
-    return g.tree_stats(g.tree(t.calls, start, 6), start, t.functions)
+    start = g.busiest(t.thin_calls)
+    return g.tree_stats(g.tree(t.thin_calls, start, 6), start, t.functions)
 
 
 def _reach(a: str, b: str, name: str) -> str:

@@ -23,9 +23,14 @@ ENTITY_SQL = {
         p_partkey % nf AS file_id, 'src/f' || (p_partkey % nf) || '.ts' AS file_path, p_size AS start_line,
         CAST(p_size + (p_partkey // 3) % 40 AS INTEGER) AS end_line, p_brand || ' ' || p_type AS signature, (p_partkey % nf) % 5 AS repo_id
         FROM part CROSS JOIN (SELECT count(*) // 10 AS nf FROM documents)""",
-    "imports": """SELECT DISTINCT l_suppkey AS src, l_partkey % ns AS dst FROM lineitem CROSS JOIN (SELECT count(*) AS ns FROM supplier)
-        WHERE l_linenumber = 7 AND l_returnflag = 'R' AND l_quantity >= 40 AND l_suppkey <> l_partkey % ns""",
+    "imports": """SELECT DISTINCT l_suppkey AS src, l_partkey % ns AS dst FROM lineitem CROSS JOIN (SELECT count(*) AS ns FROM supplier) WHERE l_suppkey <> l_partkey % ns""",
     "calls": """SELECT DISTINCT o_custkey AS src, l_partkey % nc AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+        CROSS JOIN (SELECT count(*) AS nc FROM customer) WHERE o_custkey <> l_partkey % nc""",
+    "call_sites": """SELECT o_custkey AS src, CASE WHEN l_partkey % 97 > 0 THEN l_partkey % nc END AS dst, CAST(l_quantity AS INTEGER) AS line FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+        CROSS JOIN (SELECT count(*) AS nc FROM customer) WHERE o_custkey <> l_partkey % nc""",
+    "thin_imports": """SELECT DISTINCT l_suppkey AS src, l_partkey % ns AS dst FROM lineitem CROSS JOIN (SELECT count(*) AS ns FROM supplier)
+        WHERE l_linenumber = 7 AND l_returnflag = 'R' AND l_quantity >= 40 AND l_suppkey <> l_partkey % ns""",
+    "thin_calls": """SELECT DISTINCT o_custkey AS src, l_partkey % nc AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey
         CROSS JOIN (SELECT count(*) AS nc FROM customer) WHERE l_linenumber = 1 AND o_orderstatus = 'P' AND o_custkey <> l_partkey % nc""",
     "functions": "SELECT c_custkey AS id, c_name AS name, c_nationkey AS file FROM customer",
     "versions": """SELECT o_custkey AS key, o_orderkey AS version, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS valid_from_ts,
@@ -87,19 +92,37 @@ class Tables:
             "CAST(p_size + (p_partkey div 3) % 40 AS INT) AS end_line", "concat(p_brand, ' ', p_type) AS signature", f"(p_partkey % {nf}) % 5 AS repo_id",
         )
 
+    def _imports(self, kept: str = "true") -> DataFrame:
+        ns = self._count("supplier")
+        return self.raw("lineitem").filter(f"{kept} AND l_suppkey <> l_partkey % {ns}").selectExpr("l_suppkey AS src", f"l_partkey % {ns} AS dst").distinct()
+
+    def _calls(self, kept: str = "true", *more: str) -> DataFrame:
+        nc = self._count("customer")
+        j = self.raw("orders").join(self.raw("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+        return j.filter(f"{kept} AND o_custkey <> l_partkey % {nc}").selectExpr("o_custkey AS src", f"l_partkey % {nc} AS dst", *more)
+
     @cached_property
     def imports(self) -> DataFrame:
-        ns = self._count("supplier")
-        kept = self.raw("lineitem").filter(f"l_linenumber = 7 AND l_returnflag = 'R' AND l_quantity >= 40 AND l_suppkey <> l_partkey % {ns}")
-        return kept.selectExpr("l_suppkey AS src", f"l_partkey % {ns} AS dst").distinct()
+        return self._imports()
 
     @cached_property
     def calls(self) -> DataFrame:
-        nc = self._count("customer")
-        o = self.raw("orders").filter("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
-        li = self.raw("lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_partkey")
-        j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).selectExpr("o_custkey AS src", f"l_partkey % {nc} AS dst")
-        return j.filter("src <> dst").distinct()
+        return self._calls().distinct()
+
+    @cached_property
+    def call_sites(self) -> DataFrame:
+        """Calls with their lines; some could not be resolved and have no dst."""
+        c = self._calls("true", "l_partkey", "CAST(l_quantity AS INT) AS line")
+        return c.select("src", F.when(F.col("l_partkey") % 97 > 0, F.col("dst")).alias("dst"), "line")
+
+    @cached_property
+    def thin_imports(self) -> DataFrame:
+        """For paths, whose number is exponential in a dense graph."""
+        return self._imports("l_linenumber = 7 AND l_returnflag = 'R' AND l_quantity >= 40")
+
+    @cached_property
+    def thin_calls(self) -> DataFrame:
+        return self._calls("l_linenumber = 1 AND o_orderstatus = 'P'").distinct()
 
     @cached_property
     def functions(self) -> DataFrame:

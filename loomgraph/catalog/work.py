@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes
 from ..operators import jobs, tracing
-from ..plans import flows, graph as g
+from ..plans import flows, graph as g, trees
 from ..plans.graph import reachable
-from ..storage import upsert
+from ..storage import upsert, written
 from .joins import _DERIVED, _MATCHED, _flows
 from .registry import query
 
@@ -41,22 +41,69 @@ def flows_from_place(t):
     return flows.match_findings(some, t.symbols).filter("match = 'complete'").select("finding_id", "query_id", "source_fn", "sink_fn")
 
 
-_WALK = """WITH RECURSIVE edges AS (SELECT DISTINCT src, dst, 'calls' AS kind FROM {calls} UNION ALL SELECT DISTINCT src, dst, 'imports' FROM {imports}),
-    start AS (SELECT src AS id FROM {calls} GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
-    r AS (SELECT id, 0 AS depth FROM start UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = id WHERE depth < 4)"""
+def _tree(edges: str, start: str, most: int, depth: int, end: str = "") -> str:
+    """A recursion of one row: what is seen, and the nodes of the last level in order. edges: src, dst, line, follow; start: id. Leaves `tree`, one row a node; end: which nodes are not expanded."""
+    node = "{'id': %s, 'parent': %s, 'depth': %s, 'place': %s, 'line': %s, 'open': %s, 'above': %s}"
+    return f"""WITH RECURSIVE raw AS ({edges}), e AS (SELECT src, dst, min(line) AS line, bool_or(follow) AS follow FROM raw WHERE dst IS NOT NULL GROUP BY src, dst), start AS ({start}),
+    r AS (SELECT 0 AS depth, [id] AS seen, [{node % ('id', 'CAST(NULL AS BIGINT)', '0', '1', 'CAST(NULL AS INTEGER)', 'true', '[]::BIGINT[]')}] AS level FROM start
+        UNION ALL SELECT depth + 1, list_concat(any_value(seen), list(dst ORDER BY n)), list({node % ('dst', 'f.src', 'depth + 1', 'CAST(total + n AS INTEGER)', 'f.line', f'NOT f.shut {end}', 'list_append(f.above, f.src)')} ORDER BY n)
+        FROM (SELECT depth, seen, dst, f, len(seen) AS total, row_number() OVER (ORDER BY f.place, f.line, dst) AS n
+            FROM (SELECT depth, seen, e.dst, min({{'shut': NOT e.follow, 'place': x.place, 'line': e.line, 'src': x.id, 'above': x.above}}) AS f
+                FROM (SELECT depth, seen, unnest(level) AS x FROM r WHERE depth < {depth} AND len(seen) < {most}) JOIN e ON e.src = x.id AND x.open
+                WHERE NOT list_contains(seen, e.dst) GROUP BY depth, seen, e.dst))
+        WHERE n <= {most} - total GROUP BY depth),
+    tree AS (SELECT x.* FROM (SELECT unnest(level) AS x FROM r))"""
 
 
-@query("mixed_chain", f"""{_WALK}, d AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
-    SELECT e.src, e.dst, e.kind, CAST(d.depth + 1 AS INTEGER) AS depth FROM edges e JOIN d ON d.id = e.src WHERE d.depth < 4""")
+_BUSY = "SELECT src AS id FROM {call_sites} GROUP BY src ORDER BY count(*) DESC, src LIMIT 1"
+_TREE_ROWS = """SELECT t.id, t.parent, t.depth, t.place, t.line, coalesce(f.path <> p.path, false) AND NOT {out} AS crosses, {out} AS leaves_scope,
+    NOT EXISTS (SELECT 1 FROM e WHERE e.src = t.id AND t.open AND t.depth < {depth} AND e.dst IN (SELECT id FROM tree)) AS is_end
+    FROM tree t LEFT JOIN (SELECT id, 'src/m' || file AS path FROM {{functions}}) f ON f.id = t.id LEFT JOIN (SELECT id, 'src/m' || file AS path FROM {{functions}}) p ON p.id = t.parent"""
+
+
+def _paths_of(t):
+    return t.functions.select("id", F.concat(F.lit("src/m"), "file").alias("file"))
+
+
+@query("call_tree", f"{_tree('SELECT src, dst, line, true AS follow FROM {call_sites}', _BUSY, 500, 15)} {_TREE_ROWS.format(out='false', depth=15)}")
+def call_tree(t):
+    """What the busiest caller leads to, with the usual budget of nodes."""
+    found = trees.call_tree(t.call_sites, g.busiest(t.call_sites), _paths_of(t))
+    return found.select("id", "parent", "depth", "place", "line", "crosses", "leaves_scope", "is_end")
+
+
+_LEFT = "coalesce(NOT starts_with(f.path, 'src/m1'), false)"
+
+
+@query("call_tree_up", f"""{_tree('SELECT dst AS src, src AS dst, line, true AS follow FROM {call_sites} WHERE dst IS NOT NULL', 'SELECT id FROM {functions} WHERE file = 10 ORDER BY id LIMIT 1', 5000, 15,
+    "AND coalesce(starts_with((SELECT 'src/m' || any_value(file) FROM {functions} q WHERE q.id = dst), 'src/m1'), true)")} {_TREE_ROWS.format(out=_LEFT, depth=15)}""")
+def call_tree_up(t):
+    """Who leads to a function, within the files of one prefix; callers outside are shown and not followed."""
+    start = t.functions.filter("file = 10").orderBy("id").limit(1).select("id")
+    found = trees.call_tree(t.call_sites, start, _paths_of(t), up=True, most=5000, scope="src/m1")
+    return found.select("id", "parent", "depth", "place", "line", "crosses", "leaves_scope", "is_end")
+
+
+_FILE_IMPORTS = "SELECT DISTINCT src % 25 AS a, dst % 25 AS b FROM {imports} WHERE (src + 2 * dst) % 5 = 0"
+_KINDS = f"""SELECT c.src, c.dst, c.line, CASE WHEN c.dst IS NULL THEN 'dynamic' WHEN x.file IS NOT DISTINCT FROM y.file THEN 'calls' WHEN i.a IS NOT NULL THEN 'imports' ELSE 'dynamic' END AS kind
+    FROM {{call_sites}} c LEFT JOIN {{functions}} x ON x.id = c.src LEFT JOIN {{functions}} y ON y.id = c.dst LEFT JOIN ({_FILE_IMPORTS}) i ON i.a = x.file AND i.b = y.file"""
+
+
+@query("mixed_chain", f"""{_tree(f"SELECT src, dst, line, kind <> 'dynamic' AS follow FROM ({_KINDS})", _BUSY, 2000, 4)},
+    kinds AS (SELECT src, dst, kind, min(line) AS line FROM ({_KINDS}) GROUP BY ALL)
+    SELECT k.src, k.dst, k.kind, k.line, t.depth + 1 AS depth, coalesce(d.parent = k.src, false) AS first, coalesce(k.dst = k.src OR list_contains(t.above, k.dst), false) AS back_edge
+    FROM kinds k JOIN tree t ON t.id = k.src AND t.open AND t.depth < 4 LEFT JOIN tree d ON d.id = k.dst""")
 def mixed_chain(t):
-    """Edges of either kind within four steps of the busiest caller."""
-    kinds = t.calls.distinct().withColumn("kind", F.lit("calls")).unionByName(t.imports.distinct().withColumn("kind", F.lit("imports")))
-    at = reachable(kinds, g.busiest(t.calls), max_depth=3).select(F.col("id").alias("src"), "depth")
-    return kinds.join(at, "src").select("src", "dst", "kind", (F.col("depth") + 1).alias("depth"))
+    """Calls within files and, where files import each other, between them; what cannot be resolved is shown and not followed."""
+    files = t.functions.select("id", "file")
+    known = t.imports.filter("(src + 2 * dst) % 5 = 0").select((F.col("src") % 25).alias("src"), (F.col("dst") % 25).alias("dst"))
+    edges = written(trees.resolved_calls(t.call_sites, files, known), "chain")
+    tree = trees.call_tree(edges, g.busiest(t.call_sites), files, 4, most=2000)
+    return trees.chain_edges(tree, edges, 4)
 
 
-@query("call_paths_inside", """WITH RECURSIVE start AS (SELECT src AS id FROM {calls} GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
-    e AS (SELECT src, dst FROM {calls} WHERE dst IN (SELECT id FROM {functions} WHERE file % 2 = 0)),
+@query("call_paths_inside", """WITH RECURSIVE start AS (SELECT src AS id FROM {thin_calls} GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
+    e AS (SELECT src, dst FROM {thin_calls} WHERE dst IN (SELECT id FROM {functions} WHERE file % 2 = 0)),
     p AS (SELECT 1 AS depth, [src, dst] AS nodes, dst AS last FROM e WHERE src IN (SELECT id FROM start)
     UNION ALL SELECT depth + 1, list_append(nodes, e.dst), e.dst FROM p JOIN e ON e.src = last WHERE depth < 3
     AND NOT list_contains(list_transform(range(1, len(nodes)), lambda i: nodes[i]::VARCHAR || '>' || nodes[i + 1]::VARCHAR), e.src::VARCHAR || '>' || e.dst::VARCHAR))
@@ -64,16 +111,19 @@ def mixed_chain(t):
 def call_paths_inside(t):
     """Paths that enter no function of another package: files of odd numbers stand for those."""
     inside = t.functions.filter("file % 2 = 0").select("id")
-    found = g.paths(t.calls, g.busiest(t.calls), 3, node_filter=inside)
+    found = g.paths(t.thin_calls, g.busiest(t.thin_calls), 3, node_filter=inside)
     return found.select("depth", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("purge_unreachable", """WITH RECURSIVE r AS (SELECT id FROM {functions} WHERE file = 0 UNION SELECT dst FROM r JOIN {calls} ON src = id)
+@query("purge_unreachable", """WITH RECURSIVE e AS (SELECT c.src, c.dst FROM {calls} c JOIN {functions} a ON a.id = c.src JOIN {functions} b ON b.id = c.dst WHERE a.file % 5 = b.file % 5),
+    r AS (SELECT id FROM {functions} WHERE file = 0 UNION SELECT dst FROM r JOIN e ON src = id)
     SELECT id FROM {functions} WHERE id NOT IN (SELECT id FROM r)""")
 def purge_unreachable(t):
-    """Functions that no call from the entry file reaches go."""
+    """Functions that no call within a package reaches from the entry file go; five packages of files."""
+    of = lambda end: t.functions.select(F.col("id").alias(end), (F.col("file") % 5).alias(f"{end}_package"))
+    inside = t.calls.join(of("src"), "src").join(of("dst"), "dst").filter("src_package = dst_package").select("src", "dst")
     roots = t.functions.filter("file = 0").select("id")
-    return t.functions.select("id").join(reachable(t.calls, roots).select("id"), "id", "left_anti")
+    return t.functions.select("id").join(reachable(inside, roots).select("id"), "id", "left_anti")
 
 
 @query("purge_edges", "SELECT src, dst FROM {calls} WHERE src % 10 <> 3")

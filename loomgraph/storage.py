@@ -26,7 +26,18 @@ def written(df: DataFrame, what: str = "t") -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, and a lost executor loses nothing of it."""
     path = f"{shared_dir(df.sparkSession)}/loomgraph/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "scratch", None):
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def last_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
