@@ -80,9 +80,36 @@ def backoff_schedule(t):
     return tr.failure_runs(p, "source", "event_id", "failed").select("source", "event_id", F.col("failures").cast("int").alias("failures"), "wait_s")
 
 
-@query("coalesce_triggers")
-def coalesce_triggers(t):
-    """A run takes 20 minutes. Stateful over time; tested against a plain simulation."""
-    e = t.raw("events")
+_RUNS = """WITH RECURSIVE e AS (SELECT user_id % 5 AS key, CAST(epoch_us(ts) AS BIGINT) AS us, event_id AS id, 1200000000 AS d, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT key, n, us + d AS busy, CAST(NULL AS BIGINT) AS pending, CAST(NULL AS BIGINT) AS late, CAST(NULL AS BIGINT) AS late_us, id AS own, us AS own_us FROM e WHERE n = 1
+        UNION ALL SELECT key, n, CASE WHEN us >= free THEN us + d ELSE free END, CASE WHEN us < free THEN id END, CASE WHEN due THEN pending END, CASE WHEN due THEN busy END,
+        CASE WHEN us >= free THEN id END, CASE WHEN us >= free THEN us END
+        FROM (SELECT e.*, r.busy, r.pending, r.pending IS NOT NULL AND e.us >= r.busy AS due, CASE WHEN r.pending IS NOT NULL AND e.us >= r.busy THEN r.busy + e.d ELSE r.busy END AS free
+            FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)),
+    runs AS (SELECT key, own AS trigger_id, own_us AS started_us FROM r WHERE own IS NOT NULL UNION ALL SELECT key, late, late_us FROM r WHERE late IS NOT NULL
+        UNION ALL SELECT key, arg_max(pending, n), arg_max(busy, n) FROM (SELECT key, n, coalesce(pending, -1) AS pending, busy FROM r) GROUP BY key HAVING arg_max(pending, n) >= 0)"""
+
+
+def _triggers(e):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return tr.coalesce_triggers(e.select((F.col("user_id") % 5).alias("key"), us.alias("us"), F.col("event_id").alias("trigger_id"), F.lit(20 * 60 * 1_000_000).cast("bigint").alias("duration_us")))
+    return e.select((F.col("user_id") % 5).alias("key"), us.alias("us"), F.col("event_id").alias("trigger_id"), F.lit(20 * 60 * 1_000_000).cast("bigint").alias("duration_us"))
+
+
+@query("coalesce_triggers", f"{_RUNS} SELECT * FROM runs")
+def coalesce_triggers(t):
+    """A run takes 20 minutes."""
+    return tr.coalesce_triggers(_triggers(t.raw("events")))
+
+
+@query("coalesce_stream", f"{_RUNS} SELECT * FROM runs WHERE started_us <= (SELECT max(us) // 1000 * 1000 FROM e)")
+def coalesce_stream(t):
+    """The same as a stream, up to its watermark: state and timers for each key."""
+    return _run(t, tr.coalesce_stream(_triggers(_events(t))))
+
+
+@query("backoff_stream", """WITH p AS (SELECT user_id AS source, event_id AS "at", event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    f AS (SELECT source, "at", n - coalesce(max(CASE WHEN NOT failed THEN n END) OVER (PARTITION BY source ORDER BY n), 0) AS failures FROM p)
+    SELECT source, "at", CAST(failures AS INTEGER) AS failures, CAST(CASE WHEN failures = 0 THEN 0 ELSE least(15 * least(pow(2, failures), 32), 600) END AS INTEGER) AS wait_s FROM f""")
+def backoff_stream(t):
+    polls = _events(t).select(F.col("user_id").alias("source"), F.col("event_id").alias("at"), (F.col("event_type") == "error").alias("failed"))
+    return _run(t, tr.backoff_stream(polls))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.spells import spells
 
@@ -91,21 +92,82 @@ def coalesce_triggers(triggers: DataFrame) -> DataFrame:
     return ordered.mapInPandas(fold, COALESCED)
 
 
-def coalesce_stream(triggers: DataFrame) -> DataFrame:
-    """The streaming form: state of a key between batches, a timeout for the run that is pending when no trigger follows."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+class Queue(StatefulProcessor):
+    """One key's queue: its run, what is pending, and triggers that the watermark has not passed yet.
 
-    def step(key, frames, state):
-        held = tuple(None if x < 0 else x for x in state.get) if state.exists else None
-        if state.hasTimedOut:
-            busy, pending, long = held
-            out, held = ([(pending, busy)], (busy + long, None, None)) if pending is not None else ([], held)
-        else:
-            rows = sorted((int(u), int(i), int(d)) for f in frames for u, i, d in zip(f["us"], f["trigger_id"], f["duration_us"]))
-            out, held = _runs(held, rows)
-        state.update(tuple(-1 if x is None else x for x in held))
-        if held[1] is not None:
-            state.setTimeoutDuration(1000)
+    Triggers wait until no earlier one can come, so that the order of arrival within the lateness does not matter; a timer stands at the time of
+    the first that waits, or of the end of the run that keeps one pending.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "busy bigint, pending bigint, long bigint")
+        self.waiting = handle.getListState("waiting", "us bigint, trigger_id bigint, duration_us bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(u), int(i), int(d)) for f in rows for u, i, d in zip(f["us"], f["trigger_id"], f["duration_us"])]
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(new)[0])
+        yield pd.DataFrame({"key": [], "trigger_id": [], "started_us": []})
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [x for x in waiting if x[0] <= now], [x for x in waiting if x[0] > now]
+        held = tuple(self.run.get()) if self.run.exists() else None
+        out, (busy, pending, long) = _runs(held, due)
+        if pending is not None and busy <= now:
+            out, busy, pending, long = [*out, (pending, busy)], busy + long, None, None
+        if busy is not None:
+            self.run.update((busy, pending, long))
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        if pending is not None:
+            self._wake(busy)
         yield pd.DataFrame([(key[0], i, us) for i, us in out], columns=["key", "trigger_id", "started_us"])
 
-    return triggers.groupBy("key").applyInPandasWithState(step, COALESCED, "busy bigint, pending bigint, long bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+#: Where a session keeps the state of such streams.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def coalesce_stream(triggers: DataFrame, lateness: str = "0 seconds") -> DataFrame:
+    """The streaming form of coalesce_triggers: key, trigger_id, started_us of the runs that start before the watermark, in whatever order and batches triggers come."""
+    triggers.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    t = triggers.filter("key is not null").select("key", "us", "trigger_id", "duration_us").withColumn("at", F.timestamp_micros("us")).withWatermark("at", lateness)
+    return t.groupBy("key").transformWithStateInPandas(Queue(), COALESCED, "append", "eventTime")
+
+
+class Backoff(StatefulProcessor):
+    """One source's failures in a row."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.failures = handle.getValueState("failures", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n = self.failures.get()[0] if self.failures.exists() else 0
+        out = []
+        for at, failed in sorted((int(a), bool(x)) for f in rows for a, x in zip(f["at"], f["failed"])):
+            n = n + 1 if failed else 0
+            out.append((key[0], at, n))
+        self.failures.update((n,))
+        yield pd.DataFrame(out, columns=["source", "at", "failures"])
+
+    def close(self) -> None:
+        pass
+
+
+def backoff_stream(polls: DataFrame) -> DataFrame:
+    """source, at, failures, wait_s of polls (source, at, failed), which come in order: the streaming form of failure_runs."""
+    polls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    n = polls.select("source", "at", "failed").groupBy("source").transformWithStateInPandas(Backoff(), "source bigint, at bigint, failures int", "append", "none")
+    return n.withColumn("wait_s", backoff_s(F.col("failures")))

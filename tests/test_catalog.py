@@ -22,7 +22,7 @@ def test_query(spark, sf, con, name):
 
 
 def test_without_sql():
-    assert set(catalog.queries()) - set(SQL) == {"coalesce_triggers"}
+    assert set(catalog.queries()) == set(SQL)
 
 
 def test_entry(spark):

@@ -57,18 +57,32 @@ def test_spells(spark):
 
 
 def test_coalescing_stream(spark, tmp_path):
+    """Equal to the batch form up to the watermark, over batches, restarts and triggers out of order within the lateness."""
     schema = "key bigint, us bigint, trigger_id bigint, duration_us bigint"
-    rows = [(0, 0, 1, 100), (0, 10, 2, 100), (0, 20, 3, 100), (1, 5, 4, 1), (0, 150, 5, 100)]
-    for n, part in enumerate((rows[:2], rows[2:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
-    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
-    # a processing-time timeout keeps a stream going, so it is stopped here once the rows are there
-    q = triggers.coalesce_stream(stream).writeStream.format("memory").queryName("coalesced").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").start()
-    want, until = {(0, 1, 0), (0, 3, 100), (1, 4, 5)}, time.time() + 60
-    while not want <= (got := {tuple(r) for r in spark.table("coalesced").collect()}) and time.time() < until:
-        time.sleep(1)
-    q.stop()
-    assert want <= got and (0, 2, 100) not in got
+    rng = random.Random(9)
+    rows = [(rng.randrange(3), n * 100_000 + rng.randrange(90_000), n, rng.choice((50_000, 400_000, 900_000))) for n in range(240)]
+    mixed = sorted(rows, key=lambda r: r[1] + rng.randrange(1_900_000))  # at most about two seconds out of order
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = []
+    for n in range(6):
+        spark.createDataFrame(mixed[40 * n : 40 * n + 40], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        if n % 2:  # a restart every two batches
+            ingest.to_files(triggers.coalesce_stream(stream, "2 seconds"), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    end = (max(r[1] for r in rows) // 1000 - 2000) * 1000
+    batch = sorted(tuple(r) for r in triggers.coalesce_triggers(spark.createDataFrame(rows, schema)).collect())
+    assert got == [r for r in batch if r[2] <= end] and len(got) > 50
+
+
+def test_backoff_stream(spark, tmp_path):
+    stream = spark.readStream.schema("source bigint, at bigint, failed boolean").parquet(f"{tmp_path}/in/*")
+    rows = [(s, at, (at + s) % 7 > 1) for at in range(60) for s in (1, 2)]
+    for n in range(3):
+        spark.createDataFrame(rows[40 * n : 40 * n + 40], "source bigint, at bigint, failed boolean").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        ingest.to_files(triggers.backoff_stream(stream), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    got = sorted((r.source, r.at, r.failures, r.wait_s) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    polls = spark.createDataFrame(rows, "source bigint, at bigint, failed boolean")
+    assert got == sorted((r.source, r.at, r.failures, r.wait_s) for r in triggers.failure_runs(polls, "source", "at", "failed").collect())
 
 
 def test_backoff(spark):
