@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_chunks, with_schema, written
-from .pretokens import Kept, Recent, splitter
+from .common import table, text_chunks, tidy, with_schema, written
+from .pretokens import Recent, splitter
 
-#: Transitions, and pieces of one of two generations with their ids, that a worker keeps.
-MAX_TRANSITIONS, MAX_PIECES = 300_000, 120_000
+#: Transitions, and pieces of one of two generations with their ids, that a task keeps, some 200 MB of memory; transitions that a worker keeps between tasks.
+MAX_TRANSITIONS, MAX_PIECES, IDLE_TRANSITIONS = 300_000, 120_000, 30_000
 
 
 class Merges:
@@ -53,8 +53,8 @@ class Merges:
 class Transducer:
     """encode() reads a piece byte by byte and gathers the tokens of each transition, and at its end those still pending."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.merges = Merges(ranks)
+    def __init__(self, ranks: dict[bytes, int], most: int = MAX_TRANSITIONS):
+        self.merges, self.most = Merges(ranks), most
         self.bytes_of = {v: k for k, v in ranks.items()}
         # trie places are numbers; (place, byte) leads on, and a place that leads nowhere has no entry in `inner`
         self.trie: dict[int, int] = {}
@@ -134,7 +134,7 @@ class Transducer:
         return (self.number[key], out) if out else self.number[key]
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.moves) > MAX_TRANSITIONS:
+        if len(self.moves) > self.most:
             self._reset()
         out: list[int] = []
         state, moves = 0, self.moves
@@ -159,12 +159,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Encoder:
     """Encodes texts, each piece of the pattern by itself."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, transitions: int = MAX_TRANSITIONS):
         self.ranks = read_ranks(path)
         self.split = splitter(pattern)
-        self.fst = Transducer(self.ranks)
+        self.fst = Transducer(self.ranks, transitions)
         self.pieces = Recent(MAX_PIECES)
 
+    def rest(self) -> None:
+        """Gives up what has grown; the next task is soon as fast without it."""
+        if len(self.fst.moves) > IDLE_TRANSITIONS:
+            self.fst._reset()
+            self.pieces = Recent(MAX_PIECES)
+
     def encode(self, text: str) -> np.ndarray:
         known, pieces = self.pieces, self.split(text)
         row = list(map(known.get, pieces))
@@ -281,16 +287,17 @@ class Utf8:
         return out
 
 
-_encoders = Kept(Encoder)
+_encoder = lru_cache(1)(Encoder)
 
 
 @contextmanager
-def encoder(path: str, pattern: str) -> Iterator[Encoder]:
-    """The worker's encoder, which further tasks find warm."""
+def encoder(path: str, pattern: str, transitions: int = MAX_TRANSITIONS) -> Iterator[Encoder]:
+    """The worker's encoder, whose tables are for this task only."""
+    made = _encoder(path, pattern, transitions)
     try:
-        yield _encoders.take(path, pattern)
+        yield made
     finally:
-        _encoders.rest()
+        made.rest()
 
 
 @lru_cache(2)
@@ -298,21 +305,21 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str | None = None, name: str = "ids") -> DataFrame:
-    """docs with the ids of text, array<int>. ranks: a file of base64 tokens and ranks that every node has."""
+def encode(docs: DataFrame, ranks: str, pattern: str | None = None, name: str = "ids", transitions: int = MAX_TRANSITIONS) -> DataFrame:
+    """docs with the ids of text, array<int>. ranks: a file of base64 tokens and ranks that every node has. transitions: fewer take less memory and more time."""
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
     columns = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with encoder(ranks, pattern) as c:
+        with encoder(ranks, pattern, transitions) as c:
             for b in batches:
                 text = b.column(b.schema.get_field_index("text"))
                 for first, end, _, _ in text_chunks(text):
                     ids = [c.encode(t) for t in text.slice(first, end - first).fill_null("").to_pylist()]
                     yield _with(b.slice(first, end - first), columns, name, _lists(ids))
 
-    return docs.mapInArrow(run, with_schema(docs, f"`{name}` array<int>", name))
+    return docs.mapInArrow(tidy(run), with_schema(docs, f"`{name}` array<int>", name))
 
 
 def decode(encoded: DataFrame, ranks: str, name: str = "ids", to: str = "decoded") -> DataFrame:

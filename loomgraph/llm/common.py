@@ -136,6 +136,17 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+#: Bytes of the batches in which rows go to Python workers and back, unless a single row is longer.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes: a batch is held by the JVM and by the worker at the same time, and its usual bound is 64 MB."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(bound).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(bound, BATCH_BYTES)
+
+
 def stratified(rows: DataFrame, by: str, most: int, on: str = "doc_id", seed: int = 0, weight: str | None = None) -> DataFrame:
     """About `most` rows, shared out evenly among the values of `by` and chosen by a hash of `on`; never over twice as many.
 

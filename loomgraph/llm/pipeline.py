@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, minhash, mixing, secrets
-from .common import free_name
+from .common import free_name, small_batches
+
+#: Transitions of the tokenizer: its workers share an executor with all that the JVM has grown to in the stages before.
+TRANSITIONS = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rejected: null texts, texts without a letter, and those too far from all centroids.
     """
+    small_batches(spark)
     names = [free_name(docs, n) for n in ("lang_pred", "lang_score", "lang_cosine", "lang_rejected")]
     p = langid.predict(docs, langid.fit(docs.filter(F.col("lang").isNotNull())), names).filter(~F.col(names[3]))
     return p.select(*[F.coalesce("lang", names[0]).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
@@ -25,6 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (shingles of five words, similarity 0.8)."""
+    small_batches(spark)
     return minhash.keep_one(docs, k=5, percent=80)
 
 
@@ -42,7 +47,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids."""
+    small_batches(spark)
     import public_tokenizers
 
-    e = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    e = bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), transitions=TRANSITIONS)
     return e.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
