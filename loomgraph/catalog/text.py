@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import frames, text as fx
 from ..operators import search as s
+from ..operators.search_index import SearchIndex
+from ..storage import shared_dir
 from .registry import query
 
 _SPLIT = "list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')"
@@ -23,6 +27,24 @@ def search_code(t):
     return found.orderBy(F.desc("rank"), "file_path").limit(10).select("file_path", "language", "size_bytes", "hits", "rank")
 
 
+def _index(t, carry):
+    path = f"{shared_dir(t.spark)}/loomgraph/search-{uuid.uuid4().hex}"
+    return SearchIndex.build(t.files, "doc_id", "content", path, carry)
+
+
+@query("search_index", "SELECT doc_id AS key, file_path, language, hits, rank FROM " + _ranked("files", "content", "list_has_any(w, ['the']) AND list_has_any(w, ['thand', 'erion', 'inre']) AND NOT list_contains(w, 'zzz')", "'the', 'thand', 'erion', 'inre'"))
+def search_index(t):
+    """The search of search_code over a written index, all that match."""
+    return _index(t, ["file_path", "language"]).search("the thand or erion or inre -zzz")
+
+
+@query("search_files", "SELECT file_path, hits, rank FROM " + _ranked("files", "content", "contains(' ' || array_to_string(w, ' ') || ' ', ' of the ') AND list_has_any(w, ['on', 'thand']) AND NOT list_contains(w, 'license')", "'of', 'the', 'on', 'thand'") + " ORDER BY rank DESC, file_path LIMIT 20")
+def search_files(t):
+    """The table function in SQL."""
+    _index(t, ["file_path"]).register()
+    return t.spark.sql("SELECT file_path, hits, rank FROM search_files('\"of the\" on or thand -license') ORDER BY rank DESC, file_path LIMIT 20")
+
+
 @query("scoped_hits", "SELECT repo_id, file_path, hits FROM " + _ranked("files", "content", "list_has_any(w, ['copyright', 'license', 'secret'])", "'copyright', 'license', 'secret'") + " WHERE repo_id IN (SELECT repo_id FROM {repositories} WHERE name LIKE 'A%')")
 def scoped_hits(t):
     scope = t.repositories.filter("name LIKE 'A%'").select("repo_id")
