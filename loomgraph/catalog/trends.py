@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import conventions as cv
 from ..operators import metrics as m
+from ..operators import snapshots as sn
+from ..storage import written
 from .registry import AS_OF, query
 
 _WINDOWS = {"1d": 24, "7d": 168, "30d": 720}
@@ -100,6 +102,51 @@ def _names(t):
     return t.symbols.select("sym_id", F.col("file_path").alias("scope"), name.alias("n"))
 
 
+def _stored(t):
+    return written(sn.snapshots(t.logs), "snapshots")
+
+
+_SNAP = """count(*) AS invocations, count(*) FILTER (WHERE level = 'warn') AS warnings, count(*) FILTER (WHERE level = 'error') AS errors, round(count(*) FILTER (WHERE level = 'error') / count(*), 6) AS error_rate,
+    quantile_disc(duration, 0.5) AS p50, quantile_disc(duration, 0.95) AS p95, quantile_disc(duration, 0.99) AS p99 FROM {logs}"""
+
+
+@query("function_snapshots", f"SELECT function_name, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, {_SNAP} GROUP BY ALL")
+def function_snapshots(t):
+    """Hours are stored, merged to days and those to weeks."""
+    weeks = sn.with_rates(sn.merged(sn.merged(_stored(t), "day"), "week"))
+    return weeks.select("function_name", F.date_format("at", "yyyy-MM-dd").alias("week"), *sn.COUNTS, "error_rate", "p50", "p95", "p99")
+
+
+@query("function_trend", f"""WITH d AS (SELECT function_name, date_trunc('day', ts) AS at_, {_SNAP} WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL)
+    SELECT function_name, strftime(at_, '%Y-%m-%d') AS day, p95 AS value, round(p95 - lag(p95) OVER (PARTITION BY function_name ORDER BY at_), 6) AS change FROM d""")
+def function_trend(t):
+    x = sn.trend(_stored(t), "p95", "day", F.lit("2024-01-10").cast("timestamp_ntz"))
+    return x.select("function_name", F.date_format("at", "yyyy-MM-dd").alias("day"), "value", F.round("change", 6).alias("change"))
+
+
+_TIER = """tiers AS (SELECT function_name, CASE WHEN invocations = 0 THEN 'dead' WHEN error_rate >= 0.25 THEN 'degraded' WHEN share < 0.05 AND error_rate < 0.01 THEN 'critical' WHEN share < 0.2 THEN 'hot' WHEN share < 0.6 THEN 'warm' ELSE 'cold' END AS tier
+    FROM (SELECT function_name, invocations, error_rate, (SELECT count(*) FROM m b WHERE b."window" = '30d' AND b.invocations > a.invocations) / (SELECT count(*) FROM m b WHERE b."window" = '30d') AS share FROM m a WHERE "window" = '30d'))"""
+
+
+@query("degraded_functions", f"""WITH {_M}, {_R}, g AS (SELECT function_name, string_agg(DISTINCT x.kind, ',' ORDER BY x.kind) AS kinds, CASE WHEN bool_or(x.severity = 'critical') THEN 'critical' ELSE 'warning' END AS worst FROM r GROUP BY 1)
+    SELECT g.*, m.invocations, m.error_rate FROM g JOIN m USING (function_name) WHERE m."window" = '7d' AND worst = 'critical'""")
+def degraded_functions(t):
+    x = written(_metrics(t), "metrics")
+    return sn.degraded(x.filter("window = '7d'"), m.regressions(x, "1d", "7d"), "critical")
+
+
+@query("change_risk", f"""WITH {_M}, {_R}, {_TIER}, all_time AS (SELECT function_name, {_SNAP} GROUP BY 1), k AS (SELECT function_name, count(*) AS n, bool_or(x.severity = 'critical') AS critical FROM r GROUP BY 1),
+    targets AS (SELECT DISTINCT function_name FROM {{logs}} UNION ALL SELECT 'fn_unknown')
+    SELECT function_name, coalesce(invocations, 0) AS invocations, error_rate, p95, tier, coalesce(n, 0) AS regressions,
+    CASE WHEN invocations IS NULL THEN 'none' WHEN coalesce(tier IN ('critical', 'hot', 'degraded'), false) OR coalesce(critical, false) THEN 'high' WHEN coalesce(tier = 'warm', false) OR coalesce(n, 0) > 0 THEN 'medium' ELSE 'low' END AS risk
+    FROM targets LEFT JOIN all_time USING (function_name) LEFT JOIN tiers USING (function_name) LEFT JOIN k USING (function_name)""")
+def change_risk(t):
+    """All functions, and one that was never called, as if they were to be changed."""
+    x = written(_metrics(t), "metrics")
+    targets = t.logs.select("function_name").unionByName(t.spark.createDataFrame([("fn_unknown",)], "function_name string"))
+    return sn.change_risk(targets, _stored(t), m.heat_tiers(x.filter("window = '30d'")), m.regressions(x, "1d", "7d"))
+
+
 @query("naming_conventions", f"WITH {_NAMES}, {_CONV} SELECT scope, pattern, adoption, n FROM v")
 def naming_conventions(t):
     return cv.dominant(_names(t), "scope", "n")

@@ -89,7 +89,7 @@ def resolved(cycles: DataFrame, by: str, ordinal: str, value: str, base: str, fa
 
 
 def hourly(logs: DataFrame) -> DataFrame:
-    """Hour, function, counts; with day totals (hour null) and the grand total (both null) by rollup."""
+    """day, hour, n, errors of all functions together; with day totals (hour null) and the grand total (both null) by rollup."""
     day, hour = F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH").alias("hour")
     return logs.select(day, hour, "level").rollup("day", "hour").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "error").alias("errors"))
 
