@@ -1,4 +1,4 @@
-"""Import resolution of six language families, over imports made of the symbols' files."""
+"""Import resolution of seven language families, over imports made of the symbols' files."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ CASES = {
     "python": ("src/pkg/m.py", ["'src/pkg/f' || n || '.py'"], [
         ("'pkg.f' || n", "'src/pkg/f' || n || '.py'", 2, None, "resolved"), ("'.f' || n", "'src/pkg/f' || n || '.py'", 0, None, "resolved"),
         ("'pkg.f' || n || '.Name'", "'src/pkg/f' || n || '.py'", 6, None, "resolved"), ("'os.path'", None, None, None, "own"),
-        ("'numpy.linalg'", None, None, "numpy", "external"), ("'.missing'", None, None, None, "unresolvable"), ("'..pkg.f' || n", "'src/pkg/f' || n || '.py'", 0, None, "resolved")]),
+        ("'numpy.linalg'", None, None, "numpy", "external"), ("'typing_extensions'", None, None, None, "own"), ("'.missing'", None, None, None, "unresolvable"), ("'..pkg.f' || n", "'src/pkg/f' || n || '.py'", 0, None, "resolved")]),
     "jvm": ("src/main/kotlin/com/ex/M.kt", ["'src/main/kotlin/com/ex/F' || n || '.kt'"], [
         ("'com.ex.F' || n", "'src/main/kotlin/com/ex/F' || n || '.kt'", 7, None, "resolved"), ("'com.ex.F' || n || '.Inner'", "'src/main/kotlin/com/ex/F' || n || '.kt'", 11, None, "resolved"),
         ("'java.util.List'", None, None, None, "own"), ("'com.sun.net.X'", None, None, None, "own"), ("'org.lib.Thing'", None, None, "org.lib", "external"), ("'com.ex.*'", None, None, None, "unresolvable")]),
@@ -24,12 +24,12 @@ CASES = {
         ("'f' || n", "'lib/f' || n || '.rb'", 0, None, "resolved"), ("'./f' || n", "'lib/f' || n || '.rb'", 0, None, "resolved"), ("'json'", None, None, None, "own"),
         ("'rails/all'", None, None, "rails", "external"), ("'./missing'", None, None, None, "unresolvable")]),
     "php": ("app/m.php", ["'app/Models/F' || n || '.php'"], [
-        (f"'Models' || {_B} || 'F' || n", "'app/Models/F' || n || '.php'", 1, None, "resolved"), ("'Exception'", None, None, None, "own"), (f"'Vendor' || {_B} || 'Lib'", None, None, "Vendor", "external")]),
+        (f"'Models' || {_B} || 'F' || n", "'app/Models/F' || n || '.php'", 1, None, "resolved"), ("'Exception'", None, None, None, "own"), ("'Foo'", None, None, "Foo", "external"), (f"'Vendor' || {_B} || 'Lib'", None, None, "Vendor", "external")]),
     "swift": ("Sources/App/m.swift", ["'Sources/Mod' || n || '/a.swift'"], [
         ("'Mod' || n", "'Sources/Mod' || n", 0, None, "resolved"), ("'Foundation'", None, None, None, "own"), ("'Alamofire'", None, None, "Alamofire", "external")]),
     "rust": ("src/a/m.rs", ["'src/a/f' || n || '.rs'", "'src/d' || n || '/mod.rs'"], [
         ("'crate::a::f' || n", "'src/a/f' || n || '.rs'", 0, None, "resolved"), ("'crate::a::f' || n || '::Type'", "'src/a/f' || n || '.rs'", 2, None, "resolved"),
-        ("'super::f' || n", "'src/a/f' || n || '.rs'", 0, None, "resolved"), ("'crate::d' || n", "'src/d' || n || '/mod.rs'", 1, None, "resolved"), ("'std::io'", None, None, None, "own"),
+        ("'super::f' || n", "'src/a/f' || n || '.rs'", 0, None, "resolved"), ("'crate::d' || n", "'src/d' || n || '/mod.rs'", 1, None, "resolved"), ("'std::io'", None, None, None, "own"), ("'proc_macro::TokenStream'", None, None, None, "own"),
         ("'tokio::spawn'", None, None, "tokio", "external"), ("'self::nope'", None, None, None, "unresolvable")]),
 }
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashes
 from ..operators import jobs, tracing
-from ..plans import flows, graph as g, trees
+from ..plans import flows, graph as g, resolve, trees
 from ..plans.graph import reachable
 from ..storage import upsert, written
 from .joins import _DERIVED, _MATCHED, _flows
@@ -153,12 +153,14 @@ def upsert_package_exports(t):
     return upsert(of(part.filter("p_size <= 25")), of(part.filter("p_size > 25")), ["package", "export"])
 
 
-@query("import_types", """SELECT i.src, i.dst, list_aggregate(list_sort(list(DISTINCT s.kind)), 'string_agg', ',') AS kinds, count(*) AS symbols, max(s.signature) AS last_signature
-    FROM {imports} i JOIN {symbols} s ON s.file_id = i.dst GROUP BY i.src, i.dst""")
+@query("import_types", """WITH i AS (SELECT i.src, i.dst, s.file_path, s.name FROM {imports} i JOIN {symbols} s ON s.file_id = i.dst WHERE (i.src + s.sym_id) % 3 = 0),
+    first AS (SELECT file_path, name, arg_min(signature, (start_line, sym_id)) AS signature, arg_min(kind, (start_line, sym_id)) AS kind FROM {symbols} WHERE signature IS NOT NULL GROUP BY ALL)
+    SELECT DISTINCT i.src, i.dst, i.name, first.kind, first.signature FROM i LEFT JOIN first USING (file_path, name)""")
 def import_types(t):
-    """What kinds of symbols an import can bring, counted once for each imported file."""
-    per = t.symbols.groupBy(F.col("file_id").alias("dst")).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.count("*").alias("symbols"), F.max("signature").alias("last_signature"))
-    return t.imports.join(per, "dst").select("src", "dst", "kinds", "symbols", "last_signature")
+    """Imports of symbols by name, each with the first signature that the file has for the name."""
+    of = t.symbols.select(F.col("file_id").alias("dst"), "sym_id", "file_path", "name")
+    named = t.imports.join(of, "dst").filter((F.col("src") + F.col("sym_id")) % 3 == 0).select("src", "dst", "file_path", "name").distinct()
+    return resolve.import_types(named, t.symbols).select("src", "dst", "name", "kind", "signature")
 
 
 @query("index_totals", """SELECT (SELECT count(*) FROM {symbols}) AS symbols, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS documents FROM (SELECT file_id, count(*) AS n FROM {occurrences} GROUP BY 1)""")

@@ -65,6 +65,29 @@ def _reads(plan: JavaObject) -> bool:
     return True
 
 
+def _tables(plan: JavaObject) -> Iterator[tuple[str, ...]]:
+    """The names of all tables that a plan reads, those of subqueries included; not those that it defines itself."""
+    for p in _plans(plan):
+        if p.getClass().getSimpleName() == "UnresolvedRelation":
+            yield tuple(_each(p.multipartIdentifier()))
+        for e in _each(p.expressions()):
+            for x in _expressions(e):
+                if hasattr_(x, "plan"):
+                    yield from _tables(x.plan())
+
+
+def _defined(plan: JavaObject) -> Iterator[str]:
+    """Names of common table expressions."""
+    for p in _plans(plan):
+        if p.getClass().getSimpleName() == "UnresolvedWith":
+            for pair in _each(p.cteRelations()):
+                yield pair.productElement(0).lower()
+        for e in _each(p.expressions()):
+            for x in _expressions(e):
+                if hasattr_(x, "plan"):
+                    yield from _defined(x.plan())
+
+
 def _name(parts: JavaObject) -> str:
     return parts.last().lower()
 
@@ -75,9 +98,14 @@ def is_read_only(spark: SparkSession, sql: str) -> bool:
 
 
 def run_query(spark: SparkSession, sql: str, views: dict[str, DataFrame], args: dict | None = None) -> DataFrame:
-    """The query's rows. The views are there for it alone: others of their names come back afterwards."""
+    """The query's rows. It reads the given views and what it defines itself, no other table and no file. The views are there for it alone: others of their names come
+    back afterwards."""
     if not is_read_only(spark, sql):
         raise PermissionError("only queries are allowed")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    known = {v.lower() for v in views} | {*_defined(plan)}
+    if other := [".".join(t) for t in _tables(plan) if len(t) > 1 or t[0].lower() not in known]:
+        raise PermissionError(f"not among the views: {', '.join(sorted({*other}))}")
     before = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name in views}
     try:
         for name, df in views.items():

@@ -1,8 +1,7 @@
-"""Import resolution in six families of languages: an import's candidate paths, in order, against the inventory of files."""
+"""Import resolution in seven families of languages: an import's candidate paths, in order, against the inventory of files."""
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -17,11 +16,32 @@ JVM_ROOTS = ("src/main/java", "src/main/kotlin", "src/test/java", "src/test/kotl
 JVM_OWN = ("java", "javax", "kotlin", "kotlinx", "android", "dalvik", "sun", "com.sun", "org.xml", "org.w3c")
 CSHARP_OWN = ("System", "Microsoft", "Windows")
 RUBY_OWN = ("json", "yaml", "csv", "net/http", "uri", "fileutils", "pathname", "set", "ostruct", "date", "time", "digest", "base64", "logger", "erb", "cgi", "socket", "io/console", "stringio", "tempfile")
-RUST_OWN = ("std", "core", "alloc")
+RUST_OWN = ("std", "core", "alloc", "collections", "proc_macro")
+PHP_OWN = ("PDO", "DateTime", "Exception", "stdClass", "ArrayObject", "SplFileInfo", "SplFixedArray", "Closure", "Generator")
 PHP_PREFIXES = ("src/", "app/", "")
 SWIFT_PREFIXES = ("Sources/", "src/", "")
 SWIFT_OWN = ("Foundation", "UIKit", "SwiftUI", "Combine", "CoreData", "CoreGraphics", "CoreLocation", "MapKit", "AVFoundation", "Darwin", "Swift", "ObjectiveC", "Dispatch")
-PYTHON_OWN = tuple(sorted(sys.stdlib_module_names))
+PYTHON_OWN = tuple("""
+    builtins sys os io abc copy enum types typing typing_extensions collections functools itertools operator dataclasses contextlib warnings traceback inspect
+    string re difflib textwrap unicodedata codecs
+    math decimal fractions random statistics
+    pathlib glob fnmatch shutil tempfile fileinput stat
+    json csv configparser tomllib xml html plistlib
+    pickle shelve sqlite3 dbm marshal
+    gzip bz2 lzma zipfile tarfile zlib
+    hashlib hmac secrets base64
+    platform signal subprocess multiprocessing threading concurrent queue sched mmap ctypes
+    socket ssl select selectors asyncio http urllib email ftplib smtplib xmlrpc socketserver
+    webbrowser cgi wsgiref
+    logging pdb profile cProfile timeit time
+    unittest doctest
+    importlib pkgutil zipimport
+    datetime calendar locale gettext zoneinfo
+    ast dis code compileall pprint
+    array weakref struct heapq bisect
+    argparse getpass readline rlcompleter curses atexit sysconfig venv site runpy
+    stdlibs
+""".split())
 
 
 class Family(NamedTuple):
@@ -106,7 +126,7 @@ FAMILIES = {
     "jvm": Family(lambda s: _head(s, ".").isin(*JVM_OWN) | _head(s, ".", 2).isin(*JVM_OWN), lambda s: F.endswith(s, F.lit(".*")), _jvm, lambda s: _head(s, ".", 2)),
     "csharp": Family(lambda s: _head(s, ".").isin(*CSHARP_OWN), _none, _csharp, lambda s: s),
     "ruby": Family(lambda s: s.isin(*RUBY_OWN), lambda s: F.startswith(s, F.lit(".")), _ruby, lambda s: _head(s, "/")),
-    "php": Family(lambda s: ~F.contains(s, F.lit("\\")), _none, _php, lambda s: _head(s, "\\")),
+    "php": Family(lambda s: s.isin(*PHP_OWN), _none, _php, lambda s: _head(s, "\\")),
     "swift": Family(lambda s: s.isin(*SWIFT_OWN), _none, _swift, lambda s: s),
     "rust": Family(lambda s: _head(s, "::").isin(*RUST_OWN), lambda s: _head(s, "::").isin("crate", "self", "super"), _rust, lambda s: _head(s, "::")),
 }

@@ -101,3 +101,9 @@ def resolve_symbols(imports: DataFrame, exports: DataFrame, symbols: DataFrame)
     j = rows.join(ex, ["target", "name"], "left").join(sy, ["target", "name"], "left").join(de, "target", "left")
     ok = F.when(F.col("import_kind") == "named", F.col("_e") & F.col("_s")).when(F.col("import_kind") == "default", F.col("_d")).otherwise(F.lit(True))
     return j.select("import_id", "name", "target", "import_kind", F.coalesce(ok, F.lit(False)).alias("resolved"))
+
+
+def import_types(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """imports (file_path, name of what is imported, and more) with kind and signature of the first symbol of that file and name that has a signature, null where none has."""
+    first = symbols.filter("signature is not null").groupBy("file_path", "name").agg(F.min_by(F.struct("kind", "signature"), F.struct("start_line", "sym_id")).alias("_first"))
+    return imports.join(first, ["file_path", "name"], "left").select(*imports.columns, "_first.kind", "_first.signature")

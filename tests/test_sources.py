@@ -154,4 +154,14 @@ def test_read_only(spark):
     assert spark.table("n").count() == 9
     with pytest.raises(PermissionError):
         adhoc.run_query(spark, "DROP VIEW n", {})
+
+
+def test_questions_reach_the_given_views_only(spark, sf):
+    spark.range(3).createOrReplaceTempView("secret")
+    views = {"N": spark.range(4)}
+    for bad in (f"SELECT * FROM parquet.`{sf}/region.parquet`", "SELECT * FROM secret", "SELECT * FROM n WHERE id IN (SELECT id FROM secret)", "WITH a AS (SELECT * FROM secret) SELECT * FROM a",
+                "SELECT (SELECT max(id) FROM default.other) FROM n", "SELECT * FROM n JOIN json.`/etc/passwd`"):
+        with pytest.raises(PermissionError, match="not among the views"):
+            adhoc.run_query(spark, bad, views)
+    assert adhoc.run_query(spark, "WITH secret AS (SELECT id FROM n), b AS (SELECT * FROM Secret) SELECT count(*) AS c FROM b WHERE id IN (SELECT id FROM N)", views).first().c == 4
     spark.catalog.dropTempView("n")
