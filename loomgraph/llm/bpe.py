@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, text_chunks, tidy, with_schema, written
-from .pretokens import Recent, splitter
+from .pretokens import Kept, Recent, splitter
 
-#: Transitions, and pieces of one of two generations with their ids, that a task keeps, some 200 MB of memory; transitions that a worker keeps between tasks.
-MAX_TRANSITIONS, MAX_PIECES, IDLE_TRANSITIONS = 300_000, 120_000, 30_000
+#: Transitions, and pieces of one of two generations with their ids, that a worker keeps: some 200 MB of memory.
+MAX_TRANSITIONS, MAX_PIECES = 300_000, 120_000
 
 
 class Merges:
@@ -165,12 +165,6 @@ class Encoder:
         self.fst = Transducer(self.ranks, transitions)
         self.pieces = Recent(MAX_PIECES)
 
-    def rest(self) -> None:
-        """Gives up what has grown; the next task is soon as fast without it."""
-        if len(self.fst.moves) > IDLE_TRANSITIONS:
-            self.fst._reset()
-            self.pieces = Recent(MAX_PIECES)
-
     def encode(self, text: str) -> np.ndarray:
         known, pieces = self.pieces, self.split(text)
         row = list(map(known.get, pieces))
@@ -287,17 +281,19 @@ class Utf8:
         return out
 
 
-_encoder = lru_cache(1)(Encoder)
+_encoders = Kept(Encoder)
 
 
 @contextmanager
 def encoder(path: str, pattern: str, transitions: int = MAX_TRANSITIONS) -> Iterator[Encoder]:
-    """The worker's encoder, whose tables are for this task only."""
-    made = _encoder(path, pattern, transitions)
+    """The worker's encoder, which further tasks find warm; with fewer transitions than usual, one for this task only."""
+    if transitions < MAX_TRANSITIONS:
+        yield Encoder(path, pattern, transitions)
+        return
     try:
-        yield made
+        yield _encoders.take(path, pattern)
     finally:
-        made.rest()
+        _encoders.rest()
 
 
 @lru_cache(2)
@@ -306,7 +302,7 @@ def decoder(path: str) -> Decoder:
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str | None = None, name: str = "ids", transitions: int = MAX_TRANSITIONS) -> DataFrame:
-    """docs with the ids of text, array<int>. ranks: a file of base64 tokens and ranks that every node has. transitions: fewer take less memory and more time."""
+    """docs with the ids of text, array<int>. ranks: a file of base64 tokens and ranks that every node has. transitions: fewer take less memory and more time, and are given up with the task."""
     if pattern is None:
         from public_tokenizers import PATTERN as pattern
     columns = [c for c in docs.columns if c != name]
