@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..plans.graph import clamp_depth as _clamp
 from ..sources import files as sf
+from ..sources import symbols as sources
 from .registry import query
 
 
@@ -126,3 +127,18 @@ def webhook_commits(t):
     branch = F.when(F.col("event_type") == "click", "main").when(F.col("event_type") == "view", "main").otherwise("other")
     body = F.to_json(F.struct(F.concat(F.lit("refs/heads/"), branch).alias("ref"), F.lit("new").alias("after"), commits.alias("commits")))
     return sf.push_commits(e.select("event_id", body.alias("body")), "event_id", "main", "old")
+
+
+@query("file_symbols", """WITH s AS (SELECT sym_id AS i, start_line AS n, sym_id % 3 AS k FROM {symbols})
+    SELECT i AS file, 'C' || i AS name, 'class' AS kind, 1 AS start_line, CAST(CASE k WHEN 0 THEN n + 5 ELSE n + 3 + CAST(k = 2 AS INTEGER) END AS INTEGER) AS end_line, NULL::VARCHAR AS parent, 0 AS depth FROM s
+    UNION ALL SELECT i, 'f' || i, 'function', 3, CAST(CASE k WHEN 0 THEN n + 4 ELSE n + 3 END AS INTEGER), 'C' || i, 1 FROM s
+    UNION ALL SELECT i, 'g' || i, 'function', CAST(n + 5 AS INTEGER), CAST(n + 5 AS INTEGER), CASE k WHEN 0 THEN 'C' || i END, CASE k WHEN 0 THEN 1 ELSE 0 END FROM s WHERE k < 2""")
+def file_symbols(t):
+    """A source text of each symbol, as long as its first line's number says, in three languages, through the table function."""
+    i, n, k = F.col("sym_id").cast("string"), F.col("start_line").cast("int"), F.col("sym_id") % 3
+    ts = F.concat(F.lit("class C"), i, F.lit(" {\n// function no() {\n  function f"), i, F.lit("() {\n"), F.repeat(F.lit("    x('}');\n"), n), F.lit("  }\n  function g"), i, F.lit("() { } }\n"))
+    py = F.concat(F.lit("class C"), i, F.lit(":\n    '''def no():'''\n    def f"), i, F.lit("(self):\n"), F.repeat(F.lit("        x()\n"), n), F.lit("\ndef g"), i, F.lit("(): return 1\n"))
+    rb = F.concat(F.lit("class C"), i, F.lit("\n  # def no\n  def f"), i, F.lit("\n"), F.repeat(F.lit("    x 'end'\n"), n - 1), F.lit("  end\nend\n"))
+    text, language = (F.when(k == 0, a).when(k == 1, b).otherwise(c) for a, b, c in ((ts, py, rb), (F.lit("typescript"), F.lit("python"), F.lit("ruby"))))
+    files = t.symbols.select(F.col("sym_id").alias("file_path"), language.alias("language"), text.alias("content"))
+    return sources.symbols(files).select(F.col("file_path").alias("file"), "name", "kind", "start_line", "end_line", "parent", "depth")

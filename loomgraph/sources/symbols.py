@@ -1,15 +1,20 @@
-"""Symbols, imports and exports of source text by line patterns, for eleven languages, as Spark expressions.
+"""Symbols, imports and exports of source text in eleven languages. Symbols come from a table function over a file's text, which SQL can call too; imports from
+line patterns as Spark expressions.
 
-No grammar packages are at hand, so declarations are told by the beginning of their line; a symbol reaches to the line before the
-next declaration of no greater indentation. Deeper syntax (bodies on one line, declarations inside strings) is out of reach.
+No grammar packages are at hand: declarations are told by the beginning of their statement, and their scopes by braces, `end` or indentation (see declarations).
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+from ..functions.declarations import declarations
 
 
 class Rule(NamedTuple):
@@ -79,17 +84,42 @@ def _lines(files: DataFrame) -> DataFrame:
     return known.select("file_path", "language", F.size(F.split("content", "\n")).alias("n"), F.posexplode(F.split("content", "\n")).alias("i", "line"))
 
 
+SYMBOLS = "name string, kind string, signature string, start_line int, end_line int, parent string, depth int, is_exported boolean"
+
+
+@lru_cache(16)
+def _rules(language: str) -> tuple[tuple[str, re.Pattern], ...]:
+    return tuple((r.kind, re.compile(r.pattern)) for r in RULES if language in r.languages)
+
+
+def _exported(language: str, name: str, signature: str) -> bool:
+    if language in ("python", "ruby"):
+        return not name.startswith("_")
+    return name[:1].isupper() if language == "go" else re.match(_PUBLIC, signature) is not None
+
+
+class FileSymbols:
+    """The table function file_symbols(language, content)."""
+
+    def eval(self, language: str, content: str):
+        if content and (rules := _rules(language or "")):
+            for d in declarations(content, language, rules):
+                yield (*d, _exported(language, d.name, d.signature))
+
+
+file_symbols = udtf(FileSymbols, returnType=SYMBOLS)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes file_symbols a table function of the session's SQL."""
+    spark.udtf.register("file_symbols", file_symbols)
+
+
 def symbols(files: DataFrame) -> DataFrame:
-    """file_path, name, kind, signature, start_line, end_line, is_exported. files: file_path, language, content."""
-    line = F.col("line")
-    found = _first(F.col("language"), RULES, lambda kind, p: (line.rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(line, p, 1).alias("name"))))
-    d = _lines(files).withColumn("d", found).filter("d is not null").withColumn("indent", F.length(F.regexp_extract("line", r"^(\s*)", 1)))
-    every = d.groupBy(F.col("file_path").alias("_f")).agg(F.array_sort(F.collect_list(F.struct("i", "indent"))).alias("_all"))
-    d = d.join(every, d["file_path"] == F.col("_f"))
-    end = F.get(F.filter("_all", lambda x: (x["i"] > F.col("i")) & (x["indent"] <= F.col("indent"))), F.lit(0))["i"]
-    exported = line.rlike(_PUBLIC) | (F.col("language").isin("python", "ruby") & ~F.startswith("d.name", F.lit("_"))) | ((F.col("language") == "go") & F.col("d.name").rlike("^[A-Z]"))
-    rows = d.select("file_path", F.col("d.name").alias("name"), F.col("d.kind").alias("kind"), F.trim("line").alias("signature"), (F.col("i") + 1).alias("start_line"), F.coalesce(end, F.col("n")).alias("end_line"), exported.alias("is_exported"))
-    return rows
+    """file_path, name, kind, signature, start_line, end_line, parent, depth, is_exported. files: file_path, language, content."""
+    known = files.filter(F.col("language").isin(*{x for r in RULES for x in r.languages}) & F.col("content").isNotNull()).select("file_path", "language", "content")
+    rows = known.lateralJoin(file_symbols(F.col("language").outer(), F.col("content").outer()))
+    return rows.select("file_path", "name", "kind", "signature", "start_line", "end_line", "parent", "depth", "is_exported")
 
 
 def imports(files: DataFrame) -> DataFrame:
