@@ -72,6 +72,21 @@ def bulk_change_windows(t):
     return tr.bulk_windows(e, "ts", "6 hours", 80).select(F.unix_micros("start").alias("start_us"), "n", "bulk")
 
 
+@query("watch_batches", """WITH RECURSIVE e AS (SELECT user_id % 3 AS key, user_id AS path, CAST(epoch_us(ts) AS BIGINT) AS us FROM events),
+    c AS (SELECT *, CASE WHEN us - lag(us) OVER w < 900000000 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY key, path ORDER BY us)),
+    q AS (SELECT *, sum(new) OVER (PARTITION BY key, path ORDER BY us ROWS UNBOUNDED PRECEDING) AS s FROM c),
+    f AS (SELECT key, path, max(us) + 900000000 AS us, count(*) AS changes FROM q GROUP BY key, path, s),
+    o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, path) AS i FROM f),
+    r AS (SELECT key, i, us, changes, 1 AS batch, 1 AS size FROM o WHERE i = 1
+        UNION ALL SELECT o.key, o.i, o.us, o.changes, CASE WHEN o.us - r.us >= 1200000000 OR r.size = 10 THEN r.batch + 1 ELSE r.batch END, CASE WHEN o.us - r.us >= 1200000000 OR r.size = 10 THEN 1 ELSE r.size + 1 END
+        FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
+    SELECT key, CAST(batch AS INTEGER) AS batch, count(*) AS n, CAST(sum(changes) AS BIGINT) AS changes, min(us) AS first_us, CASE WHEN count(*) = 10 THEN max(us) ELSE max(us) + 1200000000 END AS fires_us FROM r GROUP BY key, batch""")
+def watch_batches(t):
+    """Users stand for paths, quiet for 15 minutes; a batch closes after 20 minutes, or with the tenth path."""
+    e = t.raw("events").select((F.col("user_id") % 3).alias("key"), F.col("user_id").alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return tr.watch_batches(e, 900_000_000, 1_200_000_000, 10)
+
+
 @query("backoff_schedule", """WITH p AS (SELECT user_id AS source, event_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
     f AS (SELECT source, event_id, n - coalesce(max(CASE WHEN NOT failed THEN n END) OVER (PARTITION BY source ORDER BY n), 0) AS failures FROM p)
     SELECT source, event_id, CAST(failures AS INTEGER) AS failures, CAST(CASE WHEN failures = 0 THEN 0 ELSE least(15 * least(pow(2, failures), 32), 600) END AS INTEGER) AS wait_s FROM f""")

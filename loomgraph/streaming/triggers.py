@@ -27,6 +27,23 @@ def bulk_windows(events: DataFrame, ts: str, width: str, most: int) -> DataFrame
     return g.select(F.col("w.start").alias("start"), "n", (F.col("n") > most).alias("bulk"))
 
 
+def watch_batches(changes: DataFrame, quiet_us: int = 300_000, pause_us: int = 500_000, most: int = 100) -> DataFrame:
+    """key, batch, n, changes, first_us, fires_us: what a watcher of files hands on of changes (key, path, us).
+
+    A path's changes count as one, at the time when it has been quiet for quiet_us. Those of a key form a batch, which closes when no other follows within pause_us, or with
+    the most-th; fires_us is the time of that. Batches of a key count from 1.
+    """
+    named = changes.select(F.struct("key", "path").alias("key"), "us")
+    settled = spells(named, quiet_us).groupBy("key", "spell").agg((F.max("us") + F.lit(quiet_us)).alias("us"), F.count("*").alias("changes"))
+    one = spells(settled.select("key.key", "key.path", "us", "changes"), pause_us)
+    w = Window.partitionBy("key", "spell").orderBy("us", "path")
+    part = one.withColumn("_part", ((F.row_number().over(w) - 1) / most).cast("int"))
+    g = part.groupBy("key", "spell", "_part").agg(F.count("*").alias("n"), F.sum("changes").alias("changes"), F.min("us").alias("first_us"), F.max("us").alias("_last"))
+    fires = F.when(F.col("n") == most, F.col("_last")).otherwise(F.col("_last") + pause_us)
+    batch = F.row_number().over(Window.partitionBy("key").orderBy("spell", "_part"))
+    return g.select("key", batch.alias("batch"), "n", "changes", "first_us", fires.alias("fires_us"))
+
+
 def backoff_s(failures, base: int = 15, most: int = 600):
     """Seconds to wait after so many failures in a row: base times 2, 4, ... 32, at most `most`; 0 after none."""
     factor = F.least(F.pow(F.lit(2.0), F.least(failures, F.lit(30)).cast("double")), F.lit(32.0))

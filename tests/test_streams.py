@@ -85,6 +85,36 @@ def test_backoff_stream(spark, tmp_path):
     assert got == sorted((r.source, r.at, r.failures, r.wait_s) for r in triggers.failure_runs(polls, "source", "at", "failed").collect())
 
 
+def test_watch_batches(spark):
+    rng = random.Random(3)
+    rows, us = [], 0
+    for _ in range(900):
+        us += rng.choice((10, 50, 100, 290, 310, 700, 2000)) * 1000
+        rows.append((rng.randrange(2), f"p{rng.randrange(12)}", us))
+    got = sorted(tuple(r) for r in triggers.watch_batches(spark.createDataFrame(rows, "key int, path string, us bigint"), most=7).collect())
+    want = []
+    for key in (0, 1):
+        fired = []
+        for path in {r[1] for r in rows}:
+            times = sorted(r[2] for r in rows if r[:2] == (key, path))
+            run = times[:1]
+            for a in times[1:]:
+                if a - run[-1] >= 300_000:
+                    fired.append((run[-1] + 300_000, path, len(run)))
+                    run = []
+                run.append(a)
+            if run:
+                fired.append((run[-1] + 300_000, path, len(run)))
+        batches = []
+        for f in sorted(fired):
+            if not batches or len(batches[-1]) == 7 or f[0] - batches[-1][-1][0] >= 500_000:
+                batches.append([])
+            batches[-1].append(f)
+        want += [(key, i, len(b), sum(x[2] for x in b), b[0][0], b[-1][0] + (0 if len(b) == 7 else 500_000)) for i, b in enumerate(batches, 1)]
+    assert got == sorted(want) and any(b[2] == 7 for b in want)
+    assert triggers.watch_batches(spark.createDataFrame([], "key int, path string, us bigint")).count() == 0
+
+
 def test_backoff(spark):
     waits = [r[0] for r in spark.range(0, 9).select(triggers.backoff_s(F.col("id"))).collect()]
     assert waits == [0, 30, 60, 120, 240, 480, 480, 480, 480]
