@@ -93,20 +93,19 @@ def induced_subgraph(t):
     return g.induced(t.imports, g.closure(t.imports, g.busiest(t.imports)).filter("side <> 'down'"))
 
 
-@query("neighbors", """SELECT node, count(*) AS degree, string_agg(CAST(neighbour AS VARCHAR), ',' ORDER BY neighbour) AS neighbours
-    FROM (SELECT src AS node, dst AS neighbour FROM {imports} UNION SELECT dst, src FROM {imports}) GROUP BY node""")
+@query("neighbors", """WITH a AS (SELECT src AS node, dst AS neighbour FROM {imports} UNION SELECT dst, src FROM {imports}) SELECT node, neighbour, count(*) OVER (PARTITION BY node) AS n FROM a""")
 def neighbors(t):
-    return g.adjacency(t.imports).groupBy("node").agg(F.count("*").alias("degree"), g.joined(F.collect_list("neighbour")).alias("neighbours"))
+    return lookup.dependencies(g.adjacency(t.imports), "node", "neighbour")
 
 
-@query("deps_out", "SELECT src, count(*) AS n, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS targets FROM {imports} GROUP BY src")
+@query("deps_out", "SELECT src, dst, count(*) OVER (PARTITION BY src) AS n FROM {imports}")
 def deps_out(t):
-    return lookup.dependencies(t.imports, "src", "dst").withColumnRenamed("others", "targets")
+    return lookup.dependencies(t.imports, "src", "dst")
 
 
-@query("deps_in", "SELECT dst, count(*) AS n, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS importers FROM {imports} GROUP BY dst")
+@query("deps_in", "SELECT dst, src, count(*) OVER (PARTITION BY dst) AS n FROM {imports}")
 def deps_in(t):
-    return lookup.dependencies(t.imports, "dst", "src").withColumnRenamed("others", "importers")
+    return lookup.dependencies(t.imports, "dst", "src")
 
 
 @query("direct_importers", """SELECT s.file_path, s.name, count(DISTINCT i.src) AS importers FROM {symbols} s JOIN {imports} i ON i.dst = s.file_id GROUP BY s.file_path, s.name""")
@@ -133,14 +132,21 @@ def file_calls_in(t):
     return lookup.calls_between(t.calls, t.functions).groupBy(F.col("to_file").alias("file"), "from_file").agg(F.count("*").alias("n_calls"), F.count_distinct("src").alias("n_callers"))
 
 
-@query("symbol_lookup", """WITH c AS (SELECT dst, count(DISTINCT src) AS n, string_agg(DISTINCT CAST(file AS VARCHAR), ',' ORDER BY CAST(file AS VARCHAR)) AS files
+@query("symbol_lookup", """WITH c AS (SELECT dst, count(DISTINCT src) AS n, count(DISTINCT file) AS files
     FROM {calls} JOIN {functions} ON id = src GROUP BY dst), i AS (SELECT dst, count(DISTINCT src) AS n FROM {imports} GROUP BY dst)
-    SELECT s.name, s.sym_id, s.kind, s.file_path, coalesce(c.n, 0) AS callers, coalesce(c.files, '') AS caller_files, coalesce(i.n, 0) AS importers
+    SELECT s.name, s.sym_id, s.kind, s.file_path, coalesce(c.n, 0) AS callers, coalesce(c.files, 0) AS caller_files, coalesce(i.n, 0) AS importers
     FROM {symbols} s LEFT JOIN c ON c.dst = s.sym_id LEFT JOIN i ON i.dst = s.file_id""")
 def symbol_lookup(t):
     return lookup.usages(t.symbols, t.calls, t.functions, t.imports)
 
 
+@query("symbol_callers", """SELECT sym_id, nth, caller, file FROM (SELECT c.dst AS sym_id, c.src AS caller, f.file, CAST(row_number() OVER (PARTITION BY c.dst ORDER BY f.file, c.src) AS INTEGER) AS nth
+    FROM {calls} c JOIN {functions} f ON f.id = c.src WHERE c.dst IN (SELECT sym_id FROM {symbols})) WHERE nth BETWEEN 6 AND 15""")
+def symbol_callers(t):
+    """The second and third five callers of every symbol."""
+    return lookup.callers(t.symbols, t.calls, t.functions, 5, 10)
+
+
 @query("fuzzy_symbol", """WITH w AS (SELECT unnest(['red_widget', 'WIDGET', 'no_such']) AS wanted),
     exact AS (SELECT wanted, sym_id, name, 'exact' AS how FROM w JOIN {symbols} ON name = wanted),
     fuzzy AS (SELECT wanted, sym_id, name, 'fuzzy' AS how FROM w JOIN {symbols} ON contains(lower(name), lower(wanted)) WHERE wanted NOT IN (SELECT wanted FROM exact)
@@ -165,9 +171,10 @@ def type_info(t):
     return lookup.type_info(t.symbols, calls)
 
 
-@query("exports_by_kind", "SELECT file_path AS package, kind, count(*) AS n, string_agg(name, ',' ORDER BY name, sym_id) AS names FROM {symbols} WHERE name IS NOT NULL GROUP BY ALL")
+@query("exports_by_kind", """SELECT file_path AS package, kind, count(*) OVER (PARTITION BY file_path, kind) AS n, CAST(row_number() OVER (PARTITION BY file_path, kind ORDER BY name, sym_id) AS INTEGER) AS nth, name
+    FROM {symbols} WHERE name IS NOT NULL QUALIFY nth <= 50""")
 def exports_by_kind(t):
-    return lookup.exports_by_kind(t.symbols.withColumnRenamed("file_path", "package"))
+    return lookup.exports_by_kind(t.symbols.withColumnRenamed("file_path", "package").withColumnRenamed("sym_id", "id"))
 
 
 @query("resolve_start", """WITH w AS (SELECT DISTINCT name, NULL AS file_path FROM {symbols} UNION ALL SELECT DISTINCT name, file_path FROM {symbols} UNION ALL SELECT 'no_such', NULL)

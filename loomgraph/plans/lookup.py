@@ -7,12 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import joined
-
 
 def dependencies(edges: DataFrame, node: str, other: str) -> DataFrame:
-    """node, n, others (in order) of each node."""
-    return edges.select(node, other).distinct().groupBy(node).agg(F.count("*").alias("n"), joined(F.collect_list(other)).alias("others"))
+    """node, other, n: a row for each distinct edge, with the number of the node's; a hub's neighbours are rows and no list."""
+    one = edges.select(node, other).distinct()
+    return one.join(one.groupBy(node).agg(F.count("*").alias("n")), node)
+
+
+def page(rows: DataFrame, of: Sequence[str], order: Sequence[str], offset: int, limit: int) -> DataFrame:
+    """Of each group the rows from offset on, at most limit, in order (which must be total); nth counts from 1."""
+    w = Window.partitionBy(*of).orderBy(*order)
+    return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth").between(offset + 1, offset + limit))
 
 
 def direct_importers(symbols: DataFrame, imports: DataFrame) -> DataFrame:
@@ -37,12 +42,19 @@ def calls_between(calls: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def usages(symbols: DataFrame, calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
-    """Each symbol with its callers, their files, and the files that import its own."""
+    """Each symbol with the numbers of its callers, of their files, and of the files that import its own. Who they are is for callers() to say, a page at a time."""
     by = calls.join(functions.select(F.col("id").alias("src"), "file"), "src")
-    c = by.groupBy(F.col("dst").alias("sym_id")).agg(F.count_distinct("src").alias("callers"), F.array_join(F.array_sort(F.collect_set(F.col("file").cast("string"))), ",").alias("caller_files"))
+    c = by.groupBy(F.col("dst").alias("sym_id")).agg(F.count_distinct("src").alias("callers"), F.count_distinct("file").alias("caller_files"))
     i = imports.groupBy(F.col("dst").alias("file_id")).agg(F.count_distinct("src").alias("importers"))
     j = symbols.join(c, "sym_id", "left").join(i, "file_id", "left")
-    return j.select("name", "sym_id", "kind", "file_path", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("caller_files", F.lit("")).alias("caller_files"), F.coalesce("importers", F.lit(0)).alias("importers"))
+    return j.select("name", "sym_id", "kind", "file_path", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("caller_files", F.lit(0)).alias("caller_files"), F.coalesce("importers", F.lit(0)).alias("importers"))
+
+
+def callers(symbols: DataFrame, calls: DataFrame, functions: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """sym_id, nth, caller, file: who calls each of the symbols, in order of file and caller, a page at a time."""
+    c = calls.select(F.col("src").alias("caller"), F.col("dst").alias("sym_id")).distinct().join(symbols.select("sym_id").distinct(), "sym_id", "left_semi")
+    named = c.join(functions.select(F.col("id").alias("caller"), "file"), "caller")
+    return page(named, ["sym_id"], ["file", "caller"], offset, limit).select("sym_id", "nth", "caller", "file")
 
 
 def symbols_by_name(symbols: DataFrame, names: Sequence[str], most: int = 10) -> DataFrame:
@@ -73,10 +85,11 @@ def type_info(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     return j.select("name", "file_path", "kind", "signature", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("mismatches", F.lit(0)).alias("mismatches"))
 
 
-def exports_by_kind(exports: DataFrame) -> DataFrame:
-    """package, kind, n, names of the exports (package, kind, name); rows without a name are dropped."""
-    g = exports.filter("name is not null").groupBy("package", "kind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
-    return g.select("package", "kind", "n", "names")
+def exports_by_kind(exports: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """package, kind, n, nth, name: a page of the names of each package and kind, with their number; rows without a name are dropped. exports: package, kind, name, id."""
+    named = exports.filter("name is not null")
+    n = named.groupBy("package", "kind").agg(F.count("*").alias("n"))
+    return page(named, ["package", "kind"], ["name", "id"], offset, limit).join(n, ["package", "kind"]).select("package", "kind", "n", "nth", "name")
 
 
 def graph_nodes(repositories: DataFrame, files: DataFrame, symbols: DataFrame, repo_id: int) -> DataFrame:
