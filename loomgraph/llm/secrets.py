@@ -114,7 +114,9 @@ def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(index: DataFrame, rules) -> DataFrame:
     """kind and doc_id of what answers a rule's query: the lists of each clause's trigrams, intersected segment by segment."""
     clauses = [(r.kind, i, g, len(c)) for r in rules for i, c in enumerate(trigram_query(r.pattern) or ()) for g in sorted(c)]
-    asked = index.sparkSession.createDataFrame(clauses, "kind string, clause int, trigram string, size int")
+    # literals of the plan: rows that are handed over from Python would start Python workers on the executors
+    rows = [F.struct(F.lit(k).alias("kind"), F.lit(i).alias("clause"), F.lit(g).alias("trigram"), F.lit(n).alias("size")) for k, i, g, n in clauses]
+    asked = index.sparkSession.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
     lists = index.join(F.broadcast(asked), "trigram").groupBy("kind", "clause", "size", "segment").agg(F.collect_list("ids").alias("lists"))
     both = F.aggregate(F.slice("lists", 2, PER_CLAUSE), F.col("lists")[0], F.array_intersect)
     return lists.filter(F.size("lists") == F.col("size")).select("kind", F.explode(both).alias("doc_id")).distinct()
