@@ -91,20 +91,17 @@ def resolve_candidates(t):
     return _resolved(t).select("import_id", "resolved_path", "probe", "package", "resolution_status")
 
 
-@query("resolution_stats", f"""SELECT count(*) AS total, count(*) FILTER (WHERE resolution_status = 'resolved') AS resolved, count(*) FILTER (WHERE resolution_status = 'external') AS "external",
-    count(*) FILTER (WHERE resolution_status = 'unresolvable') AS unresolvable, count(*) FILTER (WHERE probe > 0) AS by_probe, count(DISTINCT package) AS packages FROM ({_RESOLVED})""")
-def resolution_stats(t):
-    return resolve.resolution_stats(_resolved(t))
-
-
-@query("barrel_unwind", """WITH RECURSIVE own AS (SELECT DISTINCT file_id, name FROM {symbols}),
+_BARRELS = """WITH RECURSIVE own AS (SELECT DISTINCT file_id, name FROM {symbols}),
     star AS (SELECT src, min(dst) AS nxt FROM {imports} GROUP BY src),
     w AS (SELECT sym_id AS import_id, file_id % (SELECT count(*) FROM supplier) AS file, name, 0 AS hops, []::BIGINT[] AS seen FROM {symbols} WHERE kind = 'function'
     UNION ALL SELECT import_id, nxt, w.name, hops + 1, list_append(seen, file) FROM w JOIN star ON src = file WHERE hops < 10 AND NOT list_contains(seen, file)
     AND NOT EXISTS (SELECT 1 FROM own WHERE own.file_id = file AND own.name = w.name)),
     e AS (SELECT w.*, EXISTS (SELECT 1 FROM own WHERE own.file_id = file AND own.name = w.name) AS f, list_contains(seen, file) AS cyc, (SELECT nxt FROM star WHERE src = file) AS nxt FROM w)
     SELECT import_id, name, file, CAST(hops AS INTEGER) AS hops, CASE WHEN f THEN 'found' WHEN cyc THEN 'cycle' WHEN nxt IS NULL THEN 'missing' ELSE 'too deep' END AS outcome
-    FROM e WHERE f OR cyc OR nxt IS NULL OR hops = 10""")
+    FROM e WHERE f OR cyc OR nxt IS NULL OR hops = 10"""
+
+
+@query("barrel_unwind", _BARRELS)
 def barrel_unwind(t):
     """Import edges stand for wildcard re-exports, in order of their target."""
     ns = t._count("supplier")
@@ -115,10 +112,13 @@ def barrel_unwind(t):
     return resolve.unwind_barrels(wanted, re, own).withColumn("file", F.col("file").cast("bigint"))
 
 
-@query("resolve_symbols", """WITH x AS (SELECT sym_id AS import_id, file_path AS target, name, 'named' AS import_kind FROM {symbols} UNION ALL SELECT sym_id, file_path, 'zz' || name, 'named' FROM {symbols}
+_SYMBOLS = """WITH x AS (SELECT sym_id AS import_id, file_path AS target, name, 'named' AS import_kind FROM {symbols} UNION ALL SELECT sym_id, file_path, 'zz' || name, 'named' FROM {symbols}
     UNION ALL SELECT sym_id, file_path, 'dflt', 'default' FROM {symbols} WHERE sym_id % 2 = 0 UNION ALL SELECT sym_id, file_path, 'ns', 'namespace' FROM {symbols} WHERE sym_id % 3 = 0)
     SELECT import_id, name, target, import_kind, CASE import_kind WHEN 'named' THEN (target, name) IN (SELECT (file_path, name) FROM {symbols} WHERE kind <> 'type')
-    WHEN 'default' THEN target IN (SELECT file_path FROM {symbols} WHERE kind = 'class') ELSE true END AS resolved FROM x""")
+    WHEN 'default' THEN target IN (SELECT file_path FROM {symbols} WHERE kind = 'class') ELSE true END AS resolved FROM x"""
+
+
+@query("resolve_symbols", _SYMBOLS)
 def resolve_symbols(t):
     imports = t.symbols.select(
         F.col("sym_id").alias("import_id"), F.col("file_path").alias("target"), F.array("name", F.concat(F.lit("zz"), "name")).alias("names"),
@@ -128,6 +128,19 @@ def resolve_symbols(t):
     return resolve.resolve_symbols(imports, exports, t.symbols)
 
 
+@query("resolution_stats", f"""SELECT i.*, (SELECT count(*) FROM ({_SYMBOLS}) WHERE NOT resolved) AS unresolved_symbols, (SELECT count(*) FROM ({_BARRELS}) WHERE outcome = 'cycle') AS barrel_cycles,
+    (SELECT count(*) FROM ({_BARRELS}) WHERE outcome = 'too deep') AS barrel_depth_exceeded
+    FROM (SELECT count(*) AS total, count(*) FILTER (WHERE resolution_status = 'resolved') AS resolved, count(*) FILTER (WHERE resolution_status = 'external') AS "external", count(*) FILTER (WHERE resolution_status = 'unresolvable') AS unresolvable,
+    count(*) FILTER (WHERE resolution_status = 'dynamic') AS dynamic, count(*) FILTER (WHERE probe > 0) AS by_probe, count(DISTINCT package) AS packages
+    FROM ({_RESOLVED} UNION ALL SELECT sym_id, NULL, NULL, NULL, 'dynamic' FROM {{symbols}} WHERE sym_id % 13 = 0)) i""")
+def resolution_stats(t):
+    """All counters of a run; imports without a source are dynamic."""
+    dynamic = _imports(t).filter("import_id % 13 = 0").withColumn("source", F.lit(None).cast("string")).withColumn("import_id", -1 - F.col("import_id"))
+    found = resolve.resolve_imports(_imports(t).unionByName(dynamic), t.symbols.select("file_path").distinct(), {"@/*": "src/*"})
+    return resolve.resolution_stats(found, resolve_symbols(t), barrel_unwind(t))
+
+
+
 @query("resolve_exports", "SELECT f.file_path, s.name, s.sym_id FROM (SELECT DISTINCT file_path, name FROM {symbols} WHERE kind = 'class') f JOIN {symbols} s ON s.file_path = f.file_path AND s.name = f.name")
 def resolve_exports(t):
     wanted = t.symbols.filter("kind = 'class'").select("file_path", "name").distinct()

@@ -29,7 +29,7 @@ def probes(base: Column) -> Column:
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """imports (import_id, from_file, source) with resolved_path, probe, package and resolution_status.
+    """imports (import_id, from_file, source) with resolved_path, probe, package and resolution_status; dynamic is an import without a source, which is known when it runs.
 
     aliases: patterns with one star to replacements, tried in order for sources that are not relative.
     """
@@ -46,15 +46,20 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str
     found = first_candidate(i.filter("_base is not null"), "import_id", probes(F.col("_base")), files, "file_path")
     j = i.join(found, "import_id", "left")
     bare = ~F.startswith("source", F.lit(".")) & ~F.startswith("source", F.lit("/"))
-    status = F.when(F.col("resolved_path").isNotNull(), "resolved").when(bare & F.col("_base").isNull(), "external").otherwise("unresolvable")
+    status = F.when(F.col("source").isNull(), "dynamic").when(F.col("resolved_path").isNotNull(), "resolved").when(bare & F.col("_base").isNull(), "external").otherwise("unresolvable")
     return j.withColumn("resolution_status", status).withColumn("package", F.when(status == "external", package_name(F.col("source")))).drop("_base")
 
 
-def resolution_stats(resolved: DataFrame) -> DataFrame:
-    return resolved.agg(
-        F.count("*").alias("total"), *[F.count_if(F.col("resolution_status") == x).alias(x) for x in ("resolved", "external", "unresolvable")],
+def resolution_stats(resolved: DataFrame, symbols: DataFrame, walks: DataFrame) -> DataFrame:
+    """One row: imports in total and by status, by_probe (found by another candidate than the first), packages; symbols that could not be resolved; walks along re-exports that
+    went round, and that were too long. resolved: of resolve_imports; symbols: of resolve_symbols; walks: of unwind_barrels."""
+    of_imports = resolved.agg(
+        F.count("*").alias("total"), *[F.count_if(F.col("resolution_status") == x).alias(x) for x in ("resolved", "external", "unresolvable", "dynamic")],
         F.count_if(F.col("probe") > 0).alias("by_probe"), F.count_distinct("package").alias("packages"),
     )
+    of_symbols = symbols.agg(F.count_if(~F.col("resolved")).alias("unresolved_symbols"))
+    of_walks = walks.agg(F.count_if(F.col("outcome") == "cycle").alias("barrel_cycles"), F.count_if(F.col("outcome") == "too deep").alias("barrel_depth_exceeded"))
+    return of_imports.crossJoin(of_symbols).crossJoin(of_walks)
 
 
 def unwind_barrels(wanted: DataFrame, reexports: DataFrame, own: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
