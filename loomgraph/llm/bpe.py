@@ -315,7 +315,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str | None = None, name: str =
                     ids = [c.encode(t) for t in text.slice(first, end - first).fill_null("").to_pylist()]
                     yield _with(b.slice(first, end - first), columns, name, _lists(ids))
 
-    return docs.mapInArrow(tidy(run), with_schema(docs, f"`{name}` array<int>", name))
+    # tables that stay with the worker leave little to give back
+    return docs.mapInArrow(run if transitions >= MAX_TRANSITIONS else tidy(run), with_schema(docs, f"`{name}` array<int>", name))
 
 
 def decode(encoded: DataFrame, ranks: str, name: str = "ids", to: str = "decoded") -> DataFrame:
