@@ -163,7 +163,7 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.split = splitter(pattern)
         self.fst = Transducer(self.ranks, transitions)
-        self.pieces = Recent(MAX_PIECES)
+        self.pieces = Recent(MAX_PIECES * transitions // MAX_TRANSITIONS)
 
     def encode(self, text: str) -> np.ndarray:
         known, pieces = self.pieces, self.split(text)

@@ -13,7 +13,7 @@ from . import bpe, langid, minhash, mixing, secrets
 from .common import free_name, small_batches
 
 #: Transitions of the tokenizer: its workers share an executor with all that the JVM has grown to in the stages before.
-TRANSITIONS = 60_000
+TRANSITIONS = 50_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
