@@ -128,10 +128,12 @@ def totals(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def resolve_start(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     """Of each wanted name (and file, if not null): how many symbols it names, which is the first, and missing, found or ambiguous."""
-    s = symbols.select("name", "file_path", F.struct("file_path", "start_line", "sym_id").alias("at"))
-    w = wanted.select(F.col("name").alias("wanted"), F.col("file_path").alias("wanted_file"))
-    j = w.join(s, (F.col("wanted") == F.col("name")) & (F.col("wanted_file").isNull() | (F.col("wanted_file") == F.col("file_path"))), "left")
-    g = j.groupBy("wanted", "wanted_file").agg(F.count("at").alias("candidates"), F.min("at").alias("first"))
+    # symbols are counted by name and file, then by name, so that no row of wanted meets the symbols one by one
+    here = symbols.groupBy(F.col("name").alias("wanted"), F.col("file_path").alias("wanted_file")).agg(F.count("*").alias("n"), F.min(F.struct("file_path", "start_line", "sym_id")).alias("first"))
+    anywhere = here.groupBy("wanted").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    w = wanted.groupBy(F.col("name").alias("wanted"), F.col("file_path").alias("wanted_file")).agg(F.count("*").alias("asked"))
+    g = w.filter("wanted_file is null").join(anywhere, "wanted", "left").unionByName(w.filter("wanted_file is not null").join(here, ["wanted", "wanted_file"], "left"))
+    g = g.withColumn("candidates", F.coalesce("n", F.lit(0)) * F.col("asked"))
     status = F.when(F.col("candidates") == 0, "missing").when((F.col("candidates") > 1) & F.col("wanted_file").isNull(), "ambiguous").otherwise("found")
     return g.select(F.col("wanted").alias("name"), F.col("wanted_file").alias("file_path"), "candidates", F.col("first.sym_id").alias("sym_id"), status.alias("status"))
 
