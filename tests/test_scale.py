@@ -26,3 +26,27 @@ def test_starts_are_counted_before_they_are_joined(spark):
     }
     # a join on the name alone with the file as a residual meets every symbol of the name for each of its files
     assert " OR " not in plan(found)
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    import __spark_entry__ as e
+
+    # 0.1 + 0.2 + 0.2 is 0.5 in one order of doubles, more or less in others
+    prices = [1.1, 2.2, 3.3, 4.4, 5.5, 6.6, 7.7, 8.8, 9.9, 1000000.7, 333333.3, 0.1, 0.2, 0.2, 1.5]
+    assert round(sum(round(p * 100) for p in prices)) % 100 == 50
+    seen = set()
+    for i in range(len(prices)):
+        rows = prices[i:] + prices[:i]
+        spark.createDataFrame([(n, 1, "O", p) for n, p in enumerate(rows)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").withColumn(
+            "o_orderdate", F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00'")).coalesce(1).write.parquet(f"{tmp_path}/{i}/orders.parquet")
+        seen.add(next(r.delta for r in e.queries()["digest_delta"](spark, f"{tmp_path}/{i}").collect() if r.stat == "symbols"))
+    assert seen == {1333386}, seen
+
+
+def test_all_exports_are_listed(spark):
+    from loomgraph.plans import lookup
+
+    exports = spark.range(120).selectExpr("'p' AS package", "'function' AS kind", "concat('n', id) AS name", "id")
+    rows = lookup.exports_by_kind(exports).collect()
+    assert len(rows) == 120 and {r.n for r in rows} == {120} and sorted(r.nth for r in rows) == list(range(1, 121))
+    assert sorted(r.nth for r in lookup.exports_by_kind(exports, 5, 10).collect()) == list(range(6, 16))
