@@ -21,10 +21,11 @@ def clamp_depth(depth: float, least: int = 1, most: int = 15) -> int:
     return max(least, min(most, round(depth)))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """node, neighbour: distinct, in both directions."""
+def adjacency(edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """node, neighbour: distinct, in both directions. parts: tasks (see storage.tasks); without it, the session's."""
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("neighbour"))
-    return both.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("neighbour"))).distinct()
+    both = both.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("neighbour")))
+    return (both if parts is None else both.repartition(parts, "node", "neighbour")).distinct()
 
 
 def paths(edges: DataFrame, starts: DataFrame, max_depth: int, up: bool = False, node_filter: DataFrame | None = None) -> DataFrame:
