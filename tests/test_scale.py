@@ -43,6 +43,36 @@ def test_sums_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     assert seen == {1333386}, seen
 
 
+def test_names_of_several_files_have_their_importers_once(spark):
+    from loomgraph.plans import lookup
+
+    symbols = spark.createDataFrame([("p", "f", 1), ("p", "f", 2), ("p", "g", 2), ("q", "f", 3), ("q", None, 3), (None, "f", 1), (None, "f", 3), ("r", "f", 9)], "file_path string, name string, file_id long")
+    imports = spark.createDataFrame([(7, 1), (7, 2), (8, 2), (8, 2), (9, 3), (None, 3), (5, None)], "src long, dst long")
+    found = lookup.direct_importers(symbols, imports)
+    got = {(r.file_path, r.name): r.importers for r in found.collect()}
+    assert got == {("p", "f"): 2, ("p", "g"): 2, ("q", "f"): 1, ("q", None): 1, (None, "f"): 2}
+
+
+def test_tasks_of_distinct_rows_follow_the_input(spark, sf):
+    """Adaptive execution would join partitions into few large ones; those of a number that is asked for stay."""
+    import __spark_entry__ as e
+    from loomgraph.catalog.registry import Tables
+    from loomgraph.storage import ROWS, tasks
+
+    assert (tasks(0), tasks(ROWS), tasks(ROWS + 1), tasks(36_000_000)) == (1, 1, 2, 138)
+    assert Tables(spark, sf).parts == 1 and Tables(spark, "/root/testdata/sf0.1").parts == 3
+    for name in ("neighbors", "direct_importers", "symbol_lookup", "symbol_callers", "import_types"):
+        assert "REPARTITION_BY_NUM" in plan(e.queries()[name](spark, sf)), name
+
+
+def test_imports_meet_names_that_are_distinct(spark, sf):
+    import __spark_entry__ as e
+
+    text = plan(e.queries()["import_types"](spark, sf))
+    joined = text[: text.index("Join")]
+    assert "Aggregate" not in joined, text
+
+
 def test_all_exports_are_listed(spark):
     from loomgraph.plans import lookup
 
