@@ -140,5 +140,5 @@ def file_symbols(t):
     py = F.concat(F.lit("class C"), i, F.lit(":\n    '''def no():'''\n    def f"), i, F.lit("(self):\n"), F.repeat(F.lit("        x()\n"), n), F.lit("\ndef g"), i, F.lit("(): return 1\n"))
     rb = F.concat(F.lit("class C"), i, F.lit("\n  # def no\n  def f"), i, F.lit("\n"), F.repeat(F.lit("    x 'end'\n"), n - 1), F.lit("  end\nend\n"))
     text, language = (F.when(k == 0, a).when(k == 1, b).otherwise(c) for a, b, c in ((ts, py, rb), (F.lit("typescript"), F.lit("python"), F.lit("ruby"))))
-    files = t.symbols.select(F.col("sym_id").alias("file_path"), language.alias("language"), text.alias("content"))
+    files = t.spread(t.symbols, "sym_id", "part").select(F.col("sym_id").alias("file_path"), language.alias("language"), text.alias("content"))
     return sources.symbols(files).select(F.col("file_path").alias("file"), "name", "kind", "start_line", "end_line", "parent", "depth")

@@ -65,6 +65,16 @@ def test_tasks_of_distinct_rows_follow_the_input(spark, sf):
         assert "REPARTITION_BY_NUM" in plan(e.queries()[name](spark, sf)), name
 
 
+def test_costly_rows_of_a_small_table_are_many_tasks(spark, sf):
+    import __spark_entry__ as e
+    from loomgraph.catalog.registry import Tables
+
+    big = Tables(spark, "/root/testdata/sf0.1")
+    assert big.spread(big.symbols, "sym_id", "part").rdd.getNumPartitions() == 2
+    for name in ("file_symbols", "signature_types", "resolve_jvm", "resolution_stats"):
+        assert "REPARTITION_BY_NUM" in plan(e.queries()[name](spark, sf)), name
+
+
 def test_imports_meet_names_that_are_distinct(spark, sf):
     import __spark_entry__ as e
 
