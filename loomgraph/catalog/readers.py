@@ -50,7 +50,7 @@ def signature_types(t):
     i, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     s = F.concat(F.lit("function f<T"), i, F.lit(">(a: Map<string, T"), i, F.lit(">, b: number[], c: (x: A, y: B) => C): Promise<R"), n, F.lit(">"))
     line = F.concat(F.lit("  const y = await call"), i, F.lit("(a.b(1, 2), { x: [1, "), n, F.lit('] }, "s, t");'))
-    x = t.raw("part").select(F.col("p_partkey").alias("id"), signature_info(s).alias("s"), call_arguments(line, F.concat(F.lit("call"), i)).alias("a"))
+    x = t.spread(t.raw("part").select("p_partkey", "p_size"), "p_partkey", "part").select(F.col("p_partkey").alias("id"), signature_info(s).alias("s"), call_arguments(line, F.concat(F.lit("call"), i)).alias("a"))
     return x.select("id", F.array_join("s.param_types", "|").alias("params"), F.col("s.return_type").alias("returns"), F.col("s.is_generic").alias("generic"), F.array_join("s.type_params", "|").alias("type_params"), F.array_join("a", "|").alias("arguments"))
 
 
