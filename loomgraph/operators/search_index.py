@@ -4,7 +4,7 @@ postings    bucket (partition), term, key, n, words, at: how often and at which
 documents   key, words, and the columns that results show
 
 A search reads the postings of its own terms: their buckets as partitions, their rows by the statistics of sorted files. Phrases are found from places. Grammar and rank are those of
-`search`. A posting is a row, so that the commonest word of all texts is as many rows and no large list; ranges of (bucket, term, key) split it when the index is written.
+`search`. A posting is a row, so that the commonest word of all texts is as many rows and no large list; parts by the key's hash split it when the index is written.
 Rows without a key or a text are not indexed; keys are unique.
 """
 
@@ -68,11 +68,18 @@ class SearchIndex:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         words = tokens(F.col(column))
         texts = rows.filter(F.col(key).isNotNull() & F.col(column).isNotNull())
-        each = texts.select(F.col(key).alias("key"), words.alias("w")).select("key", F.size("w").alias("words"), F.posexplode("w").alias("i", "term"))
-        of_term = each.groupBy("key", "term").agg(F.max("words").alias("words"), F.sort_array(F.collect_list("i")).alias("at"))
+        # a text's words are grouped within its row: sorted with their places, and cut where the word changes
+        placed = texts.select(F.col(key).alias("key"), F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("i")))).alias("w")).filter(F.size("w") > 0)
+        at = lambda i: F.get("w", i)["term"]
+        first = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+        cut = placed.select("key", "w", F.size("w").alias("words"), F.col("w.i").alias("places"), first.alias("first"))
+        run = lambda i, n: F.struct(F.get("w", i)["term"].alias("term"), F.slice("places", i + 1, F.coalesce(F.get("first", n + 1), F.col("words")) - i).alias("at"))
+        of_term = cut.select("key", "words", F.explode(F.transform("first", run)).alias("x")).select("key", "words", "x.term", "x.at")
         order = ("bucket", "term", "key")
         postings = of_term.select(F.pmod(F.crc32("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "key", F.size("at").alias("n"), "words", "at")
-        postings.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
+        # by hash, as the bounds of ranges would cost a second pass over all texts; a bucket is several parts, so that the commonest word is too
+        several = F.pmod(F.hash("key"), F.lit(4 * -(-parts // BUCKETS)))
+        postings.repartition(parts, "bucket", several).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/postings")
         texts.select(F.col(key).alias("key"), F.size(words).alias("words"), *[F.col(c) for c in carry if c != "key"]).write.parquet(f"{path}/documents")
         return cls(spark, path)
 

@@ -75,6 +75,21 @@ def test_costly_rows_of_a_small_table_are_many_tasks(spark, sf):
         assert "REPARTITION_BY_NUM" in plan(e.queries()[name](spark, sf)), name
 
 
+def test_words_are_grouped_where_their_text_is(spark, tmp_path):
+    """An index shuffles its postings once: one write of one exchange, and no pass for the bounds of ranges."""
+    from loomgraph.operators.search_index import SearchIndex
+
+    rows = spark.createDataFrame([(1, "b a b, a\n\u00c9t\u00e9 b"), (2, ""), (3, "!?"), (4, None), (5, "z")], "id long, text string")
+    before = set(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    index = SearchIndex.build(rows, "id", "text", f"file://{tmp_path}/i")
+    got = {(r.key, r.term): (r.n, r.words, list(r["at"])) for r in index.postings().collect()}
+    assert got == {(1, "a"): (2, 6, [1, 3]), (1, "b"): (3, 6, [0, 2, 5]), (1, "\u00e9t\u00e9"): (1, 6, [4]), (5, "z"): (1, 1, [0])}
+    assert index.documents().count() == 4
+    tracker = spark.sparkContext.statusTracker()
+    stages = [len(tracker.getJobInfo(j).stageIds) for j in set(tracker.getJobIdsForGroup()) - before if tracker.getJobInfo(j)]
+    assert max(stages) <= 2, stages
+
+
 def test_imports_meet_names_that_are_distinct(spark, sf):
     import __spark_entry__ as e
 
