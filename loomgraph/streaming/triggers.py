@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -109,45 +112,94 @@ def coalesce_triggers(triggers: DataFrame) -> DataFrame:
     return ordered.mapInPandas(fold, COALESCED)
 
 
+#: Triggers that a worker sorts at a time, those of one entry of state, and runs of one result frame.
+RUN, PAGE, FRAME = 1 << 17, 512, 10_000
+
+
 class Queue(StatefulProcessor):
     """One key's queue: its run, what is pending, and triggers that the watermark has not passed yet.
 
     Triggers wait until no earlier one can come, so that the order of arrival within the lateness does not matter; a timer stands at the time of
-    the first that waits, or of the end of the run that keeps one pending.
+    the first that waits, or of the end of the run that keeps one pending. They wait as sorted lists in pages of state, which are merged when their time
+    has come: a worker holds one list while it comes in, and then one page of each, however many triggers wait.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.run = handle.getValueState("run", "busy bigint, pending bigint, long bigint")
-        self.waiting = handle.getListState("waiting", "us bigint, trigger_id bigint, duration_us bigint")
+        self.made = handle.getValueState("made", "lists bigint")
+        # the pages from `page` to `last` of a list are there; first_us is the time of the first trigger in them
+        self.lists = handle.getMapState("lists", "list bigint", "first_us bigint, page bigint, last bigint")
+        self.pages = handle.getMapState("pages", "list bigint, page bigint", "us array<bigint>, trigger_id array<bigint>, duration_us array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(u), int(i), int(d)) for f in rows for u, i, d in zip(f["us"], f["trigger_id"], f["duration_us"])]
+        new, firsts = [], []
+        for f in rows:
+            new += zip(*(f[c].astype("int64").tolist() for c in ("us", "trigger_id", "duration_us")))
+            if len(new) >= RUN:
+                firsts.append(self._wait(new))
+                new = []
         if new:
-            self.waiting.appendList(new)
-            self._wake(min(new)[0])
+            firsts.append(self._wait(new))
+        if firsts:
+            self._wake(min(firsts))
         yield pd.DataFrame({"key": [], "trigger_id": [], "started_us": []})
 
+    def _wait(self, new: list[tuple[int, int, int]]) -> int:
+        """Sorts a list of triggers and stores it; returns the time of the first."""
+        new.sort()
+        n = self.made.get()[0] if self.made.exists() else 0
+        self.made.update((n + 1,))
+        for i in range(0, len(new), PAGE):
+            self._store(n, i // PAGE, new[i : i + PAGE])
+        self.lists.updateValue((n,), (new[0][0], 0, (len(new) - 1) // PAGE))
+        return new[0][0]
+
+    def _store(self, n: int, page: int, rows: list[tuple[int, int, int]]) -> None:
+        self.pages.updateValue((n, page), tuple(map(list, zip(*rows))))
+
+    def _due(self, n: int, page: int, last: int, now: int) -> Iterator[tuple[int, int, int]]:
+        """The triggers of a list up to that time; the rest of it stays in state."""
+        for p in range(page, last + 1):
+            rows = list(zip(*self.pages.getValue((n, p))))
+            due = bisect_right(rows, now, key=lambda r: r[0])
+            yield from rows[:due]
+            if due < len(rows):
+                if due:
+                    self._store(n, p, rows[due:])
+                self.lists.updateValue((n,), (rows[due][0], p, last))
+                return
+            self.pages.removeKey((n, p))
+        self.lists.removeKey((n,))
+
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(-(-us // 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(x) for x in self.waiting.get()) if self.waiting.exists() else []
-        due, rest = [x for x in waiting if x[0] <= now], [x for x in waiting if x[0] > now]
+        lists = [(n, page, last) for (n,), (us, page, last) in self.lists.iterator() if us <= now]
+        due = heapq.merge(*(self._due(*x, now) for x in lists))
         held = tuple(self.run.get()) if self.run.exists() else None
-        out, (busy, pending, long) = _runs(held, due)
+        out = []
+        while some := list(islice(due, FRAME)):
+            more, held = _runs(held, some)
+            out += more
+            if len(out) >= FRAME:
+                yield self._frame(key, out)
+                out = []
+        busy, pending, long = held or (None, None, None)
         if pending is not None and busy <= now:
             out, busy, pending, long = [*out, (pending, busy)], busy + long, None, None
         if busy is not None:
             self.run.update((busy, pending, long))
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self._wake(rest[0][0])
+        if lists and (rest := min((us for us, _, _ in self.lists.values()), default=None)) is not None:
+            self._wake(rest)
         if pending is not None:
             self._wake(busy)
-        yield pd.DataFrame([(key[0], i, us) for i, us in out], columns=["key", "trigger_id", "started_us"])
+        yield self._frame(key, out)
+
+    def _frame(self, key, out: list[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], i, us) for i, us in out], columns=["key", "trigger_id", "started_us"])
 
     def close(self) -> None:
         pass

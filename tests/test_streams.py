@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomgraph.streaming import ingest, triggers
@@ -74,6 +75,82 @@ def test_coalescing_stream(spark, tmp_path):
     assert got == [r for r in batch if r[2] <= end] and len(got) > 50
 
 
+class Held(dict):
+    """One key's state, value or map."""
+
+    def exists(self):
+        return bool(self)
+
+    def get(self, key=()):
+        return super().get(key)
+
+    getValue = get
+
+    def update(self, value):
+        self[()] = value
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+    def iterator(self):
+        return iter(self.items())
+
+    def values(self):
+        return iter(super().values())
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, Held())
+
+    def getMapState(self, name, *schemas):
+        return self.states.setdefault(name, Held())
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_triggers_are_read_page_by_page(monkeypatch):
+    """Whatever number of triggers of a key waits, a worker asks for no more than a page at a time, and hands its runs on in small frames."""
+    for name, n in (("RUN", 50), ("PAGE", 8), ("FRAME", 20)):
+        monkeypatch.setattr(triggers, name, n)
+    rng = random.Random(7)
+    rows = [(n * 2000 + rng.randrange(900), n, rng.choice((500, 3000, 20_000))) for n in range(600)]
+    late = sorted(rows, key=lambda r: r[0] + rng.randrange(200_000))
+    q, handle, got = triggers.Queue(), Handle(), []
+    q.init(handle)
+    for at in range(0, 600, 200):
+        part = late[at : at + 200]
+        frames = [pd.DataFrame(part[i : i + 30], columns=["us", "trigger_id", "duration_us"]) for i in range(0, 200, 30)]
+        assert sum(map(len, q.handleInputRows((1,), iter(frames), None))) == 0
+        assert all(len(us) <= 8 for us, _, _ in handle.states["pages"].values())
+        now = max(r[0] for r in late[: at + 200]) // 1000 - 200
+        handle.timers.sort()
+        while handle.timers and handle.timers[0] <= now:
+            out = list(q.handleExpiredTimer((1,), Watermark(now), handle.timers.pop(0)))
+            assert all(len(f) < 40 for f in out)
+            got += [(int(i), int(us)) for f in out for _, i, us in f.itertuples(index=False)]
+            handle.timers.sort()
+        assert all(us > now * 1000 for us, _, _ in handle.states["lists"].values())
+    end = now * 1000
+    want = sorted(x for x in simulated(rows) if x[1] <= end)
+    assert sorted(got) == want and len(want) > 50 and handle.states["pages"]
+
+
 def test_backoff_stream(spark, tmp_path):
     stream = spark.readStream.schema("source bigint, at bigint, failed boolean").parquet(f"{tmp_path}/in/*")
     rows = [(s, at, (at + s) % 7 > 1) for at in range(60) for s in (1, 2)]
