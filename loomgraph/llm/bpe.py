@@ -3,10 +3,10 @@
 A token sequence is the BPE encoding of its bytes if and only if every two neighbours in it are: the merges of their joint
 bytes give just these two. So every prefix of a text has one encoding, which ends in one last token, and it extends an
 encoding that ends where that token begins. The transducer's nondeterministic states are pairs (token before the boundary,
-place in the trie of tokens since then); a deterministic state is the list of the live pairs, each with the tokens not yet
-common to all. Reading a byte advances every pair, adds the one whose trie place completes a token that suits its predecessor,
-and emits what all pairs now have in common: a token comes out as soon as no pair can lead to another, at most a longest token
-later. States and transitions are made when first met, and dropped all together at a bound.
+place in the trie of tokens since then); a deterministic state is the list of the live pairs. Reading a byte advances every
+pair, adds the one whose trie place completes a token that suits its predecessor, and puts that token out: the last of the
+encoding of all that was read. From the end of a piece these tokens, each as far back as the one before is long, are its
+encoding. States and transitions are made when first met, and dropped all together at a bound.
 
 Decoding is a second machine: bytes come out of it when their character is complete. Tokens that lead it from one boundary of characters to
 another, nearly all, are known beforehand and pass in one step; the others are read byte by byte.
@@ -18,6 +18,7 @@ input pass through, those named as a result are replaced. Every token is taken t
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import table, text_chunks, tidy, with_schema, written
 from .pretokens import Kept, Recent, splitter
 
-#: Transitions, and pieces of one of two generations with their ids, that a worker keeps: some 200 MB of memory.
-MAX_TRANSITIONS, MAX_PIECES = 300_000, 120_000
+#: Transitions, and pieces of one of two generations with their ids, that a worker keeps: some 230 MB of memory.
+MAX_TRANSITIONS, MAX_PIECES = 450_000, 240_000
 
 
 class Merges:
@@ -50,40 +51,55 @@ class Merges:
         return parts
 
 
+class State(dict):
+    """A deterministic state: its transitions by byte, as far as met, its live pairs, and the token that ends where it is reached."""
+
+    __slots__ = ("pairs", "token")
+
+    def __init__(self, pairs: tuple[tuple[int, int], ...]):
+        self.pairs, self.token = pairs, pairs[-1][1]
+
+
 class Transducer:
-    """encode() reads a piece byte by byte and gathers the tokens of each transition, and at its end those still pending."""
+    """encode() reads a piece byte by byte, notes the token that each transition puts out, and picks from its end those that lead back to its beginning."""
 
     def __init__(self, ranks: dict[bytes, int], most: int = MAX_TRANSITIONS):
         self.merges, self.most = Merges(ranks), most
         self.bytes_of = {v: k for k, v in ranks.items()}
-        # trie places are numbers; (place, byte) leads on, and a place that leads nowhere has no entry in `inner`
-        self.trie: dict[int, int] = {}
-        self.inner: set[int] = set()
-        self.token_at: dict[int, int] = {}
-        places = 1
+        # trie places are numbers; (place, byte) leads on; a place that leads nowhere is 0 in `inner`, one that ends no token is -1 in `token_at`
+        trie, inner, token_at = {}, bytearray(1), [-1]
         for token, rank in ranks.items():
             node = 0
             for b in token:
-                self.inner.add(node)
-                to = self.trie.setdefault(node << 8 | b, places)
-                places += to == places
+                inner[node] = 1
+                to = trie.setdefault(node << 8 | b, len(token_at))
+                if to == len(token_at):
+                    token_at.append(-1)
+                    inner.append(0)
                 node = to
-            self.token_at[node] = rank
-        self.half: dict[int, tuple[int, int] | None] = {}
+            token_at[node] = rank
+        self.trie, self.inner, self.token_at = trie, inner, token_at
+        self.size = max(ranks.values(), default=0) + 1
+        self.length = [0] * self.size
+        for token, rank in ranks.items():
+            self.length[rank] = len(token)
+        # the halves of a token whose merge completes it; -1 for a single byte, -2 before they are asked for
+        self.left, self.right = [-2] * self.size, [-2] * self.size
+        self.states: dict[tuple, State] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # a pair: (trie place, last token or -1, pending tokens); the last pair of a state is the boundary itself
-        self.states = [((0, -1, ()),)]
-        self.number = {self.states[0]: 0}
-        self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
-
-    def _halves(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge completes this one; None for a single byte."""
-        if token not in self.half:
-            parts = self.merges.parts(self.bytes_of[token], 2)
-            self.half[token] = (self.merges.ranks[parts[0]], self.merges.ranks[parts[1]]) if len(parts) == 2 else None
-        return self.half[token]
+        for s in self.states.values():  # they lead to one another
+            s.clear()
+        # a pair: (trie place, last token or -1); the last pair of a state is the boundary itself
+        self.start = State(((0, -1),))
+        self.states = {self.start.pairs: self.start}
+        self.moves = 0
+        self.suits: dict[int, bool] = {}
+
+    def _find_halves(self, token: int) -> None:
+        parts = self.merges.parts(self.bytes_of[token], 2)
+        self.left[token], self.right[token] = (self.merges.ranks[parts[0]], self.merges.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
 
     def _suit(self, a: int, b: int) -> bool:
         """Whether a and b stay apart when their joint bytes are merged.
@@ -91,63 +107,67 @@ class Transducer:
         Undone from the end, the later of the two last merges first, what meets at the boundary changes by one half each time;
         had the two that then meet been a merge of lower rank than the one undone, it would have come first.
         """
-        if a < 0:
-            return True
-        ranks, text = self.merges.ranks, self.bytes_of
-        if text[a] + text[b] in ranks:
+        rank, text, inner, outer = self.merges.ranks.get, self.bytes_of, self.right, self.left
+        if rank(text[a] + text[b]) is not None:
             return False
         while True:
-            left, right = self._halves(a), self._halves(b)
-            if left and (right is None or a > b):
-                limit, a = a, left[1]
-            elif right:  # an equal merge to the right comes after one at the boundary
-                limit, b = b + 1, right[0]
+            if inner[a] == -2:
+                self._find_halves(a)
+            if outer[b] == -2:
+                self._find_halves(b)
+            left, right = inner[a], outer[b]
+            if left >= 0 and (right < 0 or a > b):
+                limit, a = a, left
+            elif right >= 0:  # an equal merge to the right comes after one at the boundary
+                limit, b = b + 1, right
             else:
                 return True
-            if ranks.get(text[a] + text[b], limit) < limit:
+            if rank(text[a] + text[b], limit) < limit:
                 return False
 
-    def _move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
-        """The next state, with the tokens that have become certain if there are some."""
-        live, boundary = [], None
-        trie, inner, token_at = self.trie, self.inner, self.token_at
-        for node, last, pending in self.states[state]:
-            to = trie.get(node << 8 | byte)
+    def _move(self, state: State, byte: int) -> State:
+        """The next state, from now on a transition."""
+        live, ends = [], -1
+        trie, inner, token_at = self.trie.get, self.inner, self.token_at
+        for node, last in state.pairs:
+            to = trie(node << 8 | byte)
             if to is None:
                 continue
-            token = token_at.get(to)
-            if token is not None and boundary is None and self._suit(last, token):
-                boundary = (0, token, (*pending, token))
-            if to in inner:
-                live.append((to, last, pending))
-        if boundary is None:
+            if ends < 0 and (token := token_at[to]) >= 0:
+                suits = last < 0 or self.suits.get(last * self.size + token)
+                if suits is None:
+                    suits = self.suits[last * self.size + token] = self._suit(last, token)
+                if suits:
+                    ends = token
+            if inner[to]:
+                live.append((to, last))
+        if ends < 0:
             raise ValueError("the ranks lack a single byte")
-        live.append(boundary)
-        first, common = live[0][2], 0
-        while common < len(first) and all(len(p) > common and p[common] == first[common] for _, _, p in live):
-            common += 1
-        out = first[:common]
-        key = tuple([(n, t, p[common:]) for n, t, p in live] if common else live)
-        if key not in self.number:
-            self.number[key] = len(self.states)
-            self.states.append(key)
-        return (self.number[key], out) if out else self.number[key]
+        live.append((0, ends))
+        key = tuple(live)
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = State(key)
+        state[byte] = to
+        self.moves += 1
+        return to
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.moves) > self.most:
+        if self.moves > self.most:
             self._reset()
-        out: list[int] = []
-        state, moves = 0, self.moves
+        state, ends = self.start, []
         for byte in piece:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                move = moves[state << 8 | byte] = self._move(state, byte)
-            if type(move) is int:
-                state = move
-            else:
-                state, made = move
-                out += made
-        out += self.states[state][-1][2]
+            to = state.get(byte)
+            if to is None:
+                to = self._move(state, byte)
+            ends.append(to.token)
+            state = to
+        out, length, at = [], self.length, len(ends)
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= length[token]
+        out.reverse()
         return out
 
 
@@ -163,6 +183,8 @@ class Encoder:
         self.ranks = read_ranks(path)
         self.split = splitter(pattern)
         self.fst = Transducer(self.ranks, transitions)
+        # the ids as they are kept
+        self.four = [i.to_bytes(4, sys.byteorder) for i in range(self.fst.size)]
         self.pieces = Recent(MAX_PIECES * transitions // MAX_TRANSITIONS)
 
     def encode(self, text: str) -> np.ndarray:
@@ -170,12 +192,13 @@ class Encoder:
         row = list(map(known.get, pieces))
         if None in row:
             known.renew()
+            four = self.four
             for i, p in enumerate(pieces):
                 if row[i] is None:
                     if p not in known and known.recall(p) is None:
                         raw = p.encode()
                         rank = self.ranks.get(raw)
-                        known[p] = np.array(self.fst.encode(raw) if rank is None else [rank], np.int32).tobytes()
+                        known[p] = b"".join([four[t] for t in self.fst.encode(raw)]) if rank is None else four[rank]
                     row[i] = known[p]
         return np.frombuffer(b"".join(row), np.int32)
 

@@ -43,6 +43,20 @@ def test_bpe_odd_rows(spark):
     assert bpe.encode(df.limit(0), MULTI).count() == 0
 
 
+def test_transducer_states_hold_pairs_only():
+    """What is still to come out does not tell states apart, so that fewer are made; giving them all up at a bound changes no result."""
+    ranks = bpe.read_ranks(MULTI)
+    rng = random.Random(4)
+    parts = ["the", "tion", "ing", "ö", "漢", "e", "r", "nd", "sh", "\u00e9", "🙂", "st", "0"]
+    words = ["".join(rng.choices(parts, k=rng.randint(1, 9))).encode() for _ in range(1500)]
+    fst, small = bpe.Transducer(ranks), bpe.Transducer(ranks, 200)
+    for w in words:
+        want = [ranks[t] for t in fst.merges.parts(w)]
+        assert fst.encode(w) == want and small.encode(w) == want
+    assert all(len(pair) == 2 for pairs in fst.states for pair in pairs)
+    assert len(fst.states) <= fst.moves + 1 and small.moves < fst.moves and fst.encode(b"") == []
+
+
 def test_streaming_utf8():
     raw = "aé漢🙂".encode()
     u = bpe.Utf8()
