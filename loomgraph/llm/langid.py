@@ -18,10 +18,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, stratified, table, tidy, with_schema
+from .common import bucket, give_back, stratified, table, tidy, with_schema
 from .wordhash import U, mix
 
 #: Hashed features, n-gram lengths in characters, labelled rows that fitting may use, centroids of a language.
@@ -97,27 +98,25 @@ def _k_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, centroids: int = CENTROIDS) -> Model:
-    """labelled: doc_id, text, lang. Languages without a text that has letters are not learned."""
+    """labelled: doc_id, text, lang. Languages without a text that has letters are not learned.
+
+    The sample's counts are compressed on their way to the driver and there; they are unpacked a language at a time.
+    """
     rows = labelled.filter(F.col("lang").isNotNull() & F.regexp_like("text", F.lit(r"\p{L}"))).select("doc_id", "text", "lang")
     sample = stratified(rows, "lang", max_rows).mapInArrow(tidy(_sampled), "lang string, counts binary").collect()
     if not sample:
         return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64), np.ones(DIMS, np.float32), np.zeros(0))
-    sample.sort()
-    # one row after the other, so that the sample is in memory once besides
-    v = np.empty((len(sample), DIMS), np.float32)
-    for i, r in enumerate(sample):
-        v[i] = np.frombuffer(r["counts"], np.float16)
-    of = [r["lang"] for r in sample]
+    packed: dict[str, list[bytes]] = {}
+    held = np.zeros(DIMS, np.int64)
+    for r in sample:
+        packed.setdefault(r["lang"], []).append(r["counts"])
+        held += _unpacked(r["counts"]) != 0
+    idf = np.log((1 + len(sample)) / (1 + held)).astype(np.float32) + 1
     del sample
-    idf = np.log((1 + len(v)) / (1 + np.count_nonzero(v, axis=0))).astype(np.float32) + 1
-    v *= idf
-    for i in range(len(v)):
-        v[i] /= max(float(np.linalg.norm(v[i])), 1e-12)
-    languages = sorted(set(of))
+    languages = sorted(packed)
     owner, found, radius = [], [], []
     for i, lang in enumerate(languages):
-        at = of.index(lang)
-        own = v[at : at + of.count(lang)]
+        own = _weighted(packed.pop(lang), idf)
         c = _k_means(own, centroids)
         found.append(c)
         owner += [i] * len(c)
@@ -125,15 +124,33 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, centroids: int = CENTROID
         fold = np.arange(len(own)) % FOLDS
         near = [(own[fold == f] @ _k_means(own[fold != f], centroids).T).max(1) for f in range(FOLDS) if len(own) >= FOLDS]
         radius.append(float(np.quantile(np.concatenate(near), FALSE_REJECTIONS)) if near else 0.0)
+        del own
+    give_back()
     return Model(languages, np.concatenate(found).astype(np.float32), np.array(owner), idf, np.array(radius))
 
 
+def _weighted(packed: list[bytes], idf: np.ndarray) -> np.ndarray:
+    """The vectors of one language's sample, in an order that does not depend on how its rows arrive; only these are unpacked at a time."""
+    v = np.empty((len(packed), DIMS), np.float32)
+    for i, z in enumerate(sorted(packed, key=lambda z: _unpacked(z).tobytes())):
+        v[i] = _unpacked(z)
+        v[i] *= idf
+        v[i] /= max(float(np.linalg.norm(v[i])), 1e-12)
+    return v
+
+
+def _unpacked(z: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(z), np.float16)
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang and counts: compressed logarithms, in half precision, of each text's counts."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     for b in batches:
         for at in range(0, len(b), 256):
             part = b.slice(at, 256)
             v = np.log1p(counts(part.column(1).to_pylist())).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([part.column(2), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([part.column(2), pa.array([pack(x.tobytes()) for x in v], pa.binary())], ["lang", "counts"])
 
 
 def predict(docs: DataFrame, model: Model, names: Sequence[str] = ("lang_pred", "score", "cosine", "rejected")) -> DataFrame:

@@ -1,6 +1,7 @@
 """Classifiers: accuracy on held-out rows, and defined results for odd rows."""
 
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,24 @@ def test_toxic_passage_scores_alike_wherever_it_stands():
         assert np.allclose(top, 1 + toxicity.FACTORS), (apart, top)
 
 
+def test_language_sample_is_small_in_the_driver(spark):
+    word = lambda n: F.conv(F.pmod(F.xxhash64("id", F.lit(n)), F.lit(100_000)).cast("string"), 10, 36)
+    docs = spark.range(0, 2000, 1, 4).select(F.col("id").alias("doc_id"), F.translate(F.concat_ws(" ", *[word(n) for n in range(200)]), "0123456789", "äöüßéèêñçø").alias("text"), F.concat(F.lit("l"), F.col("id") % 4).alias("lang"))
+    plain = 2000 * langid.DIMS * 2
+    batch = pa.RecordBatch.from_pandas(docs.select("doc_id", "text", "lang").limit(300).toPandas())
+    rows = [z for b in langid._sampled(iter([batch])) for z in b.column(1).to_pylist()]
+    assert sum(map(len, rows)) < 300 * langid.DIMS
+    assert np.array_equal(langid._unpacked(rows[0]), np.log1p(langid.counts([batch.column(1)[0].as_py()]))[0].astype(np.float16))
+    tracemalloc.start()
+    try:
+        m = langid.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # packed rows, and a quarter of them as floats with the copies that clustering makes
+    assert m.languages == ["l0", "l1", "l2", "l3"] and peak < 2.2 * plain, peak / plain
+
+
 def test_whole_texts_are_learned():
     texts = [" ".join(f"w{i}" for i in range(5000)), "", "a b"]
     out = next(toxicity._sample_terms(iter([pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0, 0], pa.int32())], ["text", "label"])])))
